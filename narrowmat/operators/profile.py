@@ -25,37 +25,42 @@ TYPE_NAMES = (
 )
 
 
-def _kind(value: Column) -> Column:
+def _item(path: Column, value: Column) -> Column:
+    """Path, type and length of a value; ``inner`` only if there is more in it."""
     reported = F.schema_of_variant(value)
-    named = F.when(value.isNull(), F.lit("invalid"))
-    for start, name in TYPE_NAMES:
-        named = named.when(reported.startswith(start), F.lit(name))
-    return named.otherwise(F.lower(reported))
 
+    def described(of: Column) -> Column:
+        kind = F.when(of.isNull(), F.lit("invalid"))
+        for start, name in TYPE_NAMES:
+            kind = kind.when(of.startswith(start), F.lit(name))
+        return kind.otherwise(F.lower(of))
 
-def _items(path: Column, value: Column, kind: Column) -> Column:
-    entry = "array<struct<path: string, value: variant, open: boolean>>"
+    def whole(kind: Column) -> Column:
+        size = (
+            F.when(kind == "string", F.length(value.cast("string")))
+            .when(kind == "array", F.size(value.cast("array<variant>")))
+            .when(kind == "object", F.size(value.cast("map<string, variant>")))
+        )
+        inner = F.when(kind.isin("object", "array"), value)
+        return F.struct(
+            path.alias("path"), kind.alias("kind"), size.alias("size"), inner.alias("inner")
+        )
+
+    # Lambda variables keep the type from being worked out again for each use.
+    kinds = F.transform(F.array(reported), described)
+    return F.transform(kinds, whole)[0]
+
+
+def _inside(path: Column, kind: Column, value: Column) -> Column:
+    """The items directly inside a value that is not null."""
     fields = F.transform(
         F.map_entries(value.cast("map<string, variant>")),
-        lambda e: F.struct(
-            F.concat(path, F.lit("."), e["key"]).alias("path"),
-            e["value"].alias("value"),
-            F.lit(True).alias("open"),
-        ),
+        lambda e: _item(F.concat(path, F.lit("."), e["key"]), e["value"]),
     )
     elements = F.transform(
-        value.cast("array<variant>"),
-        lambda x: F.struct(
-            F.concat(path, F.lit("[]")).alias("path"),
-            x.alias("value"),
-            F.lit(True).alias("open"),
-        ),
-    )
-    return (
-        F.when(kind == "object", fields.cast(entry))
-        .when(kind == "array", elements.cast(entry))
-        .otherwise(F.array().cast(entry))
+        value.cast("array<variant>"), lambda x: _item(F.concat(path, F.lit("[]")), x)
     )
+    return F.when(kind == "object", fields).otherwise(elements)
 
 
 def profile_values(df: DataFrame, col: str, max_depth: int = 5) -> DataFrame:
@@ -64,39 +69,27 @@ def profile_values(df: DataFrame, col: str, max_depth: int = 5) -> DataFrame:
     The whole value is at ``$``, fields at ``.name`` and array elements at
     ``[]`` below it, down to ``max_depth`` levels. Lengths are those of
     strings, arrays and objects. Text that is no JSON counts as ``invalid``.
-    The table is read once; every level opens the values of the one before.
+    The table is read once: the levels of a row are opened one after the other,
+    each from the one before, and counted together.
     """
     if max_depth < 0:
         raise ValueError("max_depth must be 0 or more")
     value = F.col(col)
-    if isinstance(df.schema[col].dataType, T.VariantType):
-        start = df.filter(value.isNotNull()).select(value.alias("value"))
-    else:
-        start = df.filter(value.isNotNull()).select(
-            F.try_parse_json(value.cast("string")).alias("value")
-        )
-    level = start.select(
-        F.lit("$").alias("path"), "value", F.lit(True).alias("open")
-    ).withColumn("kind", _kind(F.col("value")))
-    for _ in range(max_depth):
-        own = F.array(
-            F.struct("path", "value", F.lit(False).alias("open"))
+    if not isinstance(df.schema[col].dataType, T.VariantType):
+        value = F.try_parse_json(value.cast("string"))
+    levels = df.filter(F.col(col).isNotNull()).select(value.alias("value"))
+    levels = levels.select(F.array(_item(F.lit("$"), F.col("value"))).alias("level0"))
+    for depth in range(max_depth):
+        opened = F.filter(f"level{depth}", lambda item: item.inner.isNotNull())
+        inside = F.transform(
+            opened, lambda item: _inside(item.path, item.kind, item.inner)
         )
-        inner = F.when(
-            F.col("open"), _items(F.col("path"), F.col("value"), F.col("kind"))
-        ).otherwise(F.array().cast("array<struct<path: string, value: variant, open: boolean>>"))
-        opened = level.select(F.explode(F.concat(own, inner)).alias("item"))
-        level = opened.select("item.*").withColumn("kind", _kind(F.col("value")))
-    length = (
-        F.when(F.col("kind") == "string", F.length(F.col("value").cast("string")))
-        .when(F.col("kind") == "array", F.size(F.col("value").cast("array<variant>")))
-        .when(
-            F.col("kind") == "object",
-            F.size(F.map_keys(F.col("value").cast("map<string, variant>"))),
-        )
-    )
-    return level.groupBy("path", F.col("kind").alias("type")).agg(
+        levels = levels.withColumn(f"level{depth + 1}", F.flatten(inside))
+    items = levels.select(F.explode(F.concat(*levels.columns)).alias("item"))
+    return items.groupBy(
+        F.col("item.path").alias("path"), F.col("item.kind").alias("type")
+    ).agg(
         F.count("*").alias("count"),
-        F.min(length).alias("min_len"),
-        F.max(length).alias("max_len"),
+        F.min("item.size").alias("min_len"),
+        F.max("item.size").alias("max_len"),
     )

@@ -107,7 +107,8 @@ def project(m: DataFrame, matrix) -> DataFrame:
     Keys stay with their rows and nothing is shuffled. The matrices are
     broadcast; neither side may exceed ``MAX_COLUMNS``.
     """
-    matrices = matrix if isinstance(matrix, (list, tuple)) else [matrix]
+    several = isinstance(matrix, (list, tuple)) and np.ndim(matrix[0]) == 2
+    matrices = matrix if several else [matrix]
     matrices = [np.ascontiguousarray(x, dtype=float) for x in matrices]
     for x in matrices:
         if x.ndim != 2:
