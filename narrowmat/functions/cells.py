@@ -83,7 +83,7 @@ def offset_value(key: Column) -> Column:
 
 def record_number(offset: Column, record_length: int) -> Column:
     """The number of the record that starts at a byte offset."""
-    return F.floor(offset / F.lit(record_length)).cast("long")
+    return F.call_function("div", offset, F.lit(record_length))
 
 
 def is_record_start(offset: Column, record_length: int) -> Column:
