@@ -8,10 +8,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from narrowmat.functions import cells
-from narrowmat.functions.kernels import GramSum, QRBlocks, row_column
+from narrowmat.functions.kernels import GramSum, QRBlocks, row_block, row_column
 from narrowmat.plans.reduce import Features, block_reduce
 from narrowmat.sources.tables import width
 
@@ -42,13 +43,10 @@ def collect_factor(factor: DataFrame) -> np.ndarray:
     Its size is bounded: every factor comes from a kernel that refuses more
     than ``MAX_COLUMNS`` columns, and has at most as many rows.
     """
-    table = factor.select("i", "row").toArrow().sort_by("i")
-    rows = table.column("row").to_pylist()
-    if not rows:
+    table = factor.select("i", "row").toArrow().sort_by("i").combine_chunks()
+    if not table.num_rows:
         raise ValueError("the matrix has no rows")
-    if len({len(r) for r in rows}) != 1:
-        raise ValueError("factor rows differ in width")
-    return np.array(rows, dtype=float)
+    return row_block(table.column("row").chunk(0))
 
 
 def _check_blocks(blocksize, block_rows):
@@ -84,15 +82,17 @@ def tsqr(
 
 def _counted(out: DataFrame) -> Counted:
     spark = out.sparkSession
-    rows = sorted(out.collect())
-    kept = [r for r in rows if r.i >= 0]
+    table = out.toArrow()
+    counters = table.filter(pc.less(table["i"], 0)).to_pylist()
     counts = [
-        (-1 - r.i, int(r.row[0]), int(r.row[1]), int(r.row[2]), r.row[3] * 1000.0)
-        for r in reversed(rows)
-        if r.i < 0
+        (-1 - c["i"], *(int(x) for x in c["row"][:3]), c["row"][3] * 1000.0)
+        for c in sorted(counters, key=lambda c: -c["i"])
     ]
     return Counted(
-        spark.createDataFrame(kept, "i int, row array<double>"),
+        spark.createDataFrame(
+            table.filter(pc.greater_equal(table["i"], 0)).sort_by("i"),
+            "i int, row array<double>",
+        ),
         spark.createDataFrame(
             counts, "stage int, tasks long, rows long, compressions long, millis double"
         ),

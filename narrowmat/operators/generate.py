@@ -119,9 +119,9 @@ def mix_rows(
     """Shuffle rows and multiply groups of ``maxlocal`` of them (as many as
     columns by default) by random orthogonal matrices, ``stages`` times.
 
-    R stays what it was. Rows are placed and ordered by ``key``, so a task that
-    runs again forms the same groups: mixed rows of two different runs would
-    not have the R of the whole.
+    R stays what it was. Rows are placed and ordered by what they hold, so a
+    task that runs again forms the same groups: mixed rows of two different runs
+    would not have the R of the whole.
     """
     if "key" not in m.columns:
         raise ValueError("mix_rows needs a key column")
@@ -133,12 +133,11 @@ def mix_rows(
         check_width(maxlocal)
     m = m.select("key", "row")
     for stage in range(stages):
-        place = F.xxhash64(F.col("key"), F.lit(seed), F.lit(stage))
-        spread = m.withColumn("_place", place)
-        spread = (
-            spread.repartition("_place")
-            if parts is None
-            else spread.repartition(parts, "_place")
+        place = F.xxhash64("key", "row", F.lit(seed), F.lit(stage)).alias("_place")
+        # A rebalancing exchange: adaptive execution splits a partition that
+        # many copies of one row have made too large.
+        spread = m.select("*", place).hint(
+            "rebalance", *([parts] if parts else []), F.col("_place")
         )
         ordered = spread.sortWithinPartitions("_place", "key", "row").drop("_place")
         m = ordered.mapInArrow(partial(_mix, maxlocal, seed, stage), m.schema)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.functions.kernels import Kernel, chunks, row_block, row_column
-from narrowmat.plans.schedule import ADAPTIVE, parse_schedule
+from narrowmat.plans.schedule import AdaptiveMerge, Merge, Spread, parse_schedule
 
 PARTIAL = "src int, i int, row array<double>"
 
@@ -95,15 +95,15 @@ def _merge(make: Callable[[], Kernel], stage: int, counters: bool):
     return run
 
 
-def _exchange(partial: DataFrame, entry: int | str) -> DataFrame:
-    if entry == ADAPTIVE:
-        return partial.repartition("src")
-    if isinstance(entry, str):
-        entry = int(entry[1:])
-    if entry == 1:
+def _exchange(partial: DataFrame, stage: Spread | Merge | AdaptiveMerge) -> DataFrame:
+    src = F.col("src")
+    if isinstance(stage, AdaptiveMerge):
+        return partial.repartition(src % stage.groups if stage.groups else src)
+    parts = stage.parts if isinstance(stage, Spread) else stage.tasks
+    if parts == 1:
         # Not coalesce(1), which would run the stage before in one task.
         return partial.repartition(1)
-    return partial.repartitionById(entry, F.col("src") % entry)
+    return partial.repartitionById(parts, src % parts)
 
 
 def block_reduce(
@@ -121,14 +121,15 @@ def block_reduce(
     has, for every stage ``s``, a row ``i = -1 - s`` holding tasks, rows,
     compressions and kernel seconds.
     """
-    plan = parse_schedule(schedule)
+    partitions = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = parse_schedule(schedule, partitions)
     if features is None:
         m, features = m.select("row"), matrix_rows
-    for parts in plan.spread:
-        m = m.repartition(parts)
+    for spread in plan.spread:
+        m = m.repartition(spread.parts)
     out = m.mapInArrow(_partial(kernel, features, counters), PARTIAL)
-    for stage, entry in enumerate(plan.merges, start=1):
-        out = _exchange(out, entry)
-        if entry == ADAPTIVE or isinstance(entry, int):
-            out = out.mapInArrow(_merge(kernel, stage, counters), PARTIAL)
+    for number, stage in enumerate(plan.stages, start=1):
+        out = _exchange(out, stage)
+        if not isinstance(stage, Spread):
+            out = out.mapInArrow(_merge(kernel, number, counters), PARTIAL)
     return out.select("i", "row")

@@ -13,12 +13,14 @@ from narrowmat.sources.tables import validate_matrix
 NUMBER_FORMAT = "%18.16e"
 
 
-def use_split_bytes(spark: SparkSession, split_bytes: int | None) -> None:
-    """Let file scans of this session make tasks of about ``split_bytes``.
+def split_bytes_for(n: int) -> int:
+    """A split size for ``n`` columns: 256 MiB, or 64 times what it is reduced
+    to if that is more, so that little is shuffled."""
+    return max(256 << 20, 64 * 8 * n * n)
 
-    Larger splits mean fewer partial results to combine: a split should hold
-    many times the ``8 * columns**2`` bytes of the result it is reduced to.
-    """
+
+def use_split_bytes(spark: SparkSession, split_bytes: int | None) -> None:
+    """Let file scans of this session make tasks of about ``split_bytes``."""
     if split_bytes is not None:
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(int(split_bytes)))
 

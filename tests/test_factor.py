@@ -38,7 +38,7 @@ def test_r_does_not_depend_on_layout(spark, seed):
     m, n = int(rng.integers(1, 400)), int(rng.integers(1, 12))
     a = rng.standard_normal((m, n))
     parts = int(rng.integers(1, 9))
-    schedules = [None, 1, "3,1", ("s4", 2, 1), (5, "s3", 1), ("auto", 2, 1), "s2,s5,auto,1"]
+    schedules = [None, 1, "3,1", ("s4", 2, 1), (5, "s3", 1), ("auto", 2, 1), "s2,s5,auto,1", "auto,auto2,1"]
     schedule = schedules[seed % len(schedules)]
     options = [{"blocksize": 2}, {"blocksize": 3}, {"block_rows": 7}, {}][seed % 4]
     found = factor(nm.tsqr(matrix(spark, a, parts), schedule=schedule, **options))
@@ -89,7 +89,7 @@ def test_small_blocks_compress_more(spark):
     assert count(many) > 10 * count(few)
 
 
-@pytest.mark.parametrize("schedule", ["2", "1,2", "", "x,1", (0, 1), ("s0", 1)])
+@pytest.mark.parametrize("schedule", ["2", "1,2", "", "x,1", (0, 1), ("s0", 1), "s,1", "auto", "2,"])
 def test_bad_schedules(spark, schedule):
     with pytest.raises(ValueError):
         nm.tsqr(matrix(spark, TINY), schedule=schedule)
@@ -180,3 +180,24 @@ def test_two_passes_over_a_source_agree(spark):
     a = np.random.default_rng(6).standard_normal((5000, 4))
     m = matrix(spark, a, 7)
     assert np.allclose(factor(nm.tsqr(m)), factor(nm.tsqr(m.repartition(2))), atol=1e-11)
+
+
+def test_default_schedule_grows_with_the_session(spark):
+    from narrowmat.plans.schedule import AdaptiveMerge, Merge, parse_schedule
+
+    assert parse_schedule(None, 8).stages == (AdaptiveMerge(), Merge(1))
+    assert parse_schedule(None, 10000).stages == (AdaptiveMerge(), AdaptiveMerge(100), Merge(1))
+    a = np.random.default_rng(7).standard_normal((3000, 3))
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        found, stats = nm.tsqr(matrix(spark, a, 30), stats=True)
+        assert np.allclose(factor(found), r_of(a), atol=1e-11)
+        assert [r.stage for r in stats.orderBy("stage").collect()] == [0, 1, 2, 3]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_adaptive_stage_has_few_tasks_for_little_data(spark):
+    m = matrix(spark, np.random.default_rng(8).standard_normal((500, 3)), 40)
+    tasks = {r.stage: r.tasks for r in nm.tsqr(m, stats=True).stats.collect()}
+    assert tasks[0] == 40 and tasks[1] <= 8

@@ -50,6 +50,18 @@ def test_mixing_repeats_itself(spark):
     assert not np.allclose(first, rows_of(m))
 
 
+def test_mixing_with_one_hot_key_and_copies(spark):
+    rng = np.random.default_rng(6)
+    a = rng.standard_normal((3000, 3))
+    a[1000:2500] = a[0]
+    rows = [(0 if i < 2000 else i, [float(x) for x in r]) for i, r in enumerate(a)]
+    m = spark.createDataFrame(rows, "key long, row array<double>").repartition(8)
+    mixed = nm.mix_rows(m, 20, 2, seed=1)
+    assert mixed.count() == 3000
+    assert np.allclose(factor(nm.gram(mixed, schedule=1)), a.T @ a, rtol=1e-12)
+    assert mixed.filter("key = 0").count() == 2000
+
+
 def test_mixing_needs_keys(spark):
     with pytest.raises(ValueError, match="key"):
         nm.mix_rows(matrix(spark, TINY).select("row"))
