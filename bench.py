@@ -2,7 +2,8 @@
 
 Every query runs once unmeasured, then three times; the median counts. The
 result is written to a sink that keeps nothing, so all rows are computed.
-``--sweep`` adds block sizes, schedules and split sizes on a generated matrix.
+Two generated matrices show how speed depends on the width; ``--sweep`` adds
+more widths, and block sizes, schedules and split sizes.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ import narrowmat as nm  # noqa: E402
 from narrowmat.catalog import queries as q  # noqa: E402
 
 HEADLINE = [
-    "tsqr_lineitem", "tsqr_scheduled", "tsqr_embeddings", "gram_lineitem", "gram_embeddings",
-    "cholesky_qr", "col_sums", "col_sums_embeddings", "svd_values", "svd_left_leverage",
-    "svd_left_refined", "svd_reconstruct", "least_squares", "least_squares_wide", "center_rows",
-    "pca_gram", "word_count", "duplicate_keys", "matrix_shape", "text_roundtrip",
-    "fixed_records", "rgb_sums", "image_regression", "image_pca", "gen_matrix_r", "mix_rows",
-    "profile_values",
+    "tsqr_lineitem", "tsqr_embeddings", "tsqr_scheduled", "gram_lineitem", "gram_embeddings",
+    "cholesky_qr", "col_sums", "col_sums_embeddings", "svd_left_leverage", "svd_reconstruct",
+    "least_squares", "pca_gram", "word_count", "duplicate_keys", "text_roundtrip",
+    "fixed_records", "image_pca", "gen_matrix_r", "mix_rows", "profile_values",
 ]
 
+# Published cells (rows x columns) per second and map slot of a 100,000,000 x 500
+# factorisation in C++, and of its two Python versions.
+PUBLISHED_CELLS_PER_SLOT = {"cxx": 703_000, "python_fast": 367_000, "python_slow": 227_000}
+
 
 def session(cpus: str) -> SparkSession:
     spark = (
@@ -62,27 +65,50 @@ def drain(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def sweep(spark) -> dict:
+def generated(spark, cells: int, n: int):
+    """A matrix of about ``cells`` numbers in Parquet; gives its path and rows."""
+    path = q.scratch(spark, f"bench{n}")
+    m = nm.gen_matrix(spark, cells // n, n, maprows=10 * n, parts=16)
+    nm.save(m, path)
+    return path, spark.read.parquet(path).count()
+
+
+def reader(spark, path, n):
+    return lambda: nm.as_matrix(spark.read.parquet(path), n=n)
+
+
+def widths(spark, cells: int, sizes, cpus: int) -> dict:
+    """TSQR and column sums over matrices of different shape and equal size."""
+    found = {}
+    for n in sizes:
+        path, rows = generated(spark, cells, n)
+        read = reader(spark, path, n)
+        took = seconds(lambda: drain(nm.tsqr(read())))
+        found[f"{rows}x{n}"] = {
+            "tsqr": took,
+            "col_sums": seconds(lambda: drain(nm.col_sums(read()))),
+            "tsqr_cells_per_core_second": round(rows * n / took / cpus),
+        }
+    return found
+
+
+def sweep(spark, cells: int) -> dict:
     """Seconds of TSQR over block sizes, schedules and split sizes."""
     found = {}
-    for n, rows in ((50, 400_000), (200, 100_000)):
-        path = q.scratch(spark, f"sweep{n}")
-        nm.save(nm.gen_matrix(spark, rows, n, maprows=10 * n), path)
-        read = lambda: nm.as_matrix(spark.read.parquet(path), n=n)
-        mib = rows * n * 8 / (1 << 20)
+    for n in (50, 500):
+        path, _ = generated(spark, cells, n)
+        read = reader(spark, path, n)
         for size in (2, 3, 5, 10, 20, 50, None):
             took = seconds(lambda: drain(nm.tsqr(read(), blocksize=size)), 2)
             found[f"n{n} blocksize {size or 'auto'}"] = took
         for schedule in ("1", "8,1", "s16,8,1", None):
             took = seconds(lambda: drain(nm.tsqr(read(), schedule=schedule)), 2)
             found[f"n{n} schedule {schedule or 'auto'}"] = took
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
         for split in (4, 16, 64):
-            spark.conf.set("spark.sql.files.maxPartitionBytes", f"{split}m")
+            nm.use_split_bytes(spark, split << 20)
             found[f"n{n} split {split}m"] = seconds(lambda: drain(nm.tsqr(read())), 2)
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        took = seconds(lambda: drain(nm.col_sums(read())), 2)
-        found[f"n{n} col_sums"] = took
-        found[f"n{n} MiB"] = round(mib)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return found
 
 
@@ -98,7 +124,7 @@ def main() -> None:
     for name in options.names or HEADLINE:
         times[name] = seconds(lambda: drain(q.QUERIES[name](spark, folder)))
         print(f"{name} {times[name]}", file=sys.stderr, flush=True)
-    rows = {name: q.table(spark, folder, name).count() for name in ("lineitem", "embeddings")}
+    rows = q.table(spark, folder, "lineitem").count()
     result = {
         "metric": "sum of headline query medians",
         "value": round(sum(times.values()), 3),
@@ -108,9 +134,14 @@ def main() -> None:
         "cpus": cpus,
     }
     if "tsqr_lineitem" in times:
-        result["tsqr_rows_per_second"] = round(rows["lineitem"] / times["tsqr_lineitem"])
+        result["tsqr_rows_per_second"] = round(rows / times["tsqr_lineitem"])
+    if not options.names:
+        # As many numbers as sixteen columns of lineitem.
+        result["widths"] = widths(spark, 16 * rows, (50, 500), int(cpus))
+        result["published_cells_per_slot_second"] = PUBLISHED_CELLS_PER_SLOT
     if options.sweep:
-        result["sweep"] = sweep(spark)
+        result["widths"].update(widths(spark, 16 * rows, (100, 1000), int(cpus)))
+        result["sweep"] = sweep(spark, 16 * rows)
     spark.stop()
     print(json.dumps(result), flush=True)
 

@@ -18,7 +18,7 @@ from narrowmat.sources.tables import width
 
 # Up to this width all products of two columns are plain SQL sums: one
 # generated aggregate without Python. Wider, numpy blocks are faster.
-SQL_GRAM_COLUMNS = 12
+SQL_GRAM_COLUMNS = 8
 
 
 class Counted(NamedTuple):

@@ -33,6 +33,9 @@ def compare(spark, con, folder, make, sql):
     """None if equal, else what differs. Also seconds of both sides."""
     began = time.time()
     df = make(spark, folder)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+        return "the plan has a cross join", (0.0, 0.0)
     ours = _rows(df.columns, df.collect())
     middle = time.time()
     result = con.execute(sql)

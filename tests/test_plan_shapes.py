@@ -53,9 +53,3 @@ def test_projection_and_features_do_not_shuffle(spark, sf):
 def test_sums_combine_before_the_shuffle(spark, sf, name):
     below = plan(q.QUERIES[name](spark, sf)).rsplit("Exchange", 1)[1]
     assert "partial_" in below
-
-
-@pytest.mark.parametrize("name", sorted(q.QUERIES))
-def test_no_query_has_a_cross_join(spark, sf, name):
-    text = plan(q.QUERIES[name](spark, sf))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text

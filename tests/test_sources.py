@@ -151,6 +151,14 @@ def test_array_rows_raise_or_drop(spark):
     assert [r.row for r in kept] == [[1.0, 2.0], [3.0, 4.0]]
 
 
+def test_rows_with_nan_and_null(spark):
+    nan = float("nan")
+    rows = [(1, [nan, 1.0]), (2, [nan, None]), (3, [None, nan]), (4, [None, None]), (5, [])]
+    df = spark.createDataFrame(rows, "key long, v array<double>")
+    kept = nm.as_matrix(df, row="v", n=2, on_bad_rows="drop").collect()
+    assert [r.key for r in kept] == [1]
+
+
 def test_text_rows_in_any_job(spark):
     lines = spark.createDataFrame(
         [(" ".join(str(x) for x in row),) for row in TINY] + [("",)], "value string"
