@@ -233,7 +233,7 @@ def oracles() -> dict[str, str]:
         ),
         "center_rows": rows_sql("embeddings", "vec_id", CENTRED_ROW, 64, 7),
         "pca_gram": centred_gram,
-        "pca_rank": "SELECT max(len(embedding)) - 1 AS rank FROM embeddings",
+        "pca_rank": "SELECT max(len(embedding))::integer - 1 AS rank FROM embeddings",
         "col_sums": f"WITH {gram_cte(LINEITEM, 'lineitem')} "
         + " UNION ALL ".join(
             f"SELECT {j} AS j, round(sum(c{j}), 3) + 0.0 AS value FROM m" for j in range(4)
@@ -258,7 +258,6 @@ def oracles() -> dict[str, str]:
         "replicate": gram_sql(LINEITEM, "lineitem", 3, factor="3"),
         "profile_values": """
             WITH p AS (SELECT json(props) AS v FROM events),
-            o AS (SELECT '$' AS path, 'object' AS type, json_array_length(json_keys(v)) AS n FROM p),
             k AS (SELECT unnest(json_keys(v)) AS name, v FROM p),
             f AS (SELECT '$.' || name AS path,
                          CASE json_type(v, '$.' || name)
@@ -266,7 +265,7 @@ def oracles() -> dict[str, str]:
                               ELSE json_type(v, '$.' || name) END AS type,
                          NULL::integer AS n FROM k)
             SELECT path, type, count(*) AS count, min(n) AS min_len, max(n) AS max_len
-            FROM (SELECT path, type, len(json_keys(v)) AS n
+            FROM (SELECT path, type, len(json_keys(v))::integer AS n
                   FROM (SELECT '$' AS path, 'object' AS type, v FROM p)
                   UNION ALL SELECT * FROM f)
             GROUP BY path, type""",
@@ -278,7 +277,7 @@ def oracles() -> dict[str, str]:
                  ('$.info', 'object', 2, 1), ('$.info.brand', 'string', -2, 1),
                  ('$.info.none', 'null', NULL, 1)) t(path, type, size, each),
                  LATERAL (SELECT CASE size WHEN -1 THEN length(p_name)
-                                 WHEN -2 THEN length(p_brand) ELSE size END AS n)
+                                 WHEN -2 THEN length(p_brand) ELSE size END::integer AS n)
             GROUP BY path, type, each""",
         "text_rows": rows_sql(
             "part", "p_partkey", "[p_partkey::double, p_size::double, p_retailprice]", 3, 6

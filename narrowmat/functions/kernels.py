@@ -18,6 +18,20 @@ MAX_COLUMNS = 8192
 MIN_BLOCK_ROWS = 4000
 
 
+def binary_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column as where its values begin (and the last ends), from 0,
+    and all their bytes, without a copy."""
+    if column.type != pa.binary():
+        column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros(1, dtype=np.int32), np.empty(0, dtype=np.uint8)
+    _, offsets, data = column.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int32)
+    edges = edges[column.offset : column.offset + len(column) + 1]
+    body = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, dtype=np.uint8)
+    return edges - edges[0], body[edges[0] : edges[-1]]
+
+
 def row_block(column: pa.Array) -> np.ndarray:
     """An ``array<double>`` column as a rows x width block, without a copy."""
     if len(column) == 0:
@@ -118,7 +132,7 @@ class QRBlocks(Kernel):
         elif self.blocksize is not None:
             limit = self.blocksize * self.width
         else:
-            limit = max(3 * self.width, MIN_BLOCK_ROWS)
+            limit = max(2 * self.width, MIN_BLOCK_ROWS)
         self.held = np.empty((limit + 1, self.width))
         self.count = 0
 

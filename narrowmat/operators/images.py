@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
-from narrowmat.functions.kernels import centred_block, row_column
+from narrowmat.functions.kernels import binary_bytes, centred_block, row_column
 from narrowmat.operators.regress import LeastSquares, least_squares
 from narrowmat.operators.svd import SVD, svd
 
@@ -24,12 +24,10 @@ def image_planes(values: pa.Array, side: int) -> np.ndarray:
     size = 3 * side * side
     if values.null_count:
         raise ValueError("image record is null")
-    edges = np.frombuffer(values.buffers()[1], dtype=np.int32)
-    edges = edges[values.offset : values.offset + len(values) + 1]
+    edges, body = binary_bytes(values)
     if np.any(np.diff(edges) != size):
         raise ValueError(f"image records must have {size} bytes")
-    data = np.frombuffer(values.buffers()[2] or b"", dtype=np.uint8)
-    return data[edges[0] : edges[-1]].reshape(len(values), 3, side * side)
+    return body.reshape(len(values), 3, side * side)
 
 
 def gray_block(planes: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from narrowmat.functions import cells
+from narrowmat.functions.kernels import binary_bytes
 
 # What is put before the extension of a matrix name to name the
 # result of an operation on it.
@@ -77,15 +78,12 @@ def _unpack(batches):
         packed = batch.column(batch.num_columns - 1)
         if packed.null_count:
             raise ValueError("packed row is null")
-        edges = np.frombuffer(packed.buffers()[1], dtype=np.int32)
-        edges = edges[packed.offset : packed.offset + len(packed) + 1]
+        edges, body = binary_bytes(packed)
         if np.any(np.diff(edges) % 8):
             raise ValueError("packed row is not a whole number of doubles")
-        data = packed.buffers()[2]
-        body = np.frombuffer(data, dtype=np.uint8) if data else np.empty(0, np.uint8)
-        values = np.frombuffer(body[edges[0] : edges[-1]].tobytes(), dtype="<f8")
+        values = np.frombuffer(body.tobytes(), dtype="<f8")
         rows = pa.ListArray.from_arrays(
-            pa.array((edges - edges[0]) // 8), pa.array(values)
+            pa.array(edges // 8), pa.array(values)
         )
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], rows], names=batch.schema.names
@@ -98,12 +96,12 @@ def _pack(batches):
         if rows.null_count or rows.flatten().null_count:
             raise ValueError("null in a matrix row")
         edges = rows.offsets.to_numpy()
-        edges = ((edges - edges[0]) * 8).astype(np.int32)
+        edges = (edges - edges[:1]) * 8
         data = rows.flatten().to_numpy(zero_copy_only=False).astype("<f8")
         packed = pa.Array.from_buffers(
             pa.binary(),
             len(rows),
-            [None, pa.py_buffer(edges.tobytes()), pa.py_buffer(data.tobytes())],
+            [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())],
         )
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-1], packed], names=batch.schema.names
