@@ -21,7 +21,7 @@ from narrowmat.operators.pca import center_rows, pca
 from narrowmat.operators.profile import profile_values
 from narrowmat.operators.regress import least_squares
 from narrowmat.operators.stats import (
-    col_sums, duplicate_keys, matrix_shape, peek, word_count,
+    col_sums, duplicate_keys, matrix_shape, peek, row_widths, word_count,
 )
 from narrowmat.operators.svd import (
     project, svd, svd_left, top_components, variance_share,

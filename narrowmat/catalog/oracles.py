@@ -255,6 +255,7 @@ def oracles() -> dict[str, str]:
             SELECT count(*) AS nrows, min(n) AS ncols_min, max(n) AS ncols_max,
                    min(n) <> max(n) AS ragged,
                    count(*) = max(n) AND min(n) = max(n) AS square FROM {RAGGED}""",
+        "row_widths": f"SELECT n AS width, count(*) AS nrows FROM {RAGGED} GROUP BY n",
         "replicate": gram_sql(LINEITEM, "lineitem", 3, factor="3"),
         "profile_values": """
             WITH p AS (SELECT json(props) AS v FROM events),

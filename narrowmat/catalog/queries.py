@@ -386,6 +386,11 @@ def matrix_shape_ragged(spark, folder):
     return nm.matrix_shape(ragged(spark, folder))
 
 
+@query
+def row_widths(spark, folder):
+    return nm.row_widths(ragged(spark, folder))
+
+
 @query
 def replicate(spark, folder):
     return long_form(nm.gram(nm.replicate(lineitem(spark, folder), 3)), 3)

@@ -60,6 +60,11 @@ def matrix_shape(m: DataFrame) -> DataFrame:
     )
 
 
+def row_widths(m: DataFrame) -> DataFrame:
+    """How many rows there are of each ``width``: one line unless rows are ragged."""
+    return m.groupBy(F.size("row").alias("width")).agg(F.count("*").alias("nrows"))
+
+
 def peek(df: DataFrame, k: int = 2) -> DataFrame:
     """The first ``k`` records: ``key`` (or ``record``), length, first ten bytes."""
     key = "key" if "key" in df.columns else "record"

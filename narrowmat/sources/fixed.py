@@ -9,6 +9,7 @@ object stores are read in Arrow batches by a Python data source; other schemes
 from __future__ import annotations
 
 import os
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,6 +155,12 @@ def _read_arrow(spark, path, length, split_bytes):
 
 
 def _read_hadoop(spark, path, length, split_bytes):
+    # Lists the files without opening them; the input format would unpack them.
+    names = spark.read.format("binaryFile").load(path).select("path")
+    endings = "|".join(re.escape(ending) for ending in COMPRESSED)
+    packed = names.filter(F.lower("path").rlike(f"({endings})$")).first()
+    if packed:
+        refuse_compressed(packed.path)
     conf = {"fixedlengthinputformat.record.length": str(length)}
     if split_bytes is not None:
         conf["mapreduce.input.fileinputformat.split.minsize"] = str(split_bytes)
@@ -182,7 +189,7 @@ def read_fixed(
     ``offset`` is where the record starts in its file and ``record`` its number
     there. With ``key_start`` and ``key_end``, ``key`` holds those bytes of the
     record (both included, counted from 0). ``engine`` is ``"arrow"`` or
-    ``"hadoop"``; left out, the scheme of the path decides.
+    ``"hadoop"``; left out, the path decides (its scheme, and wildcards).
     """
     if record_length is None or record_length <= 0:
         raise ValueError("record_length must be 1 or more")
@@ -195,7 +202,10 @@ def read_fixed(
     if engine not in (None, "arrow", "hadoop"):
         raise ValueError("engine must be 'arrow' or 'hadoop'")
     refuse_compressed(path)
-    engine = engine or ("arrow" if _scheme(path) in ARROW_SCHEMES else "hadoop")
+    if engine is None:
+        pattern = any(c in path for c in "*?[{")
+        direct = _scheme(path) in ARROW_SCHEMES and not pattern
+        engine = "arrow" if direct else "hadoop"
     read = _read_arrow if engine == "arrow" else _read_hadoop
     records = read(spark, path, record_length, split_bytes)
     columns = [

@@ -274,6 +274,7 @@ def test_engines_agree_on_a_folder(spark, tmp_path):
     assert pick("arrow") == pick("hadoop")
     uri = nm.read_fixed(spark, f"file://{tmp_path}", 12)
     assert uri.count() == 57
+    assert nm.read_fixed(spark, f"{tmp_path}/*.bin", 12).count() == 57
 
 
 @pytest.mark.parametrize("engine", ["arrow", "hadoop"])
@@ -285,11 +286,14 @@ def test_truncated_files_raise(spark, tmp_path, engine):
 
 def test_refused_readers(spark, tmp_path):
     path = str(tmp_path / "z.bin.gz")
-    gzip.open(path, "wb").write(b"0" * 20)
+    with gzip.open(path, "wb") as packed:
+        packed.write(b"0" * 20)
     with pytest.raises(ValueError, match="compressed"):
         nm.read_fixed(spark, path, 10)
     with pytest.raises(PySparkException, match="compressed"):
         nm.read_fixed(spark, str(tmp_path), 10).collect()
+    with pytest.raises(ValueError, match="compressed"):
+        nm.read_fixed(spark, str(tmp_path), 10, engine="hadoop")
     for bad in ((0,), (-1,), (None,), (10, 3), (10, None, 3), (10, 4, 3), (10, 0, 10), (10, -1, 3)):
         with pytest.raises(ValueError):
             nm.read_fixed(spark, "x", *bad)

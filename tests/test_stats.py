@@ -54,6 +54,7 @@ def test_matrix_shape(spark):
     assert square.square
     ragged = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "row array<double>")
     assert tuple(nm.matrix_shape(ragged).first()) == (2, 1, 2, True, False)
+    assert {tuple(r) for r in nm.row_widths(ragged).collect()} == {(1, 1), (2, 1)}
     empty = nm.matrix_shape(matrix(spark, TINY).filter("key < 0")).first()
     assert tuple(empty) == (0, None, None, False, False)
 
