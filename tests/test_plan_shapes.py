@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 import narrowmat as nm
 from narrowmat.catalog import queries as q

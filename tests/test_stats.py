@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import narrowmat as nm
-from helpers import TINY, factor, matrix
+from helpers import TINY, matrix
 
 
 def words(spark, *texts, sep=" "):
