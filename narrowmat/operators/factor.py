@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from narrowmat.functions import cells
 from narrowmat.functions.kernels import GramSum, QRBlocks, row_block, row_column
 from narrowmat.plans.reduce import Features, block_reduce
-from narrowmat.sources.tables import width
+from narrowmat.sources.tables import known_width, marked
 
 # Up to this width all products of two columns are plain SQL sums: one
 # generated aggregate without Python. Wider, numpy blocks are faster.
@@ -76,7 +76,12 @@ def tsqr(
     _check_blocks(blocksize, block_rows)
     make = partial(QRBlocks, blocksize, block_rows)
     out = block_reduce(m, make, schedule, features, counters=stats)
-    return _counted(out) if stats else out
+    return _counted(out) if stats else _with_width_of(m, features, out)
+
+
+def _with_width_of(m, features, factor):
+    n = None if features else known_width(m)
+    return factor.select("i", marked(F.col("row"), n))
 
 
 def _counted(out: DataFrame) -> Counted:
@@ -120,14 +125,15 @@ def gram(
 ) -> DataFrame:
     """``AᵀA`` as a full symmetric factor.
 
-    Narrow matrices are summed by SQL aggregates; wider ones (and any with a
-    ``schedule`` or ``features``) in numpy blocks combined over the schedule.
+    Narrow matrices are summed by SQL aggregates; wider ones, those whose width
+    the schema does not tell, and any with a ``schedule`` or ``features``, in
+    numpy blocks combined over the schedule.
     """
     if schedule is None and features is None:
-        n = width(m)
-        if n <= SQL_GRAM_COLUMNS:
+        n = known_width(m)
+        if n and n <= SQL_GRAM_COLUMNS:
             return _sql_gram(m, n)
-    return block_reduce(m, GramSum, schedule, features)
+    return _with_width_of(m, features, block_reduce(m, GramSum, schedule, features))
 
 
 def cholesky_of(g: np.ndarray) -> np.ndarray:

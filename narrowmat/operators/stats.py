@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from narrowmat.functions import cells
 from narrowmat.functions.kernels import ColumnSum
 from narrowmat.plans.reduce import block_reduce
-from narrowmat.sources.tables import width
+from narrowmat.sources.tables import known_width
 
 # Up to this width column sums are plain SQL sums; wider, numpy blocks.
 SQL_SUM_COLUMNS = 32
@@ -17,8 +17,8 @@ SQL_SUM_COLUMNS = 32
 
 def col_sums(m: DataFrame, schedule=None) -> DataFrame:
     """Sum of every column as ``j, value``."""
-    n = width(m)
-    if n <= SQL_SUM_COLUMNS and schedule is None:
+    n = known_width(m)
+    if n and n <= SQL_SUM_COLUMNS and schedule is None:
         at = [cells.cell(F.col("row")[j], f"column {j}") for j in range(n)]
         total = m.agg(*[F.sum(c).alias(f"s{j}") for j, c in enumerate(at)])
         sums = total.filter(F.col("s0").isNotNull()).select(

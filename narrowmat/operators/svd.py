@@ -12,6 +12,7 @@ from narrowmat.functions.kernels import (
     check_width, chunks, rank_tolerance, row_block, row_column,
 )
 from narrowmat.operators.factor import collect_factor, factor_frame, tsqr
+from narrowmat.sources.tables import known_width
 
 
 @dataclass
@@ -114,7 +115,7 @@ def project(m: DataFrame, matrix) -> DataFrame:
         if x.ndim != 2:
             raise ValueError("project needs two-dimensional matrices")
         check_width(max(x.shape))
-    known = m.schema["row"].metadata.get("ncols")
+    known = known_width(m)
     if known and known != matrices[0].shape[0]:
         raise ValueError(
             f"rows of width {known} times a matrix of {matrices[0].shape[0]} rows"

@@ -31,8 +31,8 @@ def _column(item: str | Column) -> Column:
     return F.col(item) if isinstance(item, str) else item
 
 
-def _marked(row: Column, width: int | None) -> Column:
-    # The width rides along as column metadata, which saves a job later on.
+def marked(row: Column, width: int | None) -> Column:
+    """``row``, with its width as column metadata, which saves a job later on."""
     return row.alias("row", metadata={"ncols": width}) if width else row.alias("row")
 
 
@@ -41,11 +41,16 @@ def _check_mode(on_bad_rows: str) -> None:
         raise ValueError("on_bad_rows must be 'raise' or 'drop'")
 
 
+def known_width(m: DataFrame) -> int | None:
+    """Number of columns if the schema is marked with it."""
+    return m.schema["row"].metadata.get("ncols")
+
+
 def width(m: DataFrame) -> int:
     """Number of columns, from the schema if it is marked, else from one row."""
-    known = m.schema["row"].metadata.get("ncols")
+    known = known_width(m)
     if known:
-        return int(known)
+        return known
     first = m.select(F.size("row").alias("n")).first()
     if first is None:
         raise ValueError("the matrix has no rows")
@@ -63,14 +68,14 @@ def validate_matrix(
     others = [c for c in m.columns if c != "row"]
     row = F.col("row")
     if on_bad_rows == "drop":
-        return m.filter(cells.is_full(row, n)).select(*others, _marked(row, n))
+        return m.filter(cells.is_full(row, n)).select(*others, marked(row, n))
     problem = F.concat(
         F.lit(f"matrix row must have {n} non-null entries, found "),
         F.coalesce(F.to_json(F.struct(row)), F.lit("null")),
     )
     kind = "array<double>"
     held = F.when(cells.is_full(row, n), row).otherwise(cells.fail(problem, kind))
-    return m.select(*others, _marked(held, n))
+    return m.select(*others, marked(held, n))
 
 
 def _unpack(batches):
@@ -160,7 +165,7 @@ def as_matrix(
             df = df.filter(full)
         else:
             entries = [cells.cell(e, str(c)) for e, c in zip(entries, cols)]
-        return df.select(*keys, _marked(F.array(*entries), len(entries)))
+        return df.select(*keys, marked(F.array(*entries), len(entries)))
     row = row or ("row" if "row" in df.columns else df.columns[-1])
     kind = df.schema[row].dataType
     value = F.col(row)
@@ -210,7 +215,7 @@ def as_labelled(
     if row is not None:
         return df.select(*keys, label, F.col(row).cast("array<double>").alias("row"))
     entries = [cells.cell(_column(c), str(c)) for c in cols]
-    return df.select(*keys, label, _marked(F.array(*entries), len(entries)))
+    return df.select(*keys, label, marked(F.array(*entries), len(entries)))
 
 
 def replicate(df: DataFrame, times: int) -> DataFrame:

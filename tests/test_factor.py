@@ -23,7 +23,7 @@ def test_golden_r(spark):
 
 
 def test_golden_gram_both_ways(spark):
-    m = matrix(spark, TINY)
+    m = nm.validate_matrix(matrix(spark, TINY), 4)
     assert np.array_equal(factor(nm.gram(m)), GOLDEN_GRAM)
     assert np.array_equal(factor(nm.gram(m, schedule=(4, 1))), GOLDEN_GRAM)
 
@@ -110,6 +110,8 @@ def test_ragged_and_null_rows_raise(spark):
             nm.gram(df, schedule=1).collect()
         with pytest.raises(PySparkException):
             nm.gram(nm.as_matrix(df, n=2)).collect()
+        with pytest.raises(PySparkException):
+            nm.gram(df).collect()
 
 
 def test_partitions_of_different_width_raise(spark):
@@ -201,3 +203,16 @@ def test_adaptive_stage_has_few_tasks_for_little_data(spark):
     m = matrix(spark, np.random.default_rng(8).standard_normal((500, 3)), 40)
     tasks = {r.stage: r.tasks for r in nm.tsqr(m, stats=True).stats.collect()}
     assert tasks[0] == 40 and tasks[1] <= 8
+
+
+def test_factors_of_factors_run_no_job_early(spark):
+    from narrowmat.sources.tables import known_width
+
+    m = nm.validate_matrix(matrix(spark, TINY), 4)
+    assert known_width(nm.tsqr(m)) == 4
+    assert known_width(nm.tsqr(m, features=lambda batch: None)) is None
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    nm.gram(nm.tsqr(matrix(spark, TINY)).select("row"))
+    nm.col_sums(nm.center_rows(m))
+    assert not list(seen.getJobIdsForGroup("lazy"))

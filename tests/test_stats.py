@@ -13,7 +13,7 @@ def words(spark, *texts, sep=" "):
 
 
 def test_column_sums_both_ways(spark):
-    m = matrix(spark, TINY)
+    m = nm.validate_matrix(matrix(spark, TINY), 4)
     for schedule in (None, (2, 1)):
         sums = nm.col_sums(m, schedule).collect()
         assert {r.j: r.value for r in sums} == {0: 57.0, 1: -2.0, 2: 5.0, 3: -1.0}
