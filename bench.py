@@ -143,7 +143,7 @@ def main() -> None:
         result["widths"] = widths(spark, 16 * rows, (50, 500), int(cpus))
         result["published_cells_per_slot_second"] = PUBLISHED_CELLS_PER_SLOT
     if options.sweep:
-        result["widths"].update(widths(spark, 16 * rows, (100, 1000), int(cpus)))
+        result.setdefault("widths", {}).update(widths(spark, 16 * rows, (100, 1000), int(cpus)))
         result["sweep"] = sweep(spark, 16 * rows)
     spark.stop()
     print(json.dumps(result), flush=True)
