@@ -6,6 +6,7 @@ import oracle
 
 entry = importlib.import_module("__spark_entry__")
 ORACLES = entry.oracle_sql()
+QUERIES = importlib.import_module("narrowmat.catalog.queries").QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con(sf):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(ORACLES)
+    assert set(QUERIES) <= set(ORACLES)
 
 
 def test_flagship(spark):
@@ -22,7 +23,7 @@ def test_flagship(spark):
     assert df.columns == ["i", "j", "value"] and df.count() == 16
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf, name):
     difference, _ = oracle.compare(spark, con, sf, entry.queries()[name], ORACLES[name])
     assert difference is None, difference
