@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from narrowmat.llm import exact_dedup, mixing, near_dedup
+import public_tokenizers
+
+from narrowmat.llm import bpe, exact_dedup, language, mixing, near_dedup
 from narrowmat.llm.common import written
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Stage 1: documents whose language is not recognised go."""
+    return language.accepted(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +30,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
-STAGES = [("exact", exact), ("near", near), ("mix", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 5: every document of the mix as token ids, and decoded again."""
+    return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("identify", identify), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
+
+# Languages, signatures, duals and merges are beyond SQL; tests compare by brute force.
 
 ORACLE_SQL = None
 

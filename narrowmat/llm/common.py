@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # A-Z become a-z; nothing else changes (ASCII only, as the contracts ask).
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Words are what lies between these bytes: space, tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -36,7 +38,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     files, so a lost executor costs no more than the step at hand."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    # Shuffle files of this job serve nothing afterwards; drop them with it.
+    old = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, old)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -160,7 +168,25 @@ def numbers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data.tobytes(), dtype=dtype), np.diff(offsets) // size
 
 
+def guarded(df: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """``df`` with all columns but the wanted ones renamed by position, so that no
+    name (also none that differs in case only) can clash with what an operator
+    adds. ``restored`` gives the old names back."""
+    names, left = [], list(wanted)
+    for k, c in enumerate(df.columns):
+        if c in left:
+            left.remove(c)
+            names.append(c)
+        else:
+            names.append(f"__extra{k}")
+    return df.toDF(*names)
+
+
+def restored(df: DataFrame, like: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """The columns of ``like`` from a frame made of ``guarded(like, wanted)``."""
+    return df.select(*guarded(like, wanted).columns).toDF(*like.columns)
+
+
 def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns; names that differ only in case do not clash, since
-    every other column is left out first."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+    """The named columns and nothing else."""
+    return guarded(df, columns).select(*columns)

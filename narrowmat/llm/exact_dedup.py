@@ -12,17 +12,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from narrowmat.llm.common import discard, only, written
+from narrowmat.llm.common import discard, guarded, only, restored, written
 
 BLOCK_BYTES = 1024
 
 
-def _named(distinct: DataFrame, columns: list[str], label: str) -> DataFrame:
+def _named(distinct: DataFrame, columns: list[str], label: str, keep: list[str] | None = None) -> DataFrame:
     """Number the rows of ``distinct``. They lie hashed over the partitions by the
     grouping that made them; sorted there, a row's name is its partition and
     its place. Written down, so that nobody ever sees another numbering."""
     names = distinct.sortWithinPartitions(*columns).withColumn("name", F.monotonically_increasing_id())
-    return written(names, label)
+    return written(names.select(*(keep or columns), "name"), label)
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -40,8 +40,20 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         lambda i: F.substring(F.col("b"), i * block_bytes + 1, F.lit(block_bytes)),
     )
     blocks = rows.select("doc_id", "sha", "nb", F.posexplode(cut).alias("pos", "block"))
-    names = _named(blocks.select("block").distinct(), ["block"], "blocks")
-    parts = blocks.join(names, "block").select("doc_id", "sha", "nb", "pos", "name", F.lit(1).alias("n"))
+    # Distinct blocks travel once, to be named. Occurrences then find their name by
+    # a hash of the block wherever only one block has that hash (all but never
+    # otherwise), and by the block itself where several do.
+    hashed = blocks.withColumn("h", F.xxhash64("block"))
+    names = _named(hashed.select("h", "block").distinct(), ["h", "block"], "blocks", ["h"])
+    shared = names.groupBy("h").agg(F.count("*").alias("many")).filter("many > 1").select("h")
+    parts = hashed.drop("block").join(names, "h")
+    if not shared.isEmpty():
+        odd = hashed.join(shared, "h", "left_semi")
+        exact = _named(odd.select("h", "block").distinct(), ["h", "block"], "odd").withColumn("name", -2 - F.col("name"))
+        parts = hashed.drop("block").join(names.join(shared, "h", "left_anti"), "h").unionByName(
+            odd.join(exact, ["h", "block"]).drop("block")
+        )
+    parts = parts.select("doc_id", "sha", "nb", "pos", "name", F.lit(1).alias("n"))
     even, done, level = F.col("pos") % 2 == 0, None, 0
     while True:
         # Rows that repeat a (doc_id, text) fall together here; n counts them.
@@ -95,8 +107,9 @@ def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         F.max("kept").alias("kept"), F.count("*").alias("n")
     )
     kept = kept.filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("n").alias("__n"))
-    keyed = docs.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    rows = guarded(docs, ("doc_id", "text"))
+    keyed = rows.withColumn("__own", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     hit = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
     alone = hit.filter("__n = 1")
     again = hit.filter("__n > 1").dropDuplicates(["__id", "__sha"])
-    return alone.unionAll(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(alone.unionAll(again), docs, ("doc_id", "text"))

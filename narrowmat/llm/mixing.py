@@ -16,11 +16,13 @@ import math
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from narrowmat.llm.common import WORD, only, written
+from narrowmat.llm.common import WORD, guarded, restored, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 SALTS = 256
+NEEDED = ("doc_id", "source", "text")
+FRESH = ("size", "source_size", "target", "copies", "taken")
 STEPS = 60
 
 
@@ -125,8 +127,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
     The driver sees one row per source and nothing else; columns of ``docs``
     with these names are replaced. Sources are configuration-sized.
     """
-    fresh = ["size", "source_size", "target", "copies", "taken"]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in fresh])
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in FRESH])
     docs = docs.withColumn("size", n_words())
     small = docs.select("doc_id", "source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("__salt"))
     spread = written(small.groupBy("source", "size", "__salt").agg(F.count("*").alias("n")), "sizes")
@@ -171,6 +172,6 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as ``mix`` says, columns of ``docs``."""
-    rows = mix(docs, **options).filter("copies > 0")
+    rows = mix(guarded(docs, NEEDED), **options).filter("copies > 0")
     again = rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    return again.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return restored(again, docs, NEEDED)

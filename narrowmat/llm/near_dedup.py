@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from narrowmat.llm.common import WordHasher, binary_column, discard, mix, numbers, only, text_buffers, written
+from narrowmat.llm.common import WordHasher, binary_column, discard, guarded, mix, numbers, only, restored, text_buffers, written
 from narrowmat.llm.components import components
 
 SHINGLE = 5
@@ -357,4 +357,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, with all
     columns. Rows that repeat its doc_id stay with it."""
     gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = guarded(docs, ("doc_id", "text"))
+    return restored(rows.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"), docs, ("doc_id", "text"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from narrowmat.llm import exact_dedup, mixing, near_dedup
+from narrowmat.llm import bpe, exact_dedup, language, licenses, lm, mixing, near_dedup, neighbours, rans, warc
 from narrowmat.llm.common import table
 
 QUERIES = {}
@@ -29,3 +29,40 @@ def op5_mixing(spark, sf_dir):
 @query
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_language(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc(spark, sf_dir):
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_rans(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return rans.write_and_read(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op6_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_bpe(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.encode(table(spark, sf_dir, "documents"), path)
+
+
+@query
+def op8_licenses(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lm_score(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"))
