@@ -30,7 +30,7 @@ CACHE_WORDS = 1 << 18
 BATCH_CHARS = 1 << 21
 END_ID = 0
 MAGIC = b"RNS1"
-HEAD = struct.Struct("<4sIIIII")  # magic, ids, lanes, checkpoints, words, crc of the rest
+HEAD, HEAD_BYTES = "<4sIIIII", 24  # magic, ids, lanes, checkpoints, words, crc of the rest
 
 
 class Table:
@@ -80,21 +80,21 @@ def encode_block(ids: np.ndarray, table: Table) -> bytes:
     total = written_words
     body = b"".join(struct.pack("<I", total - w) + s.tobytes() for w, s in reversed(marks))
     body += np.concatenate(words[::-1]).tobytes() if words else b""
-    return HEAD.pack(MAGIC, n, lanes, len(marks), total, zlib.crc32(body)) + body
+    return struct.pack(HEAD, MAGIC, n, lanes, len(marks), total, zlib.crc32(body)) + body
 
 
 def decode_block(data: bytes, table: Table, start: int = 0, stop: int | None = None) -> np.ndarray:
     """Ids ``start`` to ``stop`` of a block, from the checkpoint before ``start``."""
-    magic, n, lanes, n_marks, total, crc = HEAD.unpack_from(data)
-    if magic != MAGIC or zlib.crc32(data[HEAD.size :]) != crc:
+    magic, n, lanes, n_marks, total, crc = struct.unpack_from(HEAD, data)
+    if magic != MAGIC or zlib.crc32(data[HEAD_BYTES :]) != crc:
         raise ValueError("a damaged block of token ids")
     stop = n if stop is None else min(stop, n)
     if start >= stop:
         return np.zeros(0, np.uint32)
     entry = 4 + 8 * lanes
-    words = np.frombuffer(data, dtype=np.uint32, offset=HEAD.size + n_marks * entry)
+    words = np.frombuffer(data, dtype=np.uint32, offset=HEAD_BYTES + n_marks * entry)
     mark = start // lanes // CHECKPOINT
-    at = HEAD.size + mark * entry
+    at = HEAD_BYTES + mark * entry
     pos = struct.unpack_from("<I", data, at)[0]
     state = np.frombuffer(data, dtype=np.uint64, count=lanes, offset=at + 4).copy()
     t0, t1 = mark * CHECKPOINT, -(-stop // lanes)
