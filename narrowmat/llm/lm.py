@@ -4,8 +4,7 @@ The model predicts a text bit by bit. Each byte (upper case folded) is a path in
 binary code; at each node three predictors give the chance of a one, from counts
 of the training texts under a hashed context: the last two bytes, the last
 four, and the word so far. Their log odds are mixed with weights gated by the
-depth in the code, and the weights follow the prediction error as the text goes
-on. They start anew every ``SEGMENT`` bytes, so many segments are scored side by
+depth in the code, and the weights follow the prediction error after each byte. They start anew every ``SEGMENT`` bytes, so many segments are scored side by
 side; the contexts reach back over the cut.
 """
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from narrowmat.llm.common import WordHasher, crc_mod, discard, mix, numbers, only, text_buffers, written
+from narrowmat.llm.common import WordHasher, crc_mod, numbers, only, text_buffers, written
 
 FREQUENT = 1 << 18
 SMOOTH = 0.1
@@ -28,7 +27,7 @@ SYMBOLS = 256
 END = 65  # "A" cannot occur once upper case is folded
 SEGMENT = 512
 SCORED = 1 << 20
-GATES = 8
+GATES = 32
 RATE = 0.02
 START = 0.45
 SLICE = 1 << 16
@@ -52,27 +51,30 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _contexts(sym: np.ndarray, starts: np.ndarray, hasher: WordHasher) -> list[np.ndarray]:
     """For every symbol its context under each predictor; texts do not see one another."""
     n = len(sym)
-    place = np.arange(n) - np.repeat(starts[:-1], np.diff(starts))
-    wide = sym.astype(np.uint64)
-    past = np.zeros(n, dtype=np.uint64)
-    found = []
+    past, found = np.zeros(n, dtype=np.uint32), []
     with np.errstate(over="ignore"):
         for k in range(1, 5):
-            shifted = np.full(n, END, dtype=np.uint64)
-            if n > k:
-                shifted[k:] = wide[:-k]
-            shifted[place < k] = END
-            past = past * np.uint64(257) + shifted
+            shifted = np.full(n, END, dtype=np.uint32)
+            shifted[k:] = sym[: max(n - k, 0)]
+            for j in range(k):  # what lies before a text
+                at = starts[:-1] + j
+                shifted[at[at < starts[1:]]] = END
+            past |= shifted << np.uint32(8 * (k - 1))
             if k in (2, 4):
-                found.append((mix(past) % np.uint64(CONTEXTS[len(found)])).astype(np.int64))
+                spread = (past ^ (past >> np.uint32(15))) * np.uint32(0x9E3779B1)
+                found.append((spread >> np.uint32(33 - CONTEXTS[len(found)].bit_length())).astype(np.int32))
         # The word so far: a running hash from the last blank or the text's start.
-        first = np.where((place == 0) | np.concatenate([[True], hasher.blank[sym[:-1]]]) if n else place == 0, np.arange(n), 0)
-        first = np.maximum.accumulate(first) if n else first
+        new = np.zeros(n, dtype=bool)
+        new[1:] = hasher.blank[sym[:-1]]
+        new[starts[:-1]] = True
+        begins = np.flatnonzero(new)
+        first = np.repeat(begins, np.diff(begins, append=n))
         hasher._grow(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(hasher.value[sym] * hasher.up[:n], out=total[1:])
-        word = mix((total[:-1] - total[first]) * hasher.down[first] + (np.arange(n) - first).astype(np.uint64))
-    found.append((word % np.uint64(CONTEXTS[2])).astype(np.int64))
+        word = (total[:-1] - total[first]) * hasher.down[first]
+        word = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    found.append((word >> np.uint64(65 - CONTEXTS[2].bit_length())).astype(np.int32))
     return found
 
 
@@ -96,7 +98,7 @@ class Code:
                 (self.one if bit else self.zero)[list(side), number] = 1
         self.length = np.array([len(p) for p in path])
         self.first = np.cumsum(self.length) - self.length
-        self.node = np.array([x for p in path for x, _ in p], dtype=np.int64)
+        self.node = np.array([x for p in path for x, _ in p], dtype=np.int32)
         self.bit = np.array([b for p in path for _, b in p], dtype=np.float32)
 
 
@@ -127,44 +129,54 @@ def log_probability(sym, starts, tables: np.ndarray, code: Code, hasher: WordHas
 
 
 def _segments(sym, contexts, begin, end, tables, code):
+    """Segments side by side, symbol by symbol; the weights of a segment follow
+    after each symbol. Symbols are laid out by place in the segment, so every
+    step works on consecutive bits."""
     lo, hi = begin[0], end[-1]
-    s = sym[lo:hi].astype(np.int64)
-    n_bits = code.length[s]
-    ends = np.cumsum(n_bits)
-    seg_end = ends[end - lo - 1]
-    seg_bits = np.diff(seg_end, prepend=0)
-    order = np.argsort(-seg_bits, kind="stable")
+    sizes = end - begin
+    order = np.argsort(-sizes, kind="stable")
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
-    longest = int(seg_bits[order[0]])
-    active = np.searchsorted(-seg_bits[order], -np.arange(longest), "left")  # segments longer than t
-    base = np.cumsum(active) - active
+    steps = int(sizes[order[0]])
+    active = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # segments longer than t
+    base = np.concatenate([[0], np.cumsum(active)])
+    place = np.arange(hi - lo) - np.repeat(begin - lo, sizes)
+    pos = base[place] + np.repeat(rank, sizes)
+
+    def laid(x):
+        out = np.empty_like(x)
+        out[pos] = x
+        return out
+
+    s = laid(sym[lo:hi])
+    n_bits = code.length[s]
+    ends = np.concatenate([[0], np.cumsum(n_bits)])
     total = int(ends[-1])
-    which = np.repeat(np.arange(len(s)), n_bits)
-    depth = np.arange(total) - np.repeat(ends - n_bits, n_bits)
-    path = code.first[s][which] + depth
-    node = code.node[path]
-    time = np.arange(total) - np.repeat(seg_end - seg_bits, seg_bits)
-    pos = base[time] + np.repeat(rank, seg_bits)
-    bit, gate = np.empty(total, np.float32), np.empty(total, np.int32)
-    bit[pos], gate[pos] = code.bit[path], np.minimum(depth, GATES - 1)
-    inputs = np.empty((total, 3), dtype=np.float32)
+    depth = np.arange(total, dtype=np.int32) - np.repeat(ends[:-1].astype(np.int32), n_bits)
+    path = np.repeat(code.first[s].astype(np.int32), n_bits) + depth
+    node, bit = code.node[path], code.bit[path]
+    lane = np.repeat((np.arange(hi - lo) - np.repeat(base[:-1], active)).astype(np.int32), n_bits)
+    home = lane * GATES + np.minimum(depth, GATES - 1)
+    inputs = []
     for k in range(3):
-        inputs[pos, k] = tables[_BASE[k] + contexts[k][lo:hi][which] * SYMBOLS + node]
-    inputs *= np.float32(1 / 16)
-    lanes = len(order)
-    weights = np.full((lanes * GATES, 3), START, dtype=np.float32)
-    home = np.arange(lanes) * GATES
-    cost = np.zeros(lanes)
-    for t in range(longest):
-        a, n = base[t], active[t]
-        x, y = inputs[a : a + n], bit[a : a + n]
-        at = home[:n] + gate[a : a + n]
-        w = weights[at]
-        p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", w, x)))
-        np.clip(p, 1e-4, 1 - 1e-4, out=p)
-        weights[at] = w + ((y - p) * np.float32(RATE))[:, None] * x
-        cost[:n] += np.log(np.abs(p - 1 + y))
+        row = laid(contexts[k][lo:hi]) * np.int32(SYMBOLS) + np.int32(_BASE[k])
+        inputs.append(tables[np.repeat(row, n_bits) + node].astype(np.float32) * np.float32(1 / 16))
+    weights = [np.full(len(order) * GATES, START, dtype=np.float32) for _ in range(3)]
+    ones = np.empty(total, dtype=np.float32)
+    rate = np.float32(RATE)
+    cuts = ends[base].tolist()
+    for t in range(steps):
+        a, b = cuts[t], cuts[t + 1]
+        at = home[a:b]
+        x = [v[a:b] for v in inputs]
+        w = [v[at] for v in weights]
+        p = 1 / (1 + np.exp(-(w[0] * x[0] + w[1] * x[1] + w[2] * x[2])))
+        ones[a:b] = p
+        gap = (bit[a:b] - p) * rate
+        for v, own, z in zip(weights, w, x):
+            v[at] = own + gap * z
+    np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
+    cost = np.bincount(lane, np.log(np.abs(ones - 1 + bit)), minlength=len(order))
     return cost[rank]
 
 
@@ -181,7 +193,7 @@ def _gather(batches):
             sym, starts = _symbols(data, offsets)
             for k, context in enumerate(_contexts(sym, starts, hasher)):
                 size = CONTEXTS[k] * SYMBOLS
-                cells[_BASE[k] : _BASE[k] + size] += np.bincount(context * SYMBOLS + sym, minlength=size).astype(np.uint32)
+                cells[_BASE[k] : _BASE[k] + size] += np.bincount(context * np.int32(SYMBOLS) + sym, minlength=size).astype(np.uint32)
             any_rows, n_docs = True, n_docs + hi - lo
     if any_rows:
         yield _rows(np.array([2], np.int32), np.array([0]), np.array([n_docs]), None)
