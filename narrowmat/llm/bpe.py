@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from narrowmat.llm.common import only, scratch
-from narrowmat.llm.pretokens import Cutter, byte_letters, classes, lowered, parts, special_split
+from narrowmat.llm.pretokens import Cutter, byte_letters, classes, kept, lowered, parts, special_split
 
 LEXICON_WORDS = 1 << 16
 CACHE_WORDS = 1 << 18
@@ -222,9 +222,10 @@ def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS, texts: bool =
     file = ship(spark, table.tobytes(), "lexicon")
 
     def run(batches):
-        cutter, pattern, merger = Cutter(kinds.value, False), re.compile(specials), Merger(path)
-        lexicon = Lexicon(np.memmap(SparkFiles.get(file), dtype=np.int64, mode="r"))
-        cache = {}
+        cutter, pattern = Cutter(kinds.value, False), re.compile(specials)
+        merger, lexicon, cache = kept(
+            ("bpe", file), lambda: (Merger(path), Lexicon(np.memmap(SparkFiles.get(file), dtype=np.int64, mode="r")), {})
+        )
 
         def learn(fresh):
             plain = [w for w in fresh if isinstance(w, str)]

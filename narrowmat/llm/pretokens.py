@@ -120,3 +120,15 @@ def byte_letters() -> list[str]:
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = iter(range(256, 512))
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+def kept(key: tuple, make):
+    """One object per Python worker: what a task has learned serves the tasks after
+    it. It lives on ``sys``, since task code itself is shipped anew each time."""
+    import sys
+
+    held = sys.__dict__.setdefault("_narrowmat_kept", {})
+    if key not in held:
+        held.clear()  # one at a time, so that memory stays bounded
+        held[key] = make()
+    return held[key]

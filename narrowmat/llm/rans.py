@@ -19,14 +19,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.llm.common import discard, only, written
-from narrowmat.llm.pretokens import Cutter, byte_letters, classes, parts, special_split
+from narrowmat.llm.pretokens import Cutter, byte_letters, classes, kept, parts, special_split
 
 SCALE = 20
 BLOCK = 1 << 17
 LANES = 512
 CHECKPOINT = 128
 LOW = np.uint64(1 << 31)
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 BATCH_CHARS = 1 << 21
 END_ID = 0
 MAGIC = b"RNS1"
@@ -154,10 +154,13 @@ class Tokenizer:
         self.place, self.sizes, self.flat = {}, [], []
 
     def _learn(self, words):
-        letters = self.letters
+        letters, blank, tokenize = self.letters, self.letters[32], self.model.tokenize
         for w in words:
             if isinstance(w, str):
-                ids = [t.id for t in self.model.tokenize("".join([letters[b] for b in w.encode()]))]
+                # Printable ASCII stands for itself, but for the blank.
+                plain = w.isascii() and w.isprintable()
+                spelled = w.replace(" ", blank) if plain else "".join([letters[b] for b in w.encode()])
+                ids = [t.id for t in tokenize(spelled)]
             else:
                 ids = [self.library.token_to_id(w[0])]
             self.place[w] = len(self.sizes)
@@ -221,7 +224,7 @@ def tokens(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         part, start, tokenizer = TaskContext.get().partitionId(), 0, None
         for batch in batches:
-            tokenizer = tokenizer or Tokenizer(path, kinds.value)
+            tokenizer = tokenizer or kept(("rans", path), lambda: Tokenizer(path, kinds.value))
             for first, held in _texts(batch):
                 ids, n = tokenizer.ids(held)
                 starts = start + np.cumsum(n) - n
@@ -329,7 +332,7 @@ def read_back(blocks: DataFrame, table: Table) -> DataFrame:
             crc = joined_crc(crc, int(c), 4 * int(n))
         return group.head(1).assign(ids_crc32=crc)[["doc_id", "part", "start", "n_tokens", "ids_crc32"]]
 
-    found = blocks.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, n long, first long, crc long")
+    found = written(blocks.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, n long, first long, crc long"), "crcs")
     whole = found.filter("n = n_tokens").select("doc_id", "part", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
     split = found.filter("n < n_tokens").groupBy("part", "start").applyInPandas(join, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
     return whole.unionAll(split)
