@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from narrowmat.llm.common import only, scratch
+from narrowmat.llm.common import most_frequent, only, scratch, written
 from narrowmat.llm.pretokens import Cutter, byte_letters, classes, kept, lowered, parts, special_split
 
 LEXICON_WORDS = 1 << 16
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 END = "</w>"
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 21
 
 
 class Merger:
@@ -181,7 +181,7 @@ def _words(cutter: Cutter, specials: re.Pattern, texts: list[str]):
 
 
 def frequent_words(docs: DataFrame, kinds, specials: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words of the corpus, counted over all of it."""
+    """Up to ``limit`` most frequent words of the corpus, counted over all of it."""
 
     def count(batches):
         cutter, pattern = Cutter(kinds.value, False), re.compile(specials)
@@ -191,7 +191,7 @@ def frequent_words(docs: DataFrame, kinds, specials: str, limit: int = LEXICON_W
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     counted = only(docs, "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    return [r.word for r in most_frequent(written(counted, "words"), "n", limit).select("word").collect()]
 
 
 def ship(spark: SparkSession, data: bytes, name: str) -> str:

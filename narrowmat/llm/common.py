@@ -56,6 +56,22 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def most_frequent(counts: DataFrame, n: str, limit: int) -> DataFrame:
+    """Up to ``limit`` rows of ``counts`` with the largest ``n``, ties all or none.
+
+    The driver sees a histogram of at most 1024 bars, not a list from each task.
+    """
+    bar = F.floor(F.log2(n) * 16)
+    bars = sorted(counts.groupBy(bar.alias("bar")).count().collect(), key=lambda r: -r["bar"])
+    total, least = 0, None
+    for r in bars:
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["bar"]
+    return counts.filter(bar >= least) if least is not None else counts.limit(0)
+
+
 def lower(text: Column | str) -> Column:
     return F.translate(text, UPPER, LOWER)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from narrowmat.llm.common import WordHasher, crc_mod, numbers, only, text_buffers, written
+from narrowmat.llm.common import WordHasher, crc_mod, most_frequent, numbers, only, text_buffers, written
 
 FREQUENT = 1 << 18
 SMOOTH = 0.1
@@ -247,8 +247,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
     code = Code(cells[: _BASE[1]].reshape(-1, SYMBOLS).sum(axis=0))
     tables = np.concatenate([odds(cells[a : a + c * SYMBOLS], code) for a, c in zip(_BASE, CONTEXTS)])
     del cells
-    ordered = counts.orderBy(F.desc("c"), "key").limit(frequent)
-    known = ordered.select("key", "c").toPandas().sort_values("key")
+    known = most_frequent(counts, "c", frequent).select("key", "c").toPandas().sort_values("key")
     top = spark.sparkContext.broadcast((known["key"].to_numpy(np.int64), known["c"].to_numpy(np.int64), tables, code))
     under = math.log10(n_all + SMOOTH * (vocabulary + 1)) if n_all + vocabulary else math.log10(SMOOTH)
     end_base = math.log10(n_train + SMOOTH) - under
