@@ -127,7 +127,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
     The driver sees one row per source and nothing else; columns of ``docs``
     with these names are replaced. Sources are configuration-sized.
     """
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in FRESH])
+    plain = guarded(docs, NEEDED)
+    names = {g: c for g, c in zip(plain.columns, docs.columns) if c.lower() not in FRESH}
+    docs = plain.select(*names)
     docs = docs.withColumn("size", n_words())
     small = docs.select("doc_id", "source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("__salt"))
     spread = written(small.groupBy("source", "size", "__salt").agg(F.count("*").alias("n")), "sizes")
@@ -167,7 +169,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
         F.col("source").eqNullSafe(F.col("g_source")), "left",
     )
     joined = joined.withColumn("taken", F.col("copies") * F.col("size"))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], "source_size", "target", "copies", "taken")
+    found = joined.select(*names, *FRESH)
+    return found.toDF(*names.values(), *FRESH)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
