@@ -22,6 +22,15 @@ def cell(value: Column, what: str) -> Column:
     return F.coalesce(value.cast("double"), fail(f"null cell in {what}", "double"))
 
 
+def row_cells(row: Column, n: int) -> list[Column]:
+    """The ``n`` cells of a row as doubles. A row of another width raises, with its
+    first cell; so does a null."""
+    found = [cell(row[j], f"column {j}") for j in range(n)]
+    size = F.coalesce(F.size(row), F.lit(-1))
+    other = fail(F.concat(F.lit(f"matrix row must have {n} entries, found "), size.cast("string")), "double")
+    return [F.when(size.isin(n, -1), found[0]).otherwise(other), *found[1:]]
+
+
 def has_numbers(text: Column) -> Column:
     """Whether a text line holds anything but blanks."""
     return text.rlike(r"\S")

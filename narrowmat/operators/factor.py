@@ -104,7 +104,7 @@ def _counted(out: DataFrame) -> Counted:
 
 
 def _sql_gram(m: DataFrame, n: int) -> DataFrame:
-    at = [cells.cell(F.col("row")[i], f"column {i}") for i in range(n)]
+    at = cells.row_cells(F.col("row"), n)
     m = m.select(*[c.alias(f"c{i}") for i, c in enumerate(at)])
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
     sums = m.agg(

@@ -19,7 +19,7 @@ def col_sums(m: DataFrame, schedule=None) -> DataFrame:
     """Sum of every column as ``j, value``."""
     n = known_width(m)
     if n and n <= SQL_SUM_COLUMNS and schedule is None:
-        at = [cells.cell(F.col("row")[j], f"column {j}") for j in range(n)]
+        at = cells.row_cells(F.col("row"), n)
         total = m.agg(*[F.sum(c).alias(f"s{j}") for j, c in enumerate(at)])
         sums = total.filter(F.col("s0").isNotNull()).select(
             F.array(*[f"s{j}" for j in range(n)]).alias("row")

@@ -74,10 +74,12 @@ class FixedLengthReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         found = [info]
         if info.type == fs.FileType.Directory:
+            inner = lambda f: f.path[len(path.rstrip("/")) :].split("/")
             found = [
                 f
-                for f in store.get_file_info(fs.FileSelector(path))
-                if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))
+                for f in store.get_file_info(fs.FileSelector(path, recursive=True))
+                if f.type == fs.FileType.File
+                and not any(name.startswith(("_", ".")) for name in inner(f))
             ]
         return sorted(found, key=lambda f: f.path)
 

@@ -59,12 +59,25 @@ def width(m: DataFrame) -> int:
     return first.n
 
 
+def usual_width(m: DataFrame) -> int:
+    """The most frequent width of all rows (of equally frequent ones the largest):
+    what decides which rows are bad may not depend on the order of files."""
+    known = known_width(m)
+    if known:
+        return known
+    sizes = m.filter(F.col("row").isNotNull()).groupBy(F.size("row").alias("n")).count()
+    top = sizes.orderBy(F.desc("count"), F.desc("n")).first()
+    if top is None:
+        raise ValueError("the matrix has no rows")
+    return top.n
+
+
 def validate_matrix(
     m: DataFrame, n: int | None = None, on_bad_rows: str = "raise"
 ) -> DataFrame:
     """Hold every row to ``n`` non-null cells: raise, or drop the others."""
     _check_mode(on_bad_rows)
-    n = n or width(m)
+    n = n or (usual_width(m) if on_bad_rows == "drop" else width(m))
     others = [c for c in m.columns if c != "row"]
     row = F.col("row")
     if on_bad_rows == "drop":

@@ -111,3 +111,19 @@ def test_images(spark):
         nm.rgb_sums(df).collect()
     with pytest.raises(PySparkException):
         nm.rgb_sums(df.select("record", F.lit(None).cast("binary").alias("value")), side).collect()
+
+
+def test_rows_of_another_width_raise_on_both_paths(spark):
+    two = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    both = nm.as_matrix(two, cols=["a", "b"]).unionAll(
+        nm.as_matrix(two, cols=["a", "b", F.lit(3.0)])
+    )
+    for make in (nm.gram, nm.col_sums):
+        for schedule in (None, 1):
+            with pytest.raises(Exception, match="entries|width|columns|cells|ragged|rows"):
+                make(both, schedule=schedule).collect()
+
+
+def test_dropping_goes_by_the_usual_width(spark):
+    rows = spark.createDataFrame([([1.0],), ([1.0, 2.0],), ([3.0, 4.0],), ([5.0, 6.0],)], "v array<double>")
+    assert nm.as_matrix(rows.coalesce(1), row="v", on_bad_rows="drop").count() == 3
