@@ -26,7 +26,7 @@ CONTEXTS = (1 << 13, 1 << 14, 1 << 14)
 SYMBOLS = 256
 END = 65  # "A" cannot occur once upper case is folded
 SEGMENT = 512
-SCORED = 1 << 20
+SCORED = 1 << 18
 GATES = 32
 RATE = 0.02
 START = 0.45
@@ -186,7 +186,7 @@ def _gather(batches):
     cells, any_rows = np.zeros(CELLS, dtype=np.uint32), False
     n_docs = 0
     for batch in batches:
-        for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 22):
+        for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 21):
             words = hasher.words(data, offsets)[0]
             found, n = np.unique(words, return_counts=True)
             yield _rows(np.zeros(len(found), np.int32), found.view(np.int64), n, None)
@@ -257,7 +257,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
         keys, c, tables, code = top.value
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 22):
+            for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 21):
                 words, _, _, at = hasher.words(data, offsets)
                 sizes = np.diff(at)
                 owner = np.repeat(np.arange(hi - lo), sizes)
