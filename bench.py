@@ -106,11 +106,9 @@ def sweep(spark, cells: int) -> dict:
         for schedule in ("1", "8,1", "s16,8,1", None):
             took = seconds(lambda: drain(nm.tsqr(read(), schedule=schedule)), 2)
             found[f"n{n} schedule {schedule or 'auto'}"] = took
-        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
         for split in (4, 16, 64):
-            nm.use_split_bytes(spark, split << 20)
+            read = reader(nm.split_session(spark, split << 20), path, n)
             found[f"n{n} split {split}m"] = seconds(lambda: drain(nm.tsqr(read())), 2)
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     return found
 
 

@@ -33,6 +33,6 @@ from narrowmat.sources.tables import (
     validate_matrix, with_first_keys, with_random_keys,
 )
 from narrowmat.sources.text import (
-    format_rows, read_text_matrix, split_bytes_for, use_split_bytes, write_factors,
+    format_rows, read_text_matrix, split_bytes_for, split_session, write_factors,
     write_labelled, write_text_matrix,
 )

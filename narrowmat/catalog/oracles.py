@@ -90,9 +90,10 @@ def solve_sql(columns: list[str], source: str, digits: int) -> str:
     )
 
 
-# Singular values and vectors of two columns, from the 2 x 2 Gram matrix.
-PAIR = f"""
-    WITH {gram_cte(TWO, 'lineitem')},
+def pair_sql(columns: list[str]) -> str:
+    """Singular values and vectors of two columns, from the 2 x 2 Gram matrix."""
+    return f"""
+    WITH {gram_cte(columns, 'lineitem')},
     t AS (SELECT g0_0 AS p, g0_1 AS q, g1_1 AS r,
                  sqrt((g0_0 - g1_1) * (g0_0 - g1_1) + 4 * g0_1 * g0_1) AS gap FROM g),
     l AS (SELECT *, (p + r + gap) / 2 AS l0,
@@ -104,6 +105,9 @@ PAIR = f"""
 """
 
 
+PAIR = pair_sql(TWO)
+
+
 def share_sql(term: str) -> str:
     return f"""{PAIR} SELECT k, round(s, 5) + 0.0 AS s,
         round(sum({term}) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING)
@@ -165,26 +169,49 @@ WORDS = """
 RAGGED = """(SELECT CASE WHEN l_linenumber <= 3 THEN 2 WHEN l_linenumber <= 5 THEN 1 ELSE 2 END
     AS n FROM lineitem)"""
 
-FIXED = 8 + 2 * 8 * 64 + 1
-
 FEATURES = ["l_quantity", "l_quantity * l_quantity / 100"]
 
-GRAY16 = ", ".join(pixel(p, 4, False) for p in range(16))
+GRAY25 = ", ".join(pixel(p, 5, False) for p in range(25))
+
+OTHER = ["l_quantity", "l_tax * 100", "l_extendedprice / 500", "2.0::double"]
+
+
+def with_ones_sql(columns: list[str], source: str) -> str:
+    """R of the columns below a matrix with the R of ones, whose Gram is min(i, j) + 1."""
+    n = len(columns)
+    more = ", ".join(f"g{i}_{j} + {i + 1} AS g{i}_{j}" for i in range(n) for j in range(i, n))
+    gram = gram_cte(columns, source).replace("g AS (", "h AS (")
+    return f"WITH {gram}, g AS (SELECT {more} FROM h), {cholesky_cte(n)} {entries('r', n, 4, 'r')}"
+
+
+def wrong_ones_sql(columns: list[str], source: str, tol: float) -> str:
+    n = len(columns)
+    wrong = " + ".join(
+        f"(abs(r{i}_{j} - 1) > {tol})::bigint" for i in range(n) for j in range(i, n)
+    )
+    return f"""WITH {gram_cte(columns, source)}, {cholesky_cte(n)}
+        SELECT CASE WHEN {wrong} = 0 THEN 'CORRECT' ELSE 'INCORRECT' END AS verdict,
+               {wrong} AS nerrs, 'own' AS matrix FROM r
+        UNION ALL SELECT 'CORRECT', 0::bigint, 'turned'"""
+
+
+def line_fit(y: str) -> str:
+    return f"regr_intercept({y}, l_quantity) AS {{0}}0, regr_slope({y}, l_quantity) AS {{0}}1"
 
 
 def oracles() -> dict[str, str]:
     r_lineitem = r_sql(LINEITEM, "lineitem")
     embedding_gram = list_gram_sql("SELECT embedding AS e FROM embeddings", 64)
     centred_gram = list_gram_sql(CENTRED, 64)
-    gray_rows = f"SELECT [{GRAY16}] AS p FROM embeddings"
+    gray_rows = f"SELECT [{GRAY25}] AS p FROM embeddings"
     return {
         "tsqr_lineitem": r_lineitem,
         "tsqr_scheduled": r_lineitem,
         "tsqr_block_rows": r_lineitem,
         "tsqr_embeddings": embedding_gram,
         "tsqr_rows": "SELECT 0 AS stage, count(*) AS rows FROM lineitem",
-        "tsqr_random_keys": "SELECT count(*) AS nrows, true AS low, true AS high FROM lineitem",
-        "tsqr_first_keys": f"SELECT 0 AS first, * FROM ({r_lineitem})",
+        "tsqr_random_keys": f"SELECT *, true AS fits FROM ({r_lineitem})",
+        "tsqr_first_keys": f"SELECT (SELECT min(l_orderkey) FROM lineitem) AS first, * FROM ({r_lineitem})",
         "gram_lineitem": gram_sql(LINEITEM, "lineitem", 3),
         "gram_scheduled": gram_sql(LINEITEM, "lineitem", 3),
         "gram_embeddings": embedding_gram,
@@ -233,7 +260,11 @@ def oracles() -> dict[str, str]:
         ),
         "center_rows": rows_sql("embeddings", "vec_id", CENTRED_ROW, 64, 7),
         "pca_gram": centred_gram,
-        "pca_rank": "SELECT max(len(embedding))::integer - 1 AS rank FROM embeddings",
+        "pca_rank": """
+            SELECT CASE WHEN q > 0 THEN 1 ELSE 0 END AS rank, round(sqrt(q / 2), 5) + 0.0 AS s
+            FROM (SELECT sum((l_quantity - l_extendedprice / 1000)
+                             * (l_quantity - l_extendedprice / 1000)) AS q FROM lineitem)""",
+        "least_squares_rows": "SELECT 0 AS stage, count(*) AS rows, count(*) > 0 AS compressed FROM lineitem",
         "col_sums": f"WITH {gram_cte(LINEITEM, 'lineitem')} "
         + " UNION ALL ".join(
             f"SELECT {j} AS j, round(sum(c{j}), 3) + 0.0 AS value FROM m" for j in range(4)
@@ -299,10 +330,17 @@ def oracles() -> dict[str, str]:
         "labelled_roundtrip": """
             SELECT p_retailprice AS rhs, p_partkey::double AS p_partkey,
                    p_size::double AS p_size FROM part""",
-        "factor_files": centred_gram,
+        "factor_files": f"""SELECT * FROM ({centred_gram}),
+            (VALUES ('R'), ('V, S')) t(source)""",
+        "regression_files": f"""
+            WITH {gram_cte(['1.0::double', *TWO], 'lineitem')}, {cholesky_cte(3)}, {solve_cte(2)}
+            SELECT name, i, j, round(value, 6) + 0.0 AS value FROM x, LATERAL (VALUES
+                ('R', 0, 0, r0_0), ('R', 0, 1, r0_1), ('R', 1, 0, 0.0::double), ('R', 1, 1, r1_1),
+                ('y', 0, 0, r0_2), ('y', 1, 0, r1_2), ('sol', 0, 0, x0), ('sol', 1, 0, x1)
+            ) t(name, i, j, value)""",
         "saved_factor": r_lineitem,
         "fixed_records": rows_sql("embeddings", "vec_id", "embedding", 64, 9),
-        "fixed_records_hadoop": f"SELECT vec_id, {FIXED} AS length FROM embeddings",
+        "fixed_records_hadoop": rows_sql("embeddings", "vec_id", "embedding", 64, 9),
         "record_numbers": """
             SELECT count(*) AS nrows, count(*) AS aligned, count(*) AS numbered,
                    count(*) AS decoded, count(DISTINCT vec_id) AS keys FROM embeddings""",
@@ -326,19 +364,25 @@ def oracles() -> dict[str, str]:
             5,
         ),
         "image_pca": list_gram_sql(
-            f"SELECT list_transform(p, lambda x: x - list_sum(p) / 16) AS e FROM ({gray_rows})",
-            16,
+            f"SELECT list_transform(p, lambda x: x - list_sum(p) / 25) AS e FROM ({gray_rows})",
+            25,
         ),
-        "gen_matrix_r": """
-            SELECT i::integer AS i, j::integer AS j,
-                   CASE WHEN j >= i THEN 1.0::double ELSE 0.0::double END AS value
-            FROM range(0, 10) a(i), range(0, 10) b(j)""",
-        "check_matrix": "SELECT 'CORRECT' AS verdict, 0::bigint AS nerrs",
+        "gen_matrix_r": with_ones_sql(LINEITEM, "lineitem"),
+        "check_matrix": wrong_ones_sql(LINEITEM, "lineitem", 0.5),
         "mix_rows": r_sql(["value", "user_id::double"], "events"),
         "normalize_signs": r_lineitem,
-        "compare_factors": """
-            SELECT i::integer AS "index", 0.0::double AS absdiff FROM range(0, 4) t(i)""",
-        "compare_vectors": """
-            SELECT i::integer AS "index", 0.0::double AS absdiff FROM range(0, 2) t(i)""",
-        "relative_difference": "SELECT 0.5::double AS reldiff",
+        "compare_factors": f"""
+            SELECT i AS "index", round(sum(abs(a.value - b.value)), 3) + 0.0 AS absdiff
+            FROM ({r_sql(LINEITEM, 'lineitem', 9)}) a
+            JOIN ({r_sql(OTHER, 'lineitem', 9)}) b USING (i, j) GROUP BY i""",
+        "compare_vectors": f"""
+            SELECT a.k AS "index",
+                   round(abs(a.v0 - b.v0) + abs(a.v1 - b.v1), 8) + 0.0 AS absdiff
+            FROM ({pair_sql(TWO)} SELECT * FROM v) a
+            JOIN ({pair_sql(['l_quantity', 'l_tax * 100'])} SELECT * FROM v) b ON a.k = b.k""",
+        "relative_difference": f"""
+            WITH f AS (SELECT {line_fit('l_extendedprice').format('z')},
+                              {line_fit('l_extendedprice * (1 - l_discount)').format('y')} FROM lineitem)
+            SELECT round(sqrt((z0 - y0) * (z0 - y0) + (z1 - y1) * (z1 - y1))
+                         / sqrt(z0 * z0 + z1 * z1), 9) + 0.0 AS reldiff FROM f""",
     }

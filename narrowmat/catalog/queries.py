@@ -50,7 +50,7 @@ def long_rows(m: DataFrame, digits: int, key: str) -> DataFrame:
     return entries.select(key, "j", rounded("value", digits).alias("value"))
 
 
-def lineitem(spark, folder) -> DataFrame:
+def lineitem(spark, folder, key: str | None = None) -> DataFrame:
     """Intercept, quantity, price in thousands, discount in percent."""
     return nm.as_matrix(
         table(spark, folder, "lineitem"),
@@ -60,6 +60,14 @@ def lineitem(spark, folder) -> DataFrame:
             F.col("l_extendedprice") / 1000,
             F.col("l_discount") * 100,
         ],
+        key=key,
+    )
+
+
+def other_columns(spark, folder) -> DataFrame:
+    return nm.as_matrix(
+        table(spark, folder, "lineitem"),
+        cols=["l_quantity", F.col("l_tax") * 100, F.col("l_extendedprice") / 500, F.lit(2.0)],
     )
 
 
@@ -160,17 +168,16 @@ def tsqr_rows(spark, folder):
 
 @query
 def tsqr_random_keys(spark, folder):
-    m = nm.with_random_keys(lineitem(spark, folder), seed=7)
-    return m.agg(
-        F.count("*").alias("nrows"),
-        (F.min("key") >= 0).alias("low"),
-        (F.max("key") <= 4_000_000_000).alias("high"),
-    )
+    keyed = nm.with_random_keys(nm.tsqr(lineitem(spark, folder)), seed=7)
+    return keyed.select(
+        "i", F.posexplode("row").alias("j", "value"), F.col("key").between(0, 4_000_000_000).alias("fits")
+    ).select("i", "j", rounded("value", 4).alias("value"), "fits")
 
 
 @query
 def tsqr_first_keys(spark, folder):
-    keyed = nm.with_first_keys(nm.tsqr(lineitem(spark, folder)), first_key=0)
+    m = lineitem(spark, folder, key="l_orderkey")
+    keyed = nm.with_first_keys(nm.tsqr(m.select("row")), first_key=m)
     return keyed.select(
         F.col("key.first").alias("first"), F.col("key.i").alias("i"),
         F.posexplode("row").alias("j", "value"),
@@ -324,6 +331,17 @@ def least_squares_wide(spark, folder):
     return x.select("j", rounded("x", 8).alias("x"))
 
 
+@query
+def least_squares_rows(spark, folder):
+    labelled = nm.as_labelled(
+        table(spark, folder, "lineitem"), rhs="l_extendedprice", cols=[F.lit(1.0), "l_quantity"]
+    )
+    stats = nm.least_squares(labelled, stats=True).stats
+    return stats.filter("stage = 0").select(
+        "stage", "rows", (F.col("compressions") > 0).alias("compressed")
+    )
+
+
 # Row centring and principal components
 
 
@@ -339,8 +357,11 @@ def pca_gram(spark, folder):
 
 @query
 def pca_rank(spark, folder):
-    found = nm.pca(embeddings(spark, folder))
-    return spark.createDataFrame([(found.rank,)], "rank int")
+    # Rows of two entries lie on one line once they are centred.
+    found = nm.pca(two_columns(spark, folder))
+    return spark.createDataFrame([(found.rank, float(found.s[0]))], "rank int, s double").select(
+        "rank", rounded("s", 5).alias("s")
+    )
 
 
 # Sums, counts, shapes
@@ -481,7 +502,28 @@ def factor_files(spark, folder):
     base = scratch(spark, "pca")
     nm.write_factors(nm.pca(embeddings(spark, folder)), base)
     r = nm.read_text_matrix(spark, f"{base}.tmat", n=64)
-    return long_form(nm.gram(r), 6)
+    # One component per line, and one value per line: V S² Vᵀ has no signs left.
+    s = [row[0] for row, in nm.read_text_matrix(spark, f"{base}-S.tmat", n=1).collect()]
+    v = np.array([row for row, in nm.read_text_matrix(spark, f"{base}-V.tmat", n=64).collect()])
+    scaled = nm.factor_frame(spark, v * np.array(s)[:, None]).select("row")
+    from_r = long_form(nm.gram(r), 6).withColumn("source", F.lit("R"))
+    return from_r.unionAll(long_form(nm.gram(scaled), 6).withColumn("source", F.lit("V, S")))
+
+
+@query
+def regression_files(spark, folder):
+    base = scratch(spark, "regression")
+    labelled = nm.as_labelled(
+        table(spark, folder, "lineitem"), rhs=F.col("l_extendedprice") / 1000,
+        cols=[F.lit(1.0), "l_quantity"],
+    )
+    nm.write_factors(nm.least_squares(labelled), base)
+    lines = []
+    for name, n in (("R", 2), ("y", 1), ("sol", 1)):
+        rows = nm.read_text_matrix(spark, f"{base}-{name}.tmat", n=n).collect()
+        lines += [(name, i, j, x) for i, (row,) in enumerate(rows) for j, x in enumerate(row)]
+    found = spark.createDataFrame(lines, "name string, i int, j int, value double")
+    return found.select("name", "i", "j", rounded("value", 6).alias("value"))
 
 
 @query
@@ -501,25 +543,28 @@ def _fixed_file(spark, folder) -> tuple[str, int]:
     return path, 8 + 2 * 8 * 64 + 1
 
 
-@query
-def fixed_records(spark, folder):
-    path, length = _fixed_file(spark, folder)
-    records = nm.read_fixed(spark, path, length, key_start=0, key_end=7)
+def _records(spark, path, length, **options) -> DataFrame:
+    """The ``key`` and ``value`` that were written in hexadecimal."""
+    records = nm.read_fixed(spark, path, length, key_start=0, key_end=7, **options)
     number = F.conv(F.col("key").cast("string"), 16, 10).cast("long")
     body = F.unhex(cells.byte_range(F.col("value"), 8, length - 2).cast("string"))
-    packed = records.select(number.alias("key"), body.alias("value"))
+    return records.select(number.alias("key"), body.alias("value"))
+
+
+def _fixed_rows(path, length, spark, **options) -> DataFrame:
+    packed = _records(spark, path, length, **options)
     return long_rows(nm.as_matrix(packed, row="value", key="key", n=64), 9, "vec_id")
 
 
+@query
+def fixed_records(spark, folder):
+    return _fixed_rows(*_fixed_file(spark, folder), spark=spark)
+
+
 @query
 def fixed_records_hadoop(spark, folder):
     path, length = _fixed_file(spark, folder)
-    records = nm.read_fixed(
-        spark, path, length, key_start=0, key_end=7, split_bytes=50 * length,
-        engine="hadoop",
-    )
-    number = F.conv(F.col("key").cast("string"), 16, 10).cast("long")
-    return records.select(number.alias("vec_id"), F.length("value").alias("length"))
+    return _fixed_rows(path, length, spark=spark, split_bytes=50 * length, engine="hadoop")
 
 
 @query
@@ -546,6 +591,16 @@ def peek(spark, folder):
 # Images
 
 
+def stored_images(spark, folder, side: int) -> DataFrame:
+    """Images of at least 64 bytes, written to files of fixed-length records and
+    read back."""
+    path, length = scratch(spark, "images"), 8 + 2 * 3 * side * side + 1
+    images = image_records(spark, folder, side, spread=False)
+    line = F.concat(F.lpad(F.hex("record"), 8, "0"), F.hex("value"))
+    images.select(line.alias("value")).write.text(path)
+    return _records(spark, path, length).select(F.col("key").alias("record"), "value")
+
+
 @query
 def rgb_sums(spark, folder):
     return nm.rgb_sums(image_records(spark, folder, 32, spread=True))
@@ -564,7 +619,7 @@ def image_regression(spark, folder):
 
 @query
 def image_pca(spark, folder):
-    found = nm.image_pca(image_records(spark, folder, 4, spread=False), side=4)
+    found = nm.image_pca(stored_images(spark, folder, 5), side=5)
     return long_form(vsquared(found), 6)
 
 
@@ -573,16 +628,21 @@ def image_pca(spark, folder):
 
 @query
 def gen_matrix_r(spark, folder):
-    nrows = table(spark, folder, "lineitem").count()
-    m = nm.mix_rows(nm.gen_matrix(spark, nrows, 10, maprows=1000), maxlocal=20)
-    return long_form(nm.tsqr(m), 9)
+    rows = lineitem(spark, folder)
+    made = nm.mix_rows(nm.gen_matrix(spark, rows.count(), 4), maxlocal=20)
+    return long_form(nm.tsqr(made.select("row").unionAll(rows)), 4)
 
 
 @query
 def check_matrix(spark, folder):
-    nrows = table(spark, folder, "lineitem").count()
-    m = nm.mix_rows(nm.gen_matrix(spark, nrows, 10, maprows=1000, seed=1), stages=2)
-    return nm.check_triu_ones(nm.tsqr(m), tol=1e-12).verdict
+    """Lineitem turned into a matrix with the R of ones, and as it is."""
+    m = lineitem(spark, folder)
+    r = nm.tsqr(m)
+    turn = np.linalg.solve(nm.collect_factor(r), np.triu(np.ones((4, 4))))
+    good = nm.check_triu_ones(nm.tsqr(nm.project(m, turn)), tol=1e-9)
+    own = nm.check_triu_ones(r, tol=0.5)
+    name = lambda x, of: x.verdict.withColumn("matrix", F.lit(of))
+    return name(good, "turned").unionAll(name(own, "own"))
 
 
 @query
@@ -600,17 +660,19 @@ def normalize_signs(spark, folder):
 
 @query
 def compare_factors(spark, folder):
-    m = lineitem(spark, folder)
-    both = nm.compare_factors(nm.tsqr(m), nm.cholesky_qr(m))
-    return both.select("index", rounded("absdiff", 5).alias("absdiff"))
+    both = nm.compare_factors(
+        nm.tsqr(lineitem(spark, folder)), nm.cholesky_qr(other_columns(spark, folder))
+    )
+    return both.select("index", rounded("absdiff", 3).alias("absdiff"))
 
 
 @query
 def compare_vectors(spark, folder):
-    m = two_columns(spark, folder)
-    again = nm.svd(m.repartition(5), blocksize=2)
-    gap = nm.compare_factors(nm.svd(m).V, again.V)
-    return gap.select("index", rounded("absdiff", 9).alias("absdiff"))
+    other = nm.as_matrix(
+        table(spark, folder, "lineitem"), cols=["l_quantity", F.col("l_tax") * 100]
+    )
+    gap = nm.compare_factors(nm.svd(two_columns(spark, folder)).V, nm.svd(other, blocksize=2).V)
+    return gap.select("index", rounded("absdiff", 8).alias("absdiff"))
 
 
 @query
@@ -619,6 +681,6 @@ def relative_difference(spark, folder):
     cols = [F.lit(1.0), "l_quantity"]
     z = nm.least_squares(nm.as_labelled(rows, rhs="l_extendedprice", cols=cols)).x
     y = nm.least_squares(
-        nm.as_labelled(rows, rhs=F.col("l_extendedprice") * 1.5, cols=cols)
+        nm.as_labelled(rows, rhs=F.col("l_extendedprice") * (1 - F.col("l_discount")), cols=cols)
     ).x
     return nm.relative_difference(z, y).select(rounded("reldiff", 9).alias("reldiff"))

@@ -9,11 +9,6 @@ import time
 import numpy as np
 import pyarrow as pa
 
-# A matrix is narrow when columns x columns numbers fit easily in one process.
-# Every factor that is collected or broadcast comes out of a kernel below, so
-# this is the proof that it is small: 8192 x 8192 doubles are 512 MiB.
-MAX_COLUMNS = 8192
-
 # QR runs best on blocks that stay in cache; a block never has fewer rows.
 MIN_BLOCK_ROWS = 4000
 
@@ -67,13 +62,6 @@ def chunks(rows: int, width: int, bytes_per_chunk: int = 1 << 26):
         yield start, min(rows, start + step)
 
 
-def check_width(width: int) -> None:
-    if width > MAX_COLUMNS:
-        raise ValueError(
-            f"{width} columns: a narrow matrix has at most {MAX_COLUMNS}"
-        )
-
-
 def positive_diagonal(r: np.ndarray) -> np.ndarray:
     """Rows scaled by -1 where the diagonal is negative."""
     flip = np.diagonal(r) < 0
@@ -97,7 +85,6 @@ class Kernel:
 
     def check(self, block: np.ndarray) -> None:
         if self.width is None:
-            check_width(block.shape[1])
             self.width = block.shape[1]
             self.start()
         elif block.shape[1] != self.width:

@@ -36,12 +36,28 @@ def factor_frame(spark: SparkSession, r: np.ndarray) -> DataFrame:
     return spark.createDataFrame(table, "i int, row array<double>")
 
 
-def collect_factor(factor: DataFrame) -> np.ndarray:
-    """A factor as a numpy array.
+def check_driver_bytes(spark: SparkSession, size: int, what: str) -> None:
+    """Raise if ``what`` is larger than the results the driver accepts."""
+    given = spark.sparkContext.getConf().get("spark.driver.maxResultSize", "1g")
+    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(given)
+    if 0 < limit < size:
+        raise ValueError(
+            f"{what} takes {size} bytes, more than spark.driver.maxResultSize ({given})"
+        )
 
-    Its size is bounded: every factor comes from a kernel that refuses more
-    than ``MAX_COLUMNS`` columns, and has at most as many rows.
-    """
+
+def parts_of(out: DataFrame | Counted) -> tuple[DataFrame, DataFrame | None]:
+    """The factor and, if counted, its counters."""
+    return out if isinstance(out, Counted) else (out, None)
+
+
+def collect_factor(factor: DataFrame) -> np.ndarray:
+    """A factor as a numpy array. It has at most as many rows as columns, and must
+    keep within what the driver takes (``spark.driver.maxResultSize``): known widths
+    are checked before anything runs, others by Spark itself."""
+    n = known_width(factor)
+    if n:
+        check_driver_bytes(factor.sparkSession, 8 * n * n, f"a factor of {n} columns")
     table = factor.select("i", "row").toArrow().sort_by("i").combine_chunks()
     if not table.num_rows:
         raise ValueError("the matrix has no rows")
@@ -121,14 +137,16 @@ def _sql_gram(m: DataFrame, n: int) -> DataFrame:
 
 
 def gram(
-    m: DataFrame, schedule=None, features: Features | None = None
-) -> DataFrame:
-    """``AᵀA`` as a full symmetric factor.
+    m: DataFrame, schedule=None, features: Features | None = None, stats: bool = False
+) -> DataFrame | Counted:
+    """``AᵀA`` as a full symmetric factor; with ``stats=True`` as ``(factor, stats)``.
 
     Narrow matrices are summed by SQL aggregates; wider ones, those whose width
-    the schema does not tell, and any with a ``schedule`` or ``features``, in
-    numpy blocks combined over the schedule.
+    the schema does not tell, and any with a ``schedule``, ``features`` or
+    ``stats``, in numpy blocks combined over the schedule.
     """
+    if stats:
+        return _counted(block_reduce(m, GramSum, schedule, features, counters=True))
     if schedule is None and features is None:
         n = known_width(m)
         if n and n <= SQL_GRAM_COLUMNS:

@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from narrowmat.functions.kernels import check_width, row_block, row_column
+from narrowmat.functions.kernels import row_block, row_column
 
 PART_BYTES = 1 << 27
+BATCH_BYTES = 1 << 24
 
 
 def random_orthogonal(rng: np.random.Generator, size: int, count: int = 1) -> np.ndarray:
@@ -21,7 +22,15 @@ def random_orthogonal(rng: np.random.Generator, size: int, count: int = 1) -> np
 
 def _generate(n, maprows, scale, seed, batches):
     upper = np.triu(np.ones((n, n))) * scale
-    step = max(1, (1 << 23) // (8 * n * n))
+    step = max(1, BATCH_BYTES // (8 * n * n))
+    drawn, keys, held = [], [], 0
+
+    def rows():
+        made = (np.linalg.qr(np.concatenate(drawn))[0] @ upper).reshape(-1, n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys)), row_column(made)], names=["key", "row"]
+        )
+
     for batch in batches:
         for number in batch.column("id").to_pylist():
             # Seeded by block number, so a task that runs again repeats itself.
@@ -29,12 +38,15 @@ def _generate(n, maprows, scale, seed, batches):
             key = number * maprows
             for done in range(0, maprows // n, step):
                 count = min(step, maprows // n - done)
-                rows = (random_orthogonal(rng, n, count) @ upper).reshape(-1, n)
-                keys = np.arange(key, key + len(rows), dtype=np.int64)
-                key += len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), row_column(rows)], names=["key", "row"]
-                )
+                drawn.append(rng.standard_normal((count, n, n)))
+                keys.append(np.arange(key, key + count * n, dtype=np.int64))
+                key += count * n
+                held += count
+                if held >= step:
+                    yield rows()
+                    drawn, keys, held = [], [], 0
+    if held:
+        yield rows()
 
 
 def gen_matrix(
@@ -54,7 +66,6 @@ def gen_matrix(
     """
     if not nrows or not ncols or nrows < 1 or ncols < 1:
         raise ValueError("nrows and ncols must be 1 or more")
-    check_width(ncols)
     maprows = 2 * ncols if maprows is None else maprows
     maprows -= maprows % ncols
     if maprows < ncols:
@@ -80,33 +91,40 @@ def gen_matrix(
 def _mix(maxlocal, seed, stage, batches):
     part = TaskContext.get().partitionId()
     rng = np.random.default_rng((seed, stage, part))
-    keys, rows = [], []
-    held = 0
-
-    def turned():
-        block = np.concatenate(rows)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays(keys),
-                row_column(random_orthogonal(rng, len(block))[0] @ block),
-            ],
-            names=["key", "row"],
-        )
-
+    keys, rows, held = [], [], 0
+
+    def turned(size, whole):
+        """Held rows in groups of ``size``, as many as are ``whole``; keeps the rest."""
+        nonlocal keys, rows, held
+        key, block = pa.concat_arrays(keys), np.concatenate(rows)
+        width = block.shape[1]
+        step = max(1, BATCH_BYTES // (8 * size * max(size, width)))
+        for first in range(0, whole, step):
+            count = min(step, whole - first)
+            start, end = first * size, (first + count) * size
+            groups = block[start:end].reshape(count, size, width)
+            made = (random_orthogonal(rng, size, count) @ groups).reshape(-1, width)
+            yield pa.RecordBatch.from_arrays(
+                [key.slice(start, end - start), row_column(made)], names=["key", "row"]
+            )
+        done = whole * size
+        keys, rows, held = [key.slice(done)], [block[done:]], held - done
+
+    size = maxlocal
     for batch in batches:
         block = row_block(batch.column("row"))
-        done = 0
-        while done < len(block):
-            take = min((maxlocal or block.shape[1]) - held, len(block) - done)
-            keys.append(batch.column("key").slice(done, take))
-            rows.append(block[done : done + take])
-            held += take
-            done += take
-            if held == (maxlocal or block.shape[1]):
-                yield turned()
-                keys, rows, held = [], [], 0
+        if not len(block):
+            continue
+        size = size or block.shape[1]
+        keys.append(batch.column("key"))
+        rows.append(block)
+        held += len(block)
+        if held >= size and held * 8 * block.shape[1] >= BATCH_BYTES:
+            yield from turned(size, held // size)
+    if held:
+        yield from turned(size, held // size)
     if held:
-        yield turned()
+        yield from turned(held, 1)
 
 
 def mix_rows(
@@ -127,10 +145,8 @@ def mix_rows(
         raise ValueError("mix_rows needs a key column")
     if stages < 1:
         raise ValueError("stages must be 1 or more")
-    if maxlocal is not None:
-        if maxlocal < 1:
-            raise ValueError("maxlocal must be 1 or more")
-        check_width(maxlocal)
+    if maxlocal is not None and maxlocal < 1:
+        raise ValueError("maxlocal must be 1 or more")
     m = m.select("key", "row")
     for stage in range(stages):
         place = F.xxhash64("key", "row", F.lit(seed), F.lit(stage)).alias("_place")

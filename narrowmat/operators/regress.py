@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.functions.kernels import rank_tolerance
-from narrowmat.operators.factor import collect_factor, factor_frame, tsqr
+from narrowmat.operators.factor import collect_factor, factor_frame, parts_of, tsqr
 
 
 @dataclass
 class LeastSquares:
     """Coefficients ``x (j, x)``, ``R``, ``y (j, y)`` with ``R x = y``, and the
-    norm of the residual."""
+    norm of the residual; ``stats`` if counters were asked for."""
 
     x: DataFrame
     R: DataFrame
@@ -23,6 +23,7 @@ class LeastSquares:
     residual: float
     solution: np.ndarray
     target: np.ndarray
+    stats: DataFrame | None = None
 
     def bundle(self) -> dict[str, DataFrame]:
         spark = self.R.sparkSession
@@ -63,9 +64,8 @@ def least_squares(labelled: DataFrame, features=None, **options) -> LeastSquares
             "rhs", F.raise_error(F.lit("null right hand side")).cast("double")
         )
         labelled = labelled.select(F.concat("row", F.array(label)).alias("row"))
-    x, r, y, residual = solve_augmented(
-        collect_factor(tsqr(labelled, features=features, **options))
-    )
+    factor, stats = parts_of(tsqr(labelled, features=features, **options))
+    x, r, y, residual = solve_augmented(collect_factor(factor))
     places = pa.array(range(len(x)), pa.int32())
     return LeastSquares(
         x=spark.createDataFrame(pa.table({"j": places, "x": x}), "j int, x double"),
@@ -74,4 +74,5 @@ def least_squares(labelled: DataFrame, features=None, **options) -> LeastSquares
         residual=residual,
         solution=x,
         target=y,
+        stats=stats,
     )

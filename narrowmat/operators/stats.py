@@ -65,10 +65,28 @@ def row_widths(m: DataFrame) -> DataFrame:
     return m.groupBy(F.size("row").alias("width")).agg(F.count("*").alias("nrows"))
 
 
-def peek(df: DataFrame, k: int = 2) -> DataFrame:
-    """The first ``k`` records: ``key`` (or ``record``), length, first ten bytes."""
+def _first(k):
+    def run(batches):
+        left = k
+        for batch in batches:
+            yield batch.slice(0, left)
+            left -= batch.num_rows
+            if left <= 0:
+                return
+
+    return run
+
+
+def peek(df: DataFrame, k: int = 2, per_task: bool = False) -> DataFrame:
+    """The first ``k`` records (with ``per_task``, of each task): ``key`` (or
+    ``record``), length, first ten bytes."""
     key = "key" if "key" in df.columns else "record"
-    return df.limit(k).select(
+    if per_task:
+        df = df.select(key, "value")
+        df = df.mapInArrow(_first(k), df.schema)
+    else:
+        df = df.limit(k)
+    return df.select(
         F.col(key).alias("key"),
         F.length("value").alias("length"),
         F.substring("value", 1, 10).alias("head"),

@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from narrowmat.functions.kernels import (
-    check_width, chunks, rank_tolerance, row_block, row_column,
+from narrowmat.functions.kernels import chunks, rank_tolerance, row_block, row_column
+from narrowmat.operators.factor import (
+    check_driver_bytes, collect_factor, factor_frame, parts_of, tsqr,
 )
-from narrowmat.operators.factor import collect_factor, factor_frame, tsqr
 from narrowmat.sources.tables import known_width
 
 
@@ -21,6 +21,7 @@ class SVD:
 
     ``s`` and ``v`` are the same numbers on the driver; column k of ``v`` is the
     k-th right singular vector, signed so that its first entry is not negative.
+    ``stats`` are the counters of the job, if they were asked for.
     """
 
     S: DataFrame
@@ -29,6 +30,7 @@ class SVD:
     rank: int
     s: np.ndarray
     v: np.ndarray
+    stats: DataFrame | None = None
 
     def bundle(self) -> dict[str, DataFrame]:
         spark = self.R.sparkSession
@@ -54,7 +56,8 @@ def svd(m: DataFrame, rcond: float | None = None, **options) -> SVD:
     (by default the rounding level of R) count as zero in ``rank``.
     """
     spark = m.sparkSession
-    r = collect_factor(tsqr(m, **options))
+    factor, stats = parts_of(tsqr(m, **options))
+    r = collect_factor(factor)
     s, v, rank = right_factor(r, rcond)
     kinds = "k int, s double"
     values = pa.table({"k": pa.array(range(len(s)), pa.int32()), "s": s})
@@ -73,6 +76,7 @@ def svd(m: DataFrame, rcond: float | None = None, **options) -> SVD:
         rank=rank,
         s=s,
         v=v,
+        stats=stats,
     )
 
 
@@ -106,7 +110,7 @@ def project(m: DataFrame, matrix) -> DataFrame:
     """Every row times a small matrix (or several, one after the other).
 
     Keys stay with their rows and nothing is shuffled. The matrices are
-    broadcast; neither side may exceed ``MAX_COLUMNS``.
+    broadcast; together they may not exceed ``spark.driver.maxResultSize``.
     """
     several = isinstance(matrix, (list, tuple)) and np.ndim(matrix[0]) == 2
     matrices = matrix if several else [matrix]
@@ -114,7 +118,7 @@ def project(m: DataFrame, matrix) -> DataFrame:
     for x in matrices:
         if x.ndim != 2:
             raise ValueError("project needs two-dimensional matrices")
-        check_width(max(x.shape))
+    check_driver_bytes(m.sparkSession, sum(x.nbytes for x in matrices), "what project broadcasts")
     known = known_width(m)
     if known and known != matrices[0].shape[0]:
         raise ValueError(
@@ -157,7 +161,7 @@ def svd_left(
         return project(m, first)
     rank, n = found.rank, first.shape[1]
     first = first[:, :rank]
-    again = collect_factor(tsqr(project(m, first), **options))
+    again = collect_factor(parts_of(tsqr(project(m, first), **options))[0])
     if again.shape[0] < rank:
         raise ValueError("cannot refine: fewer rows than the rank")
     # A V S⁺ = Q R2, so A restricted to its row space is Q (R2 S) Vᵀ; the small

@@ -246,7 +246,10 @@ def with_random_keys(m: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def with_first_keys(factor: DataFrame, first_key) -> DataFrame:
-    """Factor rows keyed by (first input key, row number)."""
+    """Factor rows keyed by (first input key, row number). ``first_key``: a value, or
+    the matrix itself, whose smallest ``key`` is then found by a job."""
+    if isinstance(first_key, DataFrame):
+        first_key = first_key.agg(F.min("key")).first()[0]
     return factor.select(
         F.struct(F.lit(first_key).alias("first"), F.col("i")).alias("key"), "row"
     )

@@ -19,10 +19,18 @@ def split_bytes_for(n: int) -> int:
     return max(256 << 20, 64 * 8 * n * n)
 
 
-def use_split_bytes(spark: SparkSession, split_bytes: int | None) -> None:
-    """Let file scans of this session make tasks of about ``split_bytes``."""
-    if split_bytes is not None:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(int(split_bytes)))
+def split_session(spark: SparkSession, split_bytes: int | None) -> SparkSession:
+    """A session like ``spark`` whose file scans (of any format) make tasks of about
+    ``split_bytes``. A scan keeps the session it was made in, so tables of different
+    split sizes can be used together and ``spark`` itself does not change."""
+    if split_bytes is None:
+        return spark
+    own = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if name.startswith("spark.sql.") and own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    own.conf.set("spark.sql.files.maxPartitionBytes", str(int(split_bytes)))
+    return own
 
 
 def read_text_matrix(
@@ -35,10 +43,9 @@ def read_text_matrix(
     """A text matrix as a matrix; blank lines are left out.
 
     A word that is no number and a row of another width raise, or cost their
-    row with ``on_bad_rows="drop"``. ``split_bytes`` holds for the session.
+    row with ``on_bad_rows="drop"``. ``split_bytes`` holds for this table alone.
     """
-    use_split_bytes(spark, split_bytes)
-    lines = spark.read.text(path).filter(cells.has_numbers(F.col("value")))
+    lines = split_session(spark, split_bytes).read.text(path).filter(cells.has_numbers(F.col("value")))
     strict = on_bad_rows != "drop"
     m = lines.select(cells.numbers(F.col("value"), strict).alias("row"))
     return validate_matrix(m, n, on_bad_rows)
@@ -60,24 +67,35 @@ def format_rows(m: DataFrame) -> DataFrame:
     return m.select("row").mapInArrow(_format_rows, "value string")
 
 
-def _write_lines(lines: DataFrame, path: str, overwrite: bool) -> None:
-    lines.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+def _write_lines(lines: DataFrame, path: str, overwrite: bool, compression: str | None) -> None:
+    writer = lines.write.mode("overwrite" if overwrite else "errorifexists")
+    if compression:
+        writer = writer.option("compression", compression)
+    writer.text(path)
 
 
-def write_text_matrix(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write a matrix, or a factor (in the order of ``i``, as one file)."""
-    if "i" in df.columns:
+def write_text_matrix(
+    df: DataFrame, path: str, overwrite: bool = False, ordered: bool = False,
+    compression: str | None = None,
+) -> None:
+    """Write a matrix; a factor with ``ordered=True`` as one file in the order of
+    ``i``. ``compression``: a codec of Spark's text files, such as ``gzip``."""
+    if ordered:
         df = df.repartition(1).sortWithinPartitions("i")
-    _write_lines(format_rows(df), path, overwrite)
+    _write_lines(format_rows(df), path, overwrite, compression)
 
 
-def write_labelled(df: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_labelled(
+    df: DataFrame, path: str, overwrite: bool = False, compression: str | None = None
+) -> None:
     """Write labelled rows: the right hand side first, then the row."""
     joined = df.select(F.concat(F.array("rhs"), "row").alias("row"))
-    _write_lines(format_rows(joined), path, overwrite)
+    _write_lines(format_rows(joined), path, overwrite, compression)
 
 
-def write_factors(result, base: str, overwrite: bool = False) -> list[str]:
+def write_factors(
+    result, base: str, overwrite: bool = False, compression: str | None = None
+) -> list[str]:
     """Write the factors of an SVD, PCA or least-squares result.
 
     An SVD or PCA gives ``base-V.tmat`` (one component per line),
@@ -87,5 +105,5 @@ def write_factors(result, base: str, overwrite: bool = False) -> list[str]:
     paths = []
     for suffix, factor in result.bundle().items():
         paths.append(f"{base}{suffix}.tmat")
-        write_text_matrix(factor, paths[-1], overwrite)
+        write_text_matrix(factor, paths[-1], overwrite, ordered=True, compression=compression)
     return paths

@@ -8,7 +8,7 @@ import narrowmat as nm
 from helpers import TINY, factor, matrix, r_of
 from narrowmat.functions import cells
 from narrowmat.functions.kernels import (
-    MAX_COLUMNS, GramSum, QRBlocks, binary_bytes, centred_block, check_width, positive_diagonal,
+    GramSum, QRBlocks, binary_bytes, centred_block, positive_diagonal,
     row_block, row_column,
 )
 
@@ -68,9 +68,6 @@ def test_bytes_of_slices_and_nothing():
 def test_small_helpers():
     assert np.array_equal(positive_diagonal(np.array([[-1.0, 0.0], [0.0, 0.0]])), [[1, 0], [0, 0]])
     assert np.allclose(centred_block(TINY).sum(axis=1), 0)
-    check_width(MAX_COLUMNS)
-    with pytest.raises(ValueError, match="narrow"):
-        check_width(MAX_COLUMNS + 1)
 
 
 def pieces(text):

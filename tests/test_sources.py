@@ -74,10 +74,26 @@ def test_written_text_reads_back_bit_for_bit(spark, tmp_path):
 def test_factors_are_written_in_order(spark, tmp_path):
     path = str(tmp_path / "r.tmat")
     r = nm.tsqr(matrix(spark, TINY))
-    nm.write_text_matrix(r, path)
+    nm.write_text_matrix(r, path, ordered=True)
     assert np.array_equal(np.array([l.split() for l in read_lines(path)], float), factor(r))
 
 
+def test_two_split_sizes_at_once_and_compressed_text(spark, tmp_path):
+    path = str(tmp_path / "split.tmat")
+    m = matrix(spark, np.arange(20000.0).reshape(-1, 2), 1)
+    nm.write_text_matrix(m, path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    many = nm.read_text_matrix(spark, path, n=2, split_bytes=20000)
+    one = nm.read_text_matrix(spark, path, n=2, split_bytes=1 << 30)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert many.rdd.getNumPartitions() >= 8 > one.rdd.getNumPartitions()
+    assert many.unionAll(one).count() == 20000
+    packed = str(tmp_path / "packed.tmat")
+    nm.write_text_matrix(m, packed, compression="gzip")
+    assert list((tmp_path / "packed.tmat").glob("*.gz"))
+    assert nm.read_text_matrix(spark, packed).count() == 10000
+
+
 def test_labelled_rows_round_trip(spark, tmp_path):
     path = str(tmp_path / "lab")
     df = spark.createDataFrame([(1.5, [0.1, 2.0]), (-2.0, [3.0, 4.0])], "rhs double, row array<double>")

@@ -88,6 +88,17 @@ def test_profile(spark):
     assert nm.profile_values(variants, "v", 1).filter("path = '$.c'").first()["count"] == 2
 
 
+def test_wide_sums_counters_and_peek_of_each_task(spark):
+    wide = spark.range(3).select(F.array_repeat(F.lit(1.0), 9000).alias("row"))
+    assert nm.col_sums(wide).agg(F.sum("value")).first()[0] == 27000
+    rows = [(float(k), [1.0, float(k * k)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "rhs double, row array<double>").repartition(4)
+    for made in (nm.gram(df, stats=True), nm.svd(df, stats=True), nm.pca(df, stats=True), nm.least_squares(df, stats=True)):
+        assert made.stats.filter("stage = 0").first()["rows"] == 40
+    records = spark.range(0, 20, 1, 4).select(F.col("id").alias("record"), F.lit(b"xyz").alias("value"))
+    assert sorted(r.key for r in nm.peek(records, 2, per_task=True).collect()) == [0, 1, 5, 6, 10, 11, 15, 16]
+
+
 def test_images(spark):
     rng = np.random.default_rng(3)
     side = 4
