@@ -213,6 +213,11 @@ def oracles() -> dict[str, str]:
         "tsqr_random_keys": f"SELECT *, true AS fits FROM ({r_lineitem})",
         "tsqr_first_keys": f"SELECT (SELECT min(l_orderkey) FROM lineitem) AS first, * FROM ({r_lineitem})",
         "gram_lineitem": gram_sql(LINEITEM, "lineitem", 3),
+        "gram_union": gram_sql(
+            ["a", "b"],
+            "(SELECT l_quantity AS a, l_extendedprice / 1000 AS b FROM lineitem UNION ALL "
+            "SELECT o_custkey / 1000, o_totalprice / 1000 FROM orders)", 3
+        ),
         "gram_scheduled": gram_sql(LINEITEM, "lineitem", 3),
         "gram_embeddings": embedding_gram,
         "cholesky_qr": r_lineitem,
@@ -311,6 +316,16 @@ def oracles() -> dict[str, str]:
                  LATERAL (SELECT CASE size WHEN -1 THEN length(p_name)
                                  WHEN -2 THEN length(p_brand) ELSE size END::integer AS n)
             GROUP BY path, type, each""",
+        "profile_deep": f"""
+            WITH deep AS (SELECT p_brand, len(p_brand)::integer AS n FROM part WHERE p_size > 5)
+            SELECT '$' || repeat('.l', k::integer) AS path, 'object' AS type, count(*) AS count,
+                   CASE WHEN k < 8 THEN 1 ELSE 2 END::integer AS min_len,
+                   CASE WHEN k < 8 THEN 1 ELSE 2 END::integer AS max_len
+            FROM deep, range(9) t(k) GROUP BY k
+            UNION ALL SELECT '${".l" * 8}[''a.b'']', 'string', count(*), min(n), max(n) FROM deep HAVING count(*) > 0
+            UNION ALL SELECT '${".l" * 8}.ab', 'integer', count(*), NULL, NULL FROM deep HAVING count(*) > 0
+            UNION ALL SELECT '$', 'null', count(*), NULL, NULL FROM part
+                      WHERE NOT coalesce(p_size > 5, false) HAVING count(*) > 0""",
         "text_rows": rows_sql(
             "part", "p_partkey", "[p_partkey::double, p_size::double, p_retailprice]", 3, 6
         ),

@@ -194,6 +194,15 @@ def gram_scheduled(spark, folder):
     return long_form(nm.gram(lineitem(spark, folder), schedule=(4, 1)), 3)
 
 
+@query
+def gram_union(spark, folder):
+    """Rows of two tables in one matrix."""
+    orders = nm.as_matrix(
+        table(spark, folder, "orders"), cols=[F.col("o_custkey") / 1000, F.col("o_totalprice") / 1000]
+    )
+    return long_form(nm.gram(two_columns(spark, folder).unionAll(orders)), 3)
+
+
 @query
 def gram_embeddings(spark, folder):
     return long_form(nm.gram(embeddings(spark, folder)), 6)
@@ -431,6 +440,15 @@ def profile_nested(spark, folder):
     return nm.profile_values(rows, "json")
 
 
+@query
+def profile_deep(spark, folder):
+    """Values nine levels down, names with dots, and rows without a value."""
+    inner = F.concat(F.lit('{"a.b": "'), "p_brand", F.lit('", "ab": '), F.col("p_size").cast("string"), F.lit("}"))
+    deep = F.concat(F.lit('{"l":' * 8), inner, F.lit("}" * 8))
+    rows = table(spark, folder, "part").select(F.when(F.col("p_size") > 5, deep).alias("json"))
+    return nm.profile_values(rows, "json")
+
+
 # Rows in other forms
 
 

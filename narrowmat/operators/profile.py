@@ -2,94 +2,126 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-# Names of the types in a profile, by the start of the type that
-# the engine reports.
-TYPE_NAMES = (
-    ("OBJECT", "object"),
-    ("ARRAY", "array"),
-    ("STRING", "string"),
-    ("BOOLEAN", "boolean"),
-    ("BIGINT", "integer"),
-    ("INT", "integer"),
-    ("SMALLINT", "integer"),
-    ("TINYINT", "integer"),
-    ("DECIMAL", "double"),
-    ("DOUBLE", "double"),
-    ("FLOAT", "double"),
-    ("VOID", "null"),
-    ("BINARY", "binary"),
-    ("DATE", "date"),
-    ("TIMESTAMP", "timestamp"),
-)
-
-
-def _item(path: Column, value: Column) -> Column:
-    """Path, type and length of a value; ``inner`` only if there is more in it."""
-    reported = F.schema_of_variant(value)
-
-    def described(of: Column) -> Column:
-        kind = F.when(of.isNull(), F.lit("invalid"))
-        for start, name in TYPE_NAMES:
-            kind = kind.when(of.startswith(start), F.lit(name))
-        return kind.otherwise(F.lower(of))
-
-    def whole(kind: Column) -> Column:
-        size = (
-            F.when(kind == "string", F.length(value.cast("string")))
-            .when(kind == "array", F.size(value.cast("array<variant>")))
-            .when(kind == "object", F.size(value.cast("map<string, variant>")))
-        )
-        inner = F.when(kind.isin("object", "array"), value)
-        return F.struct(
-            path.alias("path"), kind.alias("kind"), size.alias("size"), inner.alias("inner")
-        )
-
-    # Lambda variables keep the type from being worked out again for each use.
-    kinds = F.transform(F.array(reported), described)
-    return F.transform(kinds, whole)[0]
-
-
-def _inside(path: Column, kind: Column, value: Column) -> Column:
-    """The items directly inside a value that is not null."""
-    fields = F.transform(
-        F.map_entries(value.cast("map<string, variant>")),
-        lambda e: _item(F.concat(path, F.lit("."), e["key"]), e["value"]),
-    )
-    elements = F.transform(
-        value.cast("array<variant>"), lambda x: _item(F.concat(path, F.lit("[]")), x)
-    )
-    return F.when(kind == "object", fields).otherwise(elements)
+import json
+import re
+from datetime import date, datetime
+from functools import partial
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+# Distinct paths that a task counts before it hands on what it has so far.
+HELD_PATHS = 100_000
+
+_PLAIN = re.compile(r"[\w-]+")
+_COUNTS = "path string, type string, count long, min_len int, max_len int"
+
+
+def _field(path: str, name: str) -> str:
+    if _PLAIN.fullmatch(name):
+        return f"{path}.{name}"
+    quoted = name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"{path}['{quoted}']"
+
+
+def _kind(value) -> str:
+    """Name of the type of a value that is no object, array or string."""
+    if value is None:
+        return "null"
+    if isinstance(value, bool):
+        return "boolean"
+    if isinstance(value, int):
+        return "integer" if -(2**63) <= value < 2**63 else "double"
+    if isinstance(value, (bytes, bytearray)):
+        return "binary"
+    if isinstance(value, datetime):
+        return "timestamp"
+    return "date" if isinstance(value, date) else "double"
+
+
+def _walk(root, max_depth: int | None):
+    """Path, type and length of a value and of all there is inside."""
+    todo = [("$", root, 0)]
+    while todo:
+        path, value, depth = todo.pop()
+        if isinstance(value, str):
+            yield path, "string", len(value)
+        elif isinstance(value, (dict, list)):
+            yield path, "object" if isinstance(value, dict) else "array", len(value)
+            if depth == max_depth:
+                if value:
+                    yield path, "unopened", len(value)
+            elif isinstance(value, dict):
+                todo.extend((_field(path, k), v, depth + 1) for k, v in value.items())
+            else:
+                todo.extend((path + "[]", v, depth + 1) for v in value)
+        else:
+            yield path, _kind(value), None
+
+
+def _json_values(batch):
+    """Yields one-element tuples; an empty tuple stands for text that is no JSON."""
+    decoder = json.JSONDecoder(strict=False)
+    for text, valid in zip(batch.column("value").to_pylist(), batch.column("valid").to_pylist()):
+        if text is None:
+            yield (None,)
+        elif valid:
+            yield (decoder.raw_decode(text.lstrip())[0],)
+        else:
+            yield ()
+
+
+def _variant_values(batch):
+    for value in batch.column("value").to_pylist():
+        yield (None if value is None else T.VariantVal(value["value"], value["metadata"]).toPython(),)
+
+
+def _counted(held: dict) -> pa.RecordBatch:
+    paths = [path.encode("utf-8", "replace").decode() for path, _ in held]
+    numbers = [pa.array(x, kind) for x, kind in zip(zip(*held.values()), (pa.int64(), pa.int32(), pa.int32()))]
+    kinds = pa.array([kind for _, kind in held], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), kinds, *numbers], names=["path", "type", "count", "min_len", "max_len"])
+
+
+def _profile(values_of, max_depth, batches):
+    held: dict[tuple[str, str], list] = {}
+    for batch in batches:
+        for found in values_of(batch):
+            for path, kind, size in _walk(found[0], max_depth) if found else [("$", "invalid", None)]:
+                entry = held.get((path, kind))
+                if entry is None:
+                    held[path, kind] = [1, size, size]
+                    continue
+                entry[0] += 1
+                if size is not None:
+                    entry[1], entry[2] = min(entry[1], size), max(entry[2], size)
+            if len(held) >= HELD_PATHS:
+                yield _counted(held)
+                held = {}
+    if held:
+        yield _counted(held)
 
 
-def profile_values(df: DataFrame, col: str, max_depth: int = 5) -> DataFrame:
+def profile_values(df: DataFrame, col: str, max_depth: int | None = None) -> DataFrame:
     """Counts of values by path and type: ``path, type, count, min_len, max_len``.
 
-    The whole value is at ``$``, fields at ``.name`` and array elements at
-    ``[]`` below it, down to ``max_depth`` levels. Lengths are those of
-    strings, arrays and objects. Text that is no JSON counts as ``invalid``.
-    The table is read once: the levels of a row are opened one after the other,
-    each from the one before, and counted together.
+    The whole value is at ``$``, fields at ``.name`` (names with anything but
+    letters, digits, ``_`` and ``-`` at ``['name']``) and array elements at
+    ``[]`` below it, at any depth. Lengths are those of strings, arrays and
+    objects. A row without a value counts as ``null`` at ``$``, text that the
+    engine cannot parse as ``invalid``. With ``max_depth``, objects and arrays
+    that are not empty count at that level as ``unopened`` once more.
+    The table is read once; tasks hand on counts, not values.
     """
-    if max_depth < 0:
+    if max_depth is not None and max_depth < 0:
         raise ValueError("max_depth must be 0 or more")
     value = F.col(col)
-    if not isinstance(df.schema[col].dataType, T.VariantType):
-        value = F.try_parse_json(value.cast("string"))
-    levels = df.filter(F.col(col).isNotNull()).select(value.alias("value"))
-    levels = levels.select(F.array(_item(F.lit("$"), F.col("value"))).alias("level0"))
-    for depth in range(max_depth):
-        opened = F.filter(f"level{depth}", lambda item: item.inner.isNotNull())
-        inside = F.transform(
-            opened, lambda item: _inside(item.path, item.kind, item.inner)
-        )
-        levels = levels.withColumn(f"level{depth + 1}", F.flatten(inside))
-    items = levels.select(F.explode(F.concat(*levels.columns)).alias("item"))
-    return items.groupBy(
-        F.col("item.path").alias("path"), F.col("item.kind").alias("type")
-    ).agg(
-        F.count("*").alias("count"),
-        F.min("item.size").alias("min_len"),
-        F.max("item.size").alias("max_len"),
+    if isinstance(df.schema[col].dataType, T.VariantType):
+        values, read = df.select(value.alias("value")), _variant_values
+    else:
+        text = value.cast("string")
+        values, read = df.select(text.alias("value"), F.try_parse_json(text).isNotNull().alias("valid")), _json_values
+    counts = values.mapInArrow(partial(_profile, read, max_depth), _COUNTS)
+    return counts.groupBy("path", "type").agg(
+        F.sum("count").alias("count"), F.min("min_len").alias("min_len"), F.max("max_len").alias("max_len")
     )

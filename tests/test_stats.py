@@ -75,7 +75,7 @@ def test_profile(spark):
     found = {(r.path, r.type): (r["count"], r.min_len, r.max_len) for r in nm.profile_values(df, "j").collect()}
     assert found == {
         ("$", "object"): (2, 2, 2), ("$", "array"): (1, 2, 2), ("$", "string"): (1, 4, 4),
-        ("$", "invalid"): (1, None, None),
+        ("$", "invalid"): (1, None, None), ("$", "null"): (1, None, None),
         ("$.a", "array"): (1, 3, 3), ("$.a[]", "integer"): (1, None, None),
         ("$.a[]", "double"): (1, None, None), ("$.a[]", "object"): (1, 1, 1),
         ("$.a[].b", "null"): (1, None, None), ("$.c", "string"): (2, 3, 6),
@@ -84,10 +84,25 @@ def test_profile(spark):
     }
     flat = nm.profile_values(df, "j", max_depth=0).collect()
     assert {r.path for r in flat} == {"$"}
+    assert [r["count"] for r in flat if r.type == "unopened"] == [3]
     variants = df.filter("j like '{%'").select(F.parse_json("j").alias("v"))
     assert nm.profile_values(variants, "v", 1).filter("path = '$.c'").first()["count"] == 2
 
 
+def test_profile_is_whole(spark):
+    deep = '{"a":' * 300 + "[]" + "}" * 300
+    docs = [(deep,), ('{"a.b": 1, "a": {"b": 2}, "it\'s": 12345678901234567890}',), ("",), ("2.0 ",)]
+    df = spark.createDataFrame(docs, "j string")
+    found = {(r.path, r.type): r["count"] for r in nm.profile_values(df, "j").collect()}
+    assert found["$" + ".a" * 300, "array"] == 1 and found["$['a.b']", "integer"] == 1
+    assert found["$.a.b", "integer"] == 1 and found["$['it\\'s']", "double"] == 1 and found["$", "double"] == 1
+    some = nm.profile_values(df, "j", max_depth=7).collect()
+    assert [(r.path, r["count"]) for r in some if r.type == "unopened"] == [("$" + ".a" * 7, 1)]
+    made = spark.sql("SELECT to_variant_object(named_struct('d', DATE'2024-01-02', 'b', X'00', 't', TIMESTAMP'2024-01-02 03:04:05')) AS v")
+    assert {(r.path, r.type) for r in nm.profile_values(made, "v").collect()} >= {("$.d", "date"), ("$.b", "binary"), ("$.t", "timestamp")}
+    assert nm.profile_values(df.limit(0), "j").count() == 0
+
+
 def test_wide_sums_counters_and_peek_of_each_task(spark):
     wide = spark.range(3).select(F.array_repeat(F.lit(1.0), 9000).alias("row"))
     assert nm.col_sums(wide).agg(F.sum("value")).first()[0] == 27000
