@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -151,7 +152,7 @@ class Tokenizer:
         self._reset()
 
     def _reset(self):
-        self.place, self.sizes, self.flat = {}, [], []
+        self.place, self.sizes, self.flat = {}, array("q"), array("I")
 
     def _learn(self, words):
         letters, blank, tokenize = self.letters, self.letters[32], self.model.tokenize
