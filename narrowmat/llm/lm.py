@@ -4,8 +4,9 @@ The model predicts a text bit by bit. Each byte (upper case folded) is a path in
 binary code; at each node three predictors give the chance of a one, from counts
 of the training texts under a hashed context: the last two bytes, the last
 four, and the word so far. Their log odds are mixed with weights gated by the
-depth in the code, and the weights follow the prediction error after each byte. They start anew every ``SEGMENT`` bytes, so many segments are scored side by
-side; the contexts reach back over the cut.
+depth in the code, and the weights follow the prediction error after each byte,
+from the first byte of a text to its last. Many texts are scored side by side;
+the few longest of a run, once alone, one by one.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ SMOOTH = 0.1
 CONTEXTS = (1 << 13, 1 << 14, 1 << 14)
 SYMBOLS = 256
 END = 65  # "A" cannot occur once upper case is folded
-SEGMENT = 512
 SCORED = 1 << 18
+FEW = 8
 GATES = 32
 RATE = 0.02
 START = 0.45
@@ -112,35 +113,14 @@ def odds(counts: np.ndarray, code: Code) -> np.ndarray:
 def log_probability(sym, starts, tables: np.ndarray, code: Code, hasher: WordHasher) -> np.ndarray:
     """Natural logarithm of the probability of each text."""
     contexts = _contexts(sym, starts, hasher)
-    lengths = np.diff(starts)
-    pieces = -(-lengths // SEGMENT)
-    owner = np.repeat(np.arange(len(lengths)), pieces)
-    inner = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    begin = starts[owner] + inner * SEGMENT
-    end = np.minimum(begin + SEGMENT, starts[owner + 1])
-    out = np.zeros(len(lengths))
-    at = 0
-    while at < len(owner):
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + SCORED)))
-        cost = _segments(sym, contexts, begin[at:to], end[at:to], tables, code)
-        np.add.at(out, owner[at:to], cost)
-        at = to
-    return out
-
-
-def _segments(sym, contexts, begin, end, tables, code):
-    """Segments side by side, symbol by symbol; the weights of a segment follow
-    after each symbol. Symbols are laid out by place in the segment, so every
-    step works on consecutive bits."""
-    lo, hi = begin[0], end[-1]
-    sizes = end - begin
+    sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
     rank = np.empty(len(order), dtype=np.int64)
     rank[order] = np.arange(len(order))
     steps = int(sizes[order[0]])
-    active = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # segments longer than t
+    active = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # texts longer than t
     base = np.concatenate([[0], np.cumsum(active)])
-    place = np.arange(hi - lo) - np.repeat(begin - lo, sizes)
+    place = np.arange(len(sym)) - np.repeat(starts[:-1], sizes)
     pos = base[place] + np.repeat(rank, sizes)
 
     def laid(x):
@@ -148,36 +128,79 @@ def _segments(sym, contexts, begin, end, tables, code):
         out[pos] = x
         return out
 
-    s = laid(sym[lo:hi])
+    s, rows = laid(sym), [laid(x) for x in contexts]
+    del place, pos, contexts
+    weights = [np.full(len(order) * GATES, START) for _ in range(3)]
+    cost = np.zeros(len(order))
+    few = int(np.searchsorted(-active, -FEW, "left"))  # from here on, FEW texts or less
+    t = 0
+    while t < steps:
+        to = max(t + 1, int(np.searchsorted(base, base[t] + SCORED, "right")) - 1)
+        to = min(to, few if t < few else steps)
+        lo, hi = base[t], base[to]
+        lane = np.arange(lo, hi) - np.repeat(base[t:to], active[t:to])
+        run = _side_by_side if t < few else _one_by_one
+        cost += run(s[lo:hi], [x[lo:hi] for x in rows], lane, base[t : to + 1] - lo, weights, tables, code, len(order))
+        t = to
+    return cost[rank]
+
+
+def _bits(s, rows, lane, tables, code):
+    """Bits of the symbols: how many each has, where they begin, gate of each in
+    its lane, value, and log odds under each predictor."""
     n_bits = code.length[s]
     ends = np.concatenate([[0], np.cumsum(n_bits)])
-    total = int(ends[-1])
-    depth = np.arange(total, dtype=np.int32) - np.repeat(ends[:-1].astype(np.int32), n_bits)
+    depth = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends[:-1].astype(np.int32), n_bits)
     path = np.repeat(code.first[s].astype(np.int32), n_bits) + depth
     node, bit = code.node[path], code.bit[path]
-    lane = np.repeat((np.arange(hi - lo) - np.repeat(base[:-1], active)).astype(np.int32), n_bits)
-    home = lane * GATES + np.minimum(depth, GATES - 1)
+    gate = np.repeat(lane.astype(np.int32) * np.int32(GATES), n_bits) + np.minimum(depth, GATES - 1)
     inputs = []
     for k in range(3):
-        row = laid(contexts[k][lo:hi]) * np.int32(SYMBOLS) + np.int32(_BASE[k])
+        row = rows[k] * np.int32(SYMBOLS) + np.int32(_BASE[k])
         inputs.append(tables[np.repeat(row, n_bits) + node].astype(np.float32) * np.float32(1 / 16))
-    weights = [np.full(len(order) * GATES, START, dtype=np.float32) for _ in range(3)]
-    ones = np.empty(total, dtype=np.float32)
-    rate = np.float32(RATE)
+    return n_bits, ends, gate, bit, inputs
+
+
+def _cost(ones, bit, gate, n):
+    np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
+    return np.bincount(gate // GATES, np.log(np.abs(ones - 1 + bit)), minlength=n)
+
+
+def _side_by_side(s, rows, lane, base, weights, tables, code, n):
+    """Symbols laid out by place in their text, so every step, one symbol of each
+    text, works on consecutive bits. Weights follow after each step."""
+    _, ends, gate, bit, inputs = _bits(s, rows, lane, tables, code)
+    ones = np.empty(len(bit), dtype=np.float32)
     cuts = ends[base].tolist()
-    for t in range(steps):
-        a, b = cuts[t], cuts[t + 1]
-        at = home[a:b]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = gate[a:b]
         x = [v[a:b] for v in inputs]
         w = [v[at] for v in weights]
         p = 1 / (1 + np.exp(-(w[0] * x[0] + w[1] * x[1] + w[2] * x[2])))
         ones[a:b] = p
-        gap = (bit[a:b] - p) * rate
+        gap = (bit[a:b] - p) * RATE
         for v, own, z in zip(weights, w, x):
             v[at] = own + gap * z
-    np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
-    cost = np.bincount(lane, np.log(np.abs(ones - 1 + bit)), minlength=len(order))
-    return cost[rank]
+    return _cost(ones, bit, gate, n)
+
+
+def _one_by_one(s, rows, lane, base, weights, tables, code, n):
+    """The same for so few texts that a step of arrays costs more than its bits."""
+    _, _, gate, bit, inputs = _bits(s, rows, lane, tables, code)
+    size = FEW * GATES
+    held = [v[:size].tolist() for v in weights]
+    a, b, c = held
+    ones, exp = [], math.exp
+    for at, one, x, y, z in zip(gate.tolist(), bit.tolist(), *(v.tolist() for v in inputs)):
+        p = 1 / (1 + exp(-(a[at] * x + b[at] * y + c[at] * z)))
+        ones.append(p)
+        gap = (one - p) * RATE
+        a[at] += gap * x
+        b[at] += gap * y
+        c[at] += gap * z
+    for v, own in zip(weights, held):
+        v[:size] = own
+    return _cost(np.array(ones, dtype=np.float32), bit, gate, n)
 
 
 def _gather(batches):

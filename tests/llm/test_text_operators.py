@@ -275,3 +275,32 @@ def test_neighbours(spark):
         own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
         assert [r.vec_id for r in own] == order
     assert len(found) == 40 and neighbours.nearest(vectors.limit(0)).count() == 0
+
+
+def test_lm_weights_last():
+    """Texts side by side against one bit after another, also long and repetitive ones."""
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice("the of and to river stone walked under".split(), n))
+    texts = [say(n) for n in (1, 600, 30, 300, 5, 200, 90)] + ["", "abc" * 500]
+    ends = np.cumsum([0] + [len(t) for t in texts])
+    sym, starts = lm._symbols(np.frombuffer("".join(texts).encode(), np.uint8), ends)
+    contexts = lm._contexts(sym, starts, lm.WordHasher())
+    cells = np.zeros(lm.CELLS)
+    for k in range(3):
+        np.add.at(cells, lm._BASE[k] + contexts[k][:3000].astype(np.int64) * 256 + sym[:3000], 1)
+    code = lm.Code(np.bincount(sym, minlength=256))
+    tables = lm.odds(cells, code)
+    wanted = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        weights, total = np.full((lm.GATES, 3), lm.START), 0.0
+        for k in range(a, b):
+            first = code.first[sym[k]]
+            for depth in range(code.length[sym[k]]):
+                node, bit, gate = code.node[first + depth], code.bit[first + depth], min(depth, lm.GATES - 1)
+                x = np.array([tables[lm._BASE[j] + int(contexts[j][k]) * 256 + node] / 16 for j in range(3)])
+                p = 1 / (1 + np.exp(-weights[gate] @ x))
+                total += np.log(np.clip(p if bit else 1 - p, 1e-4, 1 - 1e-4))
+                weights[gate] += lm.RATE * (bit - p) * x
+        wanted.append(total)
+    found = lm.log_probability(sym, starts, tables, code, lm.WordHasher())
+    np.testing.assert_allclose(found, wanted, rtol=1e-5)
