@@ -21,8 +21,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 3: one document of each group of near-duplicates stays."""
-    return near_dedup.keep_one(docs)
+    """Stage 3: one document of each group of near-duplicates, similar by 0.8 or
+    more, stays."""
+    return near_dedup.keep_one(docs, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@
    signature of ``COORDINATES`` minima. Texts with equal sets form a class; only
    classes go on, so exact copies never meet each other.
 2. Each class is posted under its coordinate-value pairs. A pair of classes
-   counts as candidate if it agrees in at least ``MATCHES`` coordinates. With all
+   counts as candidate if it agrees in at least ``matches`` coordinates. With all
    pairs in one global order, rarest first, two such classes share one of their
-   first ``COORDINATES - MATCHES + 1``: only that prefix is posted, and pairs
+   first ``COORDINATES - matches + 1``: only that prefix is posted, and pairs
    that occur once are dropped beforehand.
 3. Short lists are compared pair by pair in place; of long lists only pairs
    with the list's first member come out. Matches are counted on whole
@@ -17,12 +17,16 @@
    blocks of full sets: members outside the largest component of the list visit
    every block. So no link between different texts is lost to a long list.
 
-At a similarity of 0.85 a coordinate agrees with that probability, so the
-chance to miss a link is that of fewer than 16 agreements of 32: 5e-7.
+At a similarity of ``percent`` a coordinate agrees with that probability; the
+matches asked for are the most that keep the chance to miss a link within
+``MISS``: 16 of 32 at 85 percent (5e-7), 14 at 80 (1e-6).
 """
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,8 +36,8 @@ from narrowmat.llm.components import components
 
 SHINGLE = 5
 COORDINATES = 32
-MATCHES = 16
 PERCENT = 85
+MISS = 2e-6
 SHORT = 32
 BLOCK = 1000
 
@@ -41,6 +45,17 @@ SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def matches(percent: int) -> int:
+    """The most agreements of ``COORDINATES`` that a pair of ``percent`` similarity
+    reaches but for a chance of ``MISS``."""
+    p, missed, k = percent / 100, 0.0, 0
+    while True:
+        missed += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k)
+        if missed > MISS:
+            return max(k, 1)
+        k += 1
+
+
 def _shingles(hasher: WordHasher, data, offsets, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text, ascending within it, and where each text's begin."""
     words, _, _, at = hasher.words(data, offsets)
@@ -146,24 +161,24 @@ def _matches(one: np.ndarray, others: np.ndarray, least: int) -> np.ndarray:
     return left
 
 
-def _pairs_of(cls, n, sig):
+def _pairs_of(cls, n, sig, percent, least):
     found_a, found_b = [], []
     for k in range(len(cls) - 1):
-        hit = k + 1 + _matches(sig[k], sig[k + 1 :], MATCHES)
-        hit = hit[np.minimum(n[hit], n[k]) * 100 >= PERCENT * np.maximum(n[hit], n[k])]
+        hit = k + 1 + _matches(sig[k], sig[k + 1 :], least)
+        hit = hit[np.minimum(n[hit], n[k]) * 100 >= percent * np.maximum(n[hit], n[k])]
         found_a.append(np.full(len(hit), cls[k]))
         found_b.append(cls[hit])
     return found_a, found_b
 
 
-def _short_lists(batches):
+def _short_lists(percent, batches):
     """Candidates of short posting lists, sorted by list: ``list, cls, n, sig``."""
-    held = None
+    held, least = None, matches(percent)
 
     def emit(parts, bounds):
         a, b = [], []
         for lo, hi in zip(bounds[:-1], bounds[1:]):
-            x, y = _pairs_of(parts[1][lo:hi], parts[2][lo:hi], parts[3][lo:hi])
+            x, y = _pairs_of(parts[1][lo:hi], parts[2][lo:hi], parts[3][lo:hi], percent, least)
             a, b = a + x, b + y
         none = [np.zeros(0, np.int64)]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none), pa.int64()), pa.array(np.concatenate(b or none), pa.int64())], names=["a", "b"])
@@ -183,16 +198,17 @@ def _short_lists(batches):
         yield emit(held, [0, len(held[0])])
 
 
-def _with_pivot(batches):
+def _with_pivot(percent, batches):
     """Of a long list's members beside its pivot, those similar enough to it."""
+    least = matches(percent)
     for batch in batches:
         x = numbers(batch.column("sig"), np.uint32)[0].reshape(-1, COORDINATES)
         y = numbers(batch.column("pivot_sig"), np.uint32)[0].reshape(-1, COORDINATES)
-        keep = pa.array((x == y).sum(axis=1) >= MATCHES)
+        keep = pa.array((x == y).sum(axis=1) >= least)
         yield pa.RecordBatch.from_arrays([batch.column("pivot").filter(keep), batch.column("cls").filter(keep)], names=["a", "b"])
 
 
-def _confirm(batches):
+def _confirm(percent, batches):
     """Pairs whose full sets are similar enough."""
     for batch in batches:
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
@@ -202,12 +218,12 @@ def _confirm(batches):
         keep = []
         for k in range(len(a)):
             s, t = x[px[k] : px[k + 1]], y[py[k] : py[k + 1]]
-            if min(len(s), len(t)) * 100 < PERCENT * max(len(s), len(t)):
+            if min(len(s), len(t)) * 100 < percent * max(len(s), len(t)):
                 continue
             both = np.concatenate([s, t])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
-            if common * 100 >= PERCENT * (len(both) - common):
+            if common * 100 >= percent * (len(both) - common):
                 keep.append(k)
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], names=["a", "b"])
 
@@ -215,8 +231,9 @@ def _confirm(batches):
 class _Block:
     """Members of one block of a long list, and the links of visitors to them."""
 
-    def __init__(self, cls, root, keys, sizes):
+    def __init__(self, cls, root, keys, sizes, percent):
         self.cls, self.root, self.size = np.array(cls), np.array(root), np.array(sizes)
+        self.percent = percent
         owner = np.repeat(np.arange(len(cls)), sizes)
         order = np.argsort(keys, kind="stable")
         self.keys, self.owner = keys[order], owner[order]
@@ -227,7 +244,7 @@ class _Block:
         n = hi - lo
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         common = np.bincount(self.owner[at], minlength=len(self.cls))
-        linked = common * 100 >= PERCENT * (self.size + len(keys) - common)
+        linked = common * 100 >= self.percent * (self.size + len(keys) - common)
         hit = np.flatnonzero(linked & (self.root != root) & (self.cls != cls))
         return self.cls[hit[np.unique(self.root[hit], return_index=True)[1]]]
 
@@ -236,7 +253,7 @@ def _rooted(frame: DataFrame, comps: DataFrame) -> DataFrame:
     return frame.join(comps, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
 
 
-def _block_stream(batches):
+def _block_stream(percent, batches):
     """Blocks one after another from rows sorted by list, block, visit."""
     at, block, held = None, None, None
     for batch in batches:
@@ -253,16 +270,16 @@ def _block_stream(batches):
                 for part, x in zip(held, (cls[k], root[k], own, len(own))):
                     part.append(x)
             elif held[0]:
-                block = block or _Block(held[0], held[1], np.concatenate(held[2]), held[3])
+                block = block or _Block(held[0], held[1], np.concatenate(held[2]), held[3], percent)
                 hit = block.links(cls[k], root[k], own)
                 out_a += [cls[k]] * len(hit)
                 out_b += hit.tolist()
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK, percent: int = PERCENT) -> DataFrame:
     """For every row of ``docs`` (``doc_id, text``): ``doc_id, n_shingles,
-    component_id, kept``.
+    component_id, kept``. Texts are linked from a similarity of ``percent`` on.
 
     Null and empty texts, and texts of blanks, have no shingle and are linked
     with nothing: they are kept. A row without doc_id takes part by its text;
@@ -281,29 +298,29 @@ def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK) ->
         F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
         lambda k: F.xxhash64(k, F.substring(F.col("sig"), k * 4 + 1, F.lit(4))),
     )
-    # Two different sets of up to five shingles cannot be similar enough.
-    posted = classes.filter(f"n > {SHINGLE}").select("cls", F.explode(pieces).alias("list"))
+    # A set this small is not similar enough to itself and one shingle more.
+    posted = classes.filter(f"n * {100 - percent} >= {percent}").select("cls", F.explode(pieces).alias("list"))
     often = posted.groupBy("list").agg(F.count("*").alias("size")).filter("size > 1")
     seen = posted.join(often, "list").groupBy("cls").agg(
         F.sort_array(F.collect_list(F.struct("size", "list"))).alias("all"), F.count("*").alias("shared")
     )
     # Coordinates that occur once are first in the order: they use up the prefix
     # but need no posting.
-    first = F.col("shared") - (MATCHES - 1)
+    first = F.col("shared") - (matches(percent) - 1)
     prefix = seen.filter(first > 0).select("cls", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("p"))
     postings = written(
         prefix.join(classes, "cls").select(F.col("p.list").alias("list"), F.col("p.size").alias("size"), "cls", "n", "sig"), "postings"
     )
     brief = postings.filter(F.col("size") <= short).select("list", "cls", "n", "sig")
-    brief = brief.repartition("list").sortWithinPartitions("list", "cls").mapInArrow(_short_lists, "a long, b long")
+    brief = brief.repartition("list").sortWithinPartitions("list", "cls").mapInArrow(partial(_short_lists, percent), "a long, b long")
     long = postings.filter(F.col("size") > short)
     pivots = long.groupBy("list").agg(F.min(F.struct("cls", "n", "sig")).alias("p")).select(
         "list", F.col("p.cls").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sig").alias("pivot_sig")
     )
     beside = long.join(pivots, "list").filter("cls != pivot").filter(
-        F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * PERCENT
+        F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent
     )
-    starred = beside.select("cls", "sig", "pivot", "pivot_sig").mapInArrow(_with_pivot, "a long, b long")
+    starred = beside.select("cls", "sig", "pivot", "pivot_sig").mapInArrow(partial(_with_pivot, percent), "a long, b long")
     pairs = brief.unionAll(starred).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
 
@@ -323,7 +340,7 @@ def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK) ->
     joined = pairs.join(known.select(F.col("cls").alias("a"), F.col("keys").alias("keys_a")), "a").join(
         known.select(F.col("cls").alias("b"), F.col("keys").alias("keys_b")), "b"
     )
-    edges = written(joined.select("a", "b", "keys_a", "keys_b").mapInArrow(_confirm, "a long, b long"), "links")
+    edges = written(joined.select("a", "b", "keys_a", "keys_b").mapInArrow(partial(_confirm, percent), "a long, b long"), "links")
     comps = written(components(edges), "components")
     discard(known)
 
@@ -341,7 +358,7 @@ def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK) ->
         known = written(sets(open_lists.select("cls").distinct()), "sets2")
         meet = here.unionAll(visits).join(known, "cls").select("list", "block", "visit", "cls", "root", "keys")
         meet = meet.repartition("list", "block").sortWithinPartitions("list", "block", "visit")
-        more = written(meet.mapInArrow(_block_stream, "a long, b long").distinct(), "links2")
+        more = written(meet.mapInArrow(partial(_block_stream, percent), "a long, b long").distinct(), "links2")
         comps = written(components(edges.unionAll(more)), "components2")
         discard(known)
 
@@ -353,9 +370,9 @@ def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK) ->
     return linked.unionAll(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each component, with all
     columns. Rows that repeat its doc_id stay with it."""
-    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
     rows = guarded(docs, ("doc_id", "text"))
     return restored(rows.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"), docs, ("doc_id", "text"))

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -304,3 +305,19 @@ def test_lm_weights_last():
         wanted.append(total)
     found = lm.log_probability(sym, starts, tables, code, lm.WordHasher())
     np.testing.assert_allclose(found, wanted, rtol=1e-5)
+
+
+def test_near_at_eighty(spark):
+    """Pairs similar by 0.80 to 0.84, also of sets of 4 and 5 shingles."""
+    texts = {}
+    for n, more in ((4, 1), (5, 1), (21, 4), (40, 10), (50, 10), (3, 1), (30, 8)):  # shingles, and those added
+        words = [f"n{n}-{k}" for k in range(n + 4 + more)]
+        texts[n, False], texts[n, True] = " ".join(words[: n + 4]), " ".join(words)
+    rows = [(k, t) for k, t in enumerate(texts.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near(spark, docs, "").collect()}
+    sets = [_shingles(t) for _, t in rows]
+    linked = {k + 1 for k in range(0, len(rows), 2) if len(sets[k] & sets[k + 1]) * 100 >= 80 * len(sets[k] | sets[k + 1])}
+    assert linked == {1, 3, 5, 7, 9} and kept == set(range(len(rows))) - linked
+    assert near_dedup.keep_one(docs).count() == len(rows)
+    assert near_dedup.matches(85) == 16 and near_dedup.matches(80) == 14
