@@ -41,7 +41,7 @@ MISS = 2e-6
 SHORT = 32
 BLOCK = 1000
 
-SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
+SIGNED = "doc_id long, own string, n_shingles long, set_a long, set_b long, sig binary"
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -110,7 +110,7 @@ def _prints(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _sign(batches):
     hasher = WordHasher()
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, own = batch.column("doc_id"), batch.column("own")
         for lo, hi, data, offsets in text_buffers(batch.column("text")):
             keys, at = _shingles(hasher, data, offsets)
             size = np.diff(at)
@@ -120,8 +120,8 @@ def _sign(batches):
                 sig[size > 0] = _signatures(keys, at[:-1][size > 0])
             packed = binary_column(sig.reshape(-1), np.full(hi - lo, COORDINATES))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b), packed],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "sig"],
+                [ids.slice(lo, hi - lo), own.slice(lo, hi - lo), pa.array(size.astype(np.int64)), pa.array(a), pa.array(b), packed],
+                names=["doc_id", "own", "n_shingles", "set_a", "set_b", "sig"],
             )
 
 
@@ -287,8 +287,14 @@ def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK, per
     Rows that repeat a doc_id each follow their own text. An empty table gives
     an empty result; other columns are not looked at.
     """
+    return _decided(docs, short, block, percent, F.lit(None)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _decided(docs: DataFrame, short: int, block: int, percent: int, own) -> DataFrame:
+    """``near_duplicates`` with ``own``, which tells texts apart, and ``root``, the
+    component (null where there is no shingle)."""
     texts = only(docs, "doc_id", "text")
-    rows = written(texts.mapInArrow(_sign, SIGNED), "signed")
+    rows = written(texts.withColumn("own", own.cast("string")).mapInArrow(_sign, SIGNED), "signed")
     full = rows.filter("n_shingles > 0")
     classes = full.groupBy("set_a", "set_b").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")
@@ -364,15 +370,33 @@ def near_duplicates(docs: DataFrame, short: int = SHORT, block: int = BLOCK, per
 
     whole = _rooted(classes.select("set_a", "set_b", "cls", "id"), comps)
     least = whole.groupBy("root").agg(F.min("id").alias("component_id"))
-    whole = whole.join(least, "root").select("set_a", "set_b", "component_id")
-    linked = full.join(whole, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id")
-    lone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    whole = whole.join(least, "root").select("set_a", "set_b", "component_id", "root")
+    linked = full.join(whole, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id", "own", "root")
+    lone = rows.filter("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "own", F.lit(None).cast("long").alias("root")
+    )
     return linked.unionAll(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each component, with all
-    columns. Rows that repeat its doc_id stay with it."""
-    gone = near_duplicates(docs, percent=percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    rows = guarded(docs, ("doc_id", "text"))
-    return restored(rows.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti"), docs, ("doc_id", "text"))
+    """The rows of ``docs`` that stay: one row of each component, with all columns,
+    and all without a shingle. It is the one with the smallest doc_id, of several
+    such the one with the smallest SHA-256; rows without doc_id come last."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    found = _decided(docs, SHORT, BLOCK, percent, sha).filter("root is not null")
+    keys = written(found.groupBy("root", "doc_id", "own").agg(F.count("*").alias("n")), "keys")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("own"))
+    first = keys.groupBy(F.col("root").alias("__root")).agg(F.min(order).alias("__first"))
+    marks = keys.join(first, F.col("root") == F.col("__root")).select(
+        F.col("doc_id").alias("__id"), F.col("own").alias("__sha"), (order.eqNullSafe(F.col("__first"))).alias("__stays"), "n"
+    )
+    # Rows that stay and are the only ones of their kind need no mark.
+    marks = written(marks.filter("not __stays or n > 1").drop("n"), "marks")
+    rows = guarded(docs, ("doc_id", "text")).withColumn("__own", sha)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    stay = rows.join(marks, same, "left_anti")
+    again = marks.filter("__stays")
+    if not again.isEmpty():
+        more = rows.join(again, same).dropDuplicates(["doc_id", "__own"])
+        stay = stay.unionAll(more.select(*stay.columns))
+    return restored(stay, docs, ("doc_id", "text"))

@@ -321,3 +321,15 @@ def test_near_at_eighty(spark):
     assert linked == {1, 3, 5, 7, 9} and kept == set(range(len(rows))) - linked
     assert near_dedup.keep_one(docs).count() == len(rows)
     assert near_dedup.matches(85) == 16 and near_dedup.matches(80) == 14
+
+
+def test_near_keeps_one_row(spark):
+    """Repeated and null doc_ids: rows are judged by their own text."""
+    say = lambda name, edit=0: " ".join(f"{name}{k}" for k in range(60)) + " end" * edit
+    rows = [(1, say("a")), (2, say("a", 1)), (2, say("b")), (None, say("c")), (None, say("c", 1)), (None, say("d"))]
+    rows += [(3, say("e")), (3, say("e")), (4, say("f")), (4, say("f", 1)), (None, say("g")), (5, say("g", 1)), (6, ""), (6, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, own long")
+    kept = near_dedup.keep_one(docs)
+    left = Counter((r.doc_id, (r.text or "")[:1]) for r in kept.collect())
+    wanted = [(1, "a"), (2, "b"), (None, "c"), (None, "d"), (3, "e"), (4, "f"), (5, "g"), (6, ""), (6, ""), (None, "")]
+    assert left == Counter(wanted) and kept.columns == docs.columns
