@@ -90,6 +90,26 @@ def solve_sql(columns: list[str], source: str, digits: int) -> str:
     )
 
 
+def list_solve_sql(rows: str, n: int, digits: int) -> str:
+    """Least squares of the last entry of a list column ``e`` on its first ``n``, by
+    Gauss-Jordan elimination on the Gram matrix, and the norm of the residual."""
+    return f"""
+        WITH RECURSIVE m AS ({rows}),
+             a AS (SELECT i::integer AS i FROM range(0, {n + 1}) t(i)),
+             b AS (SELECT j::integer AS j FROM range(0, {n + 1}) t(j)),
+             g AS (SELECT i, j, sum(e[i + 1]::double * e[j + 1]::double) AS v FROM m, a, b GROUP BY i, j),
+             s AS (SELECT 0 AS k, i, j, v FROM g
+                   UNION ALL
+                   SELECT s.k + 1, s.i, s.j,
+                          CASE WHEN s.i = s.k THEN s.v / p.v ELSE s.v - c.v * r.v / p.v END
+                   FROM s JOIN s p ON p.i = s.k AND p.j = s.k
+                        JOIN s r ON r.i = s.k AND r.j = s.j
+                        JOIN s c ON c.i = s.i AND c.j = s.k
+                   WHERE s.k < {n})
+        SELECT x.i AS j, round(x.v, {digits}) + 0.0 AS x, round(sqrt(q.v), {digits}) + 0.0 AS residual
+        FROM s x, s q WHERE x.k = {n} AND x.j = {n} AND x.i < {n} AND q.k = {n} AND q.i = {n} AND q.j = {n}"""
+
+
 def pair_sql(columns: list[str]) -> str:
     """Singular values and vectors of two columns, from the 2 x 2 Gram matrix."""
     return f"""
@@ -172,6 +192,7 @@ RAGGED = """(SELECT CASE WHEN l_linenumber <= 3 THEN 2 WHEN l_linenumber <= 5 TH
 FEATURES = ["l_quantity", "l_quantity * l_quantity / 100"]
 
 GRAY25 = ", ".join(pixel(p, 5, False) for p in range(25))
+RED25 = " + ".join(f"{byte(str(p), False)}::double" for p in range(25))
 
 OTHER = ["l_quantity", "l_tax * 100", "l_extendedprice / 500", "2.0::double"]
 
@@ -378,6 +399,9 @@ def oracles() -> dict[str, str]:
             "embeddings",
             5,
         ),
+        "image_regression_rows": list_solve_sql(
+            f"SELECT [{GRAY25}, {RED25}] AS e FROM embeddings", 25, 5
+        ),
         "image_pca": list_gram_sql(
             f"SELECT list_transform(p, lambda x: x - list_sum(p) / 25) AS e FROM ({gray_rows})",
             25,

@@ -635,6 +635,13 @@ def image_regression(spark, folder):
     return fit.x.select("j", rounded("x", 5).alias("x"))
 
 
+@query
+def image_regression_rows(spark, folder):
+    """Images of 5 x 5, so that every entry of a row counts."""
+    fit = nm.image_regression(stored_images(spark, folder, 5), side=5)
+    return fit.x.select("j", rounded("x", 5).alias("x"), rounded(F.lit(fit.residual), 5).alias("residual"))
+
+
 @query
 def image_pca(spark, folder):
     found = nm.image_pca(stored_images(spark, folder, 5), side=5)

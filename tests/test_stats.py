@@ -4,6 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import narrowmat as nm
+from narrowmat.catalog.queries import QUERIES
 from helpers import TINY, matrix
 
 
@@ -153,3 +154,16 @@ def test_rows_of_another_width_raise_on_both_paths(spark):
 def test_dropping_goes_by_the_usual_width(spark):
     rows = spark.createDataFrame([([1.0],), ([1.0, 2.0],), ([3.0, 4.0],), ([5.0, 6.0],)], "v array<double>")
     assert nm.as_matrix(rows.coalesce(1), row="v", on_bad_rows="drop").count() == 3
+
+
+def test_image_regression_sees_whole_rows(spark, sf):
+    """Against numpy on all 64 entries, through files of fixed-length records."""
+    rows = [r.embedding for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("embedding").collect()]
+    level = np.floor(np.abs(np.array(rows, dtype=np.float64) * 1000)) % 256
+    planes = level[:, np.arange(75) % 64].reshape(-1, 3, 25)
+    gray = np.tensordot([0.299, 0.587, 0.114], planes, (0, 1)) / 255.0
+    x, residual, *_ = np.linalg.lstsq(gray, planes[:, 0].sum(axis=1), rcond=None)
+    found = sorted(QUERIES["image_regression_rows"](spark, sf).collect())
+    assert [r.j for r in found] == list(range(25))
+    assert np.allclose([r.x for r in found], x, atol=1e-4)
+    assert np.allclose([r.residual for r in found], residual[0] ** 0.5, atol=1e-4)
