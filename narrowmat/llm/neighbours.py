@@ -62,8 +62,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = NEAREST) -> DataFrame:
     take no part, nor do those without vec_id or of an odd length. Rows that
     repeat a vec_id with another vector are candidates of their own for other
     queries; exact repetitions count once. Pivots are up to ``PIVOTS`` vectors
-    chosen by a hash of their content, one for eight vectors at most: with few
-    vectors every query reads every file, and the result is exact.
+    chosen by a hash of their content, one for eight vectors at most: below 520
+    vectors every query reads every file, from there on ``PROBES`` of them. Of a
+    file with more than ``LEAST`` vectors, those close by footrule are compared.
     """
     spark = vectors.sparkSession
     rows = usable(vectors).filter(F.col("vec_id").isNotNull())

@@ -333,3 +333,24 @@ def test_near_keeps_one_row(spark):
     left = Counter((r.doc_id, (r.text or "")[:1]) for r in kept.collect())
     wanted = [(1, "a"), (2, "b"), (None, "c"), (None, "d"), (3, "e"), (4, "f"), (5, "g"), (6, ""), (6, ""), (None, "")]
     assert left == Counter(wanted) and kept.columns == docs.columns
+
+
+def test_neighbours_of_unread_files(spark):
+    """More pivots than a query probes, and a group of copies."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1500, 8))
+    x[100:180] = x[50]
+    assert len(x) // 8 > neighbours.PROBES
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(vectors).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hits = 0
+    for q in range(0, 1500, 50):
+        score = np.round(unit @ unit[q], 9)
+        order = [k for k in np.lexsort((np.arange(1500), -score)) if k != q][:5]
+        hits += len(set(order) & set(found[q].values()))
+        if q in (50, 100, 150):
+            assert [found[q][k] for k in range(1, 6)] == order
+    assert len(found) == 30 and hits >= 0.95 * 150, hits
