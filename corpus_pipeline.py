@@ -38,7 +38,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("identify", identify), ("exact", exact), ("near", near), ("mix", mix), ("encode", encode)]
 
-# Languages, signatures, duals and merges are beyond SQL; tests compare by brute force.
+# Languages, signatures, duals and merges are beyond SQL; test_pipeline compares by brute force.
 
 ORACLE_SQL = None
 

@@ -354,3 +354,42 @@ def test_neighbours_of_unread_files(spark):
         if q in (50, 100, 150):
             assert [found[q][k] for k in range(1, 6)] == order
     assert len(found) == 30 and hits >= 0.95 * 150, hits
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage over what its predecessor kept, and the whole, by brute force."""
+    rng = np.random.default_rng(8)
+    say = lambda words, n: " ".join(rng.choice(words.split(), n))
+    english, french = "the of and to river stone walked under", "le de été où forêt marché être sous"
+    rows = [(k, say(english if k < 40 else french, 60), "en" if k < 40 else "fr", "ab"[k % 2]) for k in range(80)]
+    rejects = [(100, None), (101, ""), (102, " \t"), (103, "!!! 123"), (104, "漢字 漢字 漢字")]
+    copies = [(200 + k, rows[k][1], *rows[k][2:]) for k in range(5)]
+    edits = [(300 + k, rows[k][1] + " " + " ".join(f"end{j}" for j in range(1 + 10 * (k % 2))), *rows[k][2:]) for k in range(50, 56)]
+    table = rows + [(i, t, None, "a") for i, t in rejects] + copies + edits
+    schema = "doc_id long, text string, lang string, source string"
+    spark.createDataFrame(table, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["identify", "exact", "near", "mix", "encode"]
+
+    def stage(name, docs):
+        return spark.createDataFrame(stages[name](spark, docs, str(tmp_path)).collect(), schema)
+
+    ids = lambda docs: {r.doc_id for r in docs.collect()}
+    one = stage("identify", spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert ids(one) == {r[0] for r in table} - {r[0] for r in rejects}
+    two = stage("exact", one)  # the largest doc_id stays
+    assert ids(two) == ids(one) - set(range(5)) and two.count() == len(ids(two))
+    three = stage("near", two)
+    kept = sorted((r.doc_id, r.text) for r in two.collect())
+    gone, sets = set(), {i: _shingles(t) for i, t in kept}
+    for a, _ in kept:
+        gone |= {b for b in sets if b > a and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])}
+    assert gone == {300 + k for k in range(50, 56)} and ids(three) == ids(two) - gone
+    taken = Counter({r.doc_id: r.copies for r in mixing.mix(three).collect()})
+    four = stage("mix", three)
+    assert Counter(r.doc_id for r in four.collect()) == +taken and all(n <= 3 for n in taken.values())
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = {r[0]: r[1] for r in table}
+    said = {i: " ".join(map(str, library.encode(texts[i], add_special_tokens=False).ids)) for i in taken}
+    wanted = Counter((i, hashlib.sha256(said[i].encode()).hexdigest()) for i in taken.elements())
+    assert Counter((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == wanted
