@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from narrowmat.llm import bpe, exact_dedup, language, licenses, lm, mixing, near_dedup, neighbours, rans, warc
+from narrowmat.llm import (
+    bpe, decontamination, exact_dedup, filter_audit, importance, language, licenses, lm, mixing, near_dedup, neighbours, rans, warc,
+)
 from narrowmat.llm.common import table
 
 QUERIES = {}
@@ -66,3 +68,19 @@ def op8_licenses(spark, sf_dir):
 @query
 def op10_lm_score(spark, sf_dir):
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_decontamination(spark, sf_dir):
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_importance(spark, sf_dir):
+    rows = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
