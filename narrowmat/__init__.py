@@ -9,9 +9,11 @@ from pyspark import cloudpickle as _cloudpickle
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from narrowmat.functions.kernels import ColumnSum, GramSum, Kernel, QRBlocks
+from narrowmat.operators.basis import column_basis
 from narrowmat.operators.check import (
     check_triu_ones, compare_factors, normalize_signs, relative_difference,
 )
+from narrowmat.operators.direct import DirectQR, direct_qr
 from narrowmat.operators.factor import (
     cholesky_qr, collect_factor, factor_frame, gram, tsqr,
 )

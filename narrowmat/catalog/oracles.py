@@ -257,6 +257,18 @@ def oracles() -> dict[str, str]:
             SELECT CASE WHEN sum(l_quantity * l_quantity) * sum(l_tax * l_tax)
                         > sum(l_quantity * l_tax) * sum(l_quantity * l_tax) * (1 + 1e-9)
                    THEN 2 ELSE 1 END AS rank FROM lineitem""",
+        "dependent_columns": f"""
+            WITH own AS (SELECT unnest([0, 1, 4]) AS j)
+            SELECT j, j AS k, 1.0::double AS coefficient FROM own WHERE (SELECT max(abs(l_tax)) FROM lineitem) > 0
+            UNION ALL SELECT 2, j, x FROM ({solve_sql(["l_quantity", "l_tax", "3 * l_quantity - 2 * l_tax"], "lineitem", 8)})
+            UNION ALL SELECT 5, [0, 4][j + 1], x FROM ({solve_sql(["l_quantity", "l_extendedprice / 1000", "l_extendedprice / 500 + l_quantity"], "lineitem", 8)})""",
+        "svd_left_gram": """
+            SELECT i::integer AS i, j::integer AS j, CASE WHEN i = j AND i < r THEN 1.0 ELSE 0.0 END::double AS value
+            FROM range(0, 3) a(i), range(0, 3) b(j),
+                 (SELECT 1 + (count(DISTINCT l_tax / l_quantity) > 1)::integer AS r FROM lineitem)""",
+        "direct_qr_gram": """
+            SELECT i::integer AS i, j::integer AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::double AS value
+            FROM range(0, 3) a(i), range(0, 3) b(j) WHERE (SELECT count(*) FROM lineitem) >= 3""",
         "svd_left_leverage": LEVERAGE,
         "svd_left_refined": LEVERAGE,
         "svd_reconstruct": rows_sql("embeddings", "vec_id", "embedding", 64, 5),

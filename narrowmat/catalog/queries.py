@@ -281,7 +281,38 @@ def numerical_rank(spark, folder):
         table(spark, folder, "lineitem"),
         cols=["l_quantity", "l_tax", F.col("l_quantity") * 2, F.lit(0.0)],
     )
-    return spark.createDataFrame([(nm.svd(m, rcond=1e-12).rank,)], "rank int")
+    return spark.createDataFrame([(nm.svd(m).rank,)], "rank int")
+
+
+@query
+def dependent_columns(spark, folder):
+    """Every column as a sum of those that do not depend on others."""
+    cols = ["l_quantity", "l_tax", 3 * F.col("l_quantity") - 2 * F.col("l_tax"), F.lit(0.0)]
+    cols += [F.col("l_extendedprice") / 1000, F.col("l_extendedprice") / 500 + F.col("l_quantity")]
+    found = nm.column_basis(nm.as_matrix(table(spark, folder, "lineitem"), cols=cols))
+    own = found.columns.filter("independent").select("j", F.col("j").alias("k"), F.lit(1.0).alias("coefficient"))
+    # Basis columns that take no part have coefficients down to rounding.
+    sums = own.unionAll(found.relations).select("j", "k", rounded("coefficient", 8).alias("coefficient"))
+    return sums.filter("coefficient <> 0")
+
+
+def _own_products(m: DataFrame) -> DataFrame:
+    return long_form(nm.gram(m), 11)
+
+
+@query
+def svd_left_gram(spark, folder):
+    """U'U where one column is a multiple of another."""
+    cols = ["l_quantity", "l_tax", F.col("l_quantity") * 3]
+    return _own_products(nm.svd_left(nm.as_matrix(table(spark, folder, "lineitem"), cols=cols)))
+
+
+@query
+def direct_qr_gram(spark, folder):
+    """Q'Q where two columns differ in their last two digits only."""
+    cols = ["l_quantity", F.col("l_quantity") + F.col("l_tax") * 1e-12, "l_discount"]
+    q, _ = nm.direct_qr(nm.as_matrix(table(spark, folder, "lineitem"), cols=cols, key="l_orderkey"))
+    return _own_products(q)
 
 
 def _leverage(u: DataFrame) -> DataFrame:

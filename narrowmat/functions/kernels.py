@@ -210,6 +210,17 @@ def centred_block(block: np.ndarray) -> np.ndarray:
     return block - block.mean(axis=1, keepdims=True)
 
 
-def rank_tolerance(s: np.ndarray, shape: tuple[int, int]) -> float:
+def rounding_level(columns: int, rows: float) -> float:
+    """Relative size of what rounding leaves where a factor should be zero.
+
+    ``rows`` are all rows that went through any stage of the reduction. Every one of
+    them turns each column once, and the roundings of independent turns add up like
+    a random walk, so the level grows with the root of both. It does not depend on how
+    the rows were split, but for the few partial rows of later stages.
+    """
+    return np.finfo(float).eps * max(columns, np.sqrt(float(columns) * max(rows, 1)))
+
+
+def rank_tolerance(s: np.ndarray, columns: int, rows: float) -> float:
     """Singular values up to this size count as zero."""
-    return max(shape) * np.finfo(float).eps * (s.max() if len(s) else 0.0)
+    return rounding_level(columns, rows) * (s.max() if len(s) else 0.0)

@@ -89,10 +89,11 @@ def tsqr(
     and returns ``(factor, stats)`` with tasks, rows, compressions and kernel
     milliseconds of each stage.
     """
+    if stats:
+        return reduced_tsqr(m, blocksize, block_rows, schedule, features).frames(m.sparkSession)
     _check_blocks(blocksize, block_rows)
     make = partial(QRBlocks, blocksize, block_rows)
-    out = block_reduce(m, make, schedule, features, counters=stats)
-    return _counted(out) if stats else _with_width_of(m, features, out)
+    return _with_width_of(m, features, block_reduce(m, make, schedule, features))
 
 
 def _with_width_of(m, features, factor):
@@ -100,23 +101,50 @@ def _with_width_of(m, features, factor):
     return factor.select("i", marked(F.col("row"), n))
 
 
-def _counted(out: DataFrame) -> Counted:
-    spark = out.sparkSession
+class Reduced(NamedTuple):
+    """A factor on the driver with the counters of the job that made it:
+    ``(stage, tasks, rows, compressions, milliseconds)``."""
+
+    r: np.ndarray
+    counts: list[tuple]
+
+    @property
+    def rows(self) -> int:
+        """Rows that went through any stage, matrix rows and partial ones."""
+        return sum(rows for _, _, rows, _, _ in self.counts)
+
+    def frames(self, spark: SparkSession) -> Counted:
+        return Counted(factor_frame(spark, self.r), self.stats(spark))
+
+    def stats(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(
+            self.counts, "stage int, tasks long, rows long, compressions long, millis double"
+        )
+
+
+def _reduced(out: DataFrame) -> Reduced:
     table = out.toArrow()
     counters = table.filter(pc.less(table["i"], 0)).to_pylist()
     counts = [
         (-1 - c["i"], *(int(x) for x in c["row"][:3]), c["row"][3] * 1000.0)
         for c in sorted(counters, key=lambda c: -c["i"])
     ]
-    return Counted(
-        spark.createDataFrame(
-            table.filter(pc.greater_equal(table["i"], 0)).sort_by("i"),
-            "i int, row array<double>",
-        ),
-        spark.createDataFrame(
-            counts, "stage int, tasks long, rows long, compressions long, millis double"
-        ),
-    )
+    factor = table.filter(pc.greater_equal(table["i"], 0)).sort_by("i").combine_chunks()
+    if not factor.num_rows:
+        raise ValueError("the matrix has no rows")
+    return Reduced(row_block(factor.column("row").chunk(0)), counts)
+
+
+def reduced_tsqr(
+    m: DataFrame, blocksize=None, block_rows=None, schedule=None, features: Features | None = None
+) -> Reduced:
+    """R on the driver with the counters of its reduction. Runs a job; see ``tsqr``."""
+    _check_blocks(blocksize, block_rows)
+    n = None if features else known_width(m)
+    if n:
+        check_driver_bytes(m.sparkSession, 8 * n * n, f"a factor of {n} columns")
+    make = partial(QRBlocks, blocksize, block_rows)
+    return _reduced(block_reduce(m, make, schedule, features, counters=True))
 
 
 def _sql_gram(m: DataFrame, n: int) -> DataFrame:
@@ -146,7 +174,7 @@ def gram(
     ``stats``, in numpy blocks combined over the schedule.
     """
     if stats:
-        return _counted(block_reduce(m, GramSum, schedule, features, counters=True))
+        return _reduced(block_reduce(m, GramSum, schedule, features, counters=True)).frames(m.sparkSession)
     if schedule is None and features is None:
         n = known_width(m)
         if n and n <= SQL_GRAM_COLUMNS:

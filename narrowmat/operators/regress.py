@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.functions.kernels import rank_tolerance
-from narrowmat.operators.factor import collect_factor, factor_frame, parts_of, tsqr
+from narrowmat.operators.factor import factor_frame, reduced_tsqr
 
 
 @dataclass
@@ -34,25 +34,25 @@ class LeastSquares:
         }
 
 
-def solve_augmented(r: np.ndarray):
-    """Coefficients, right hand side and residual from the R of ``[A | b]``."""
+def solve_augmented(r: np.ndarray, rows: float = 1):
+    """Coefficients, right hand side and residual from the R of ``[A | b]`` that
+    ``rows`` rows were reduced to."""
     n = r.shape[1] - 1
     if n < 1:
         raise ValueError("no column beside the right hand side")
     if r.shape[0] < n:
         raise ValueError(f"R is not square: {r.shape[0]} rows, {n} columns")
     square, y = r[:n, :n], r[:n, n]
-    # Columns of any scale are fine; dependent ones are not. R carries rounding
-    # of every stage, hence more room than for a single factorisation.
+    # Columns of any scale are fine; dependent ones are not.
     norms = np.linalg.norm(square, axis=0)
     s = np.linalg.svd(square / np.where(norms > 0, norms, 1.0), compute_uv=False)
-    if (s <= 100 * rank_tolerance(s, square.shape)).any():
+    if (s <= rank_tolerance(s, n, max(rows, (100 * n) ** 2))).any():
         raise ValueError("R is singular: the columns depend on each other")
     residual = float(abs(r[n, n])) if r.shape[0] > n else 0.0
     return np.linalg.solve(square, y), square, y, residual
 
 
-def least_squares(labelled: DataFrame, features=None, **options) -> LeastSquares:
+def least_squares(labelled: DataFrame, features=None, stats: bool = False, **options) -> LeastSquares:
     """Minimise ``|A x - b|`` over labelled rows (``rhs``, ``row``). Runs a job.
 
     The last column of the R of ``[A | b]`` is what the orthogonal factor makes
@@ -64,8 +64,8 @@ def least_squares(labelled: DataFrame, features=None, **options) -> LeastSquares
             "rhs", F.raise_error(F.lit("null right hand side")).cast("double")
         )
         labelled = labelled.select(F.concat("row", F.array(label)).alias("row"))
-    factor, stats = parts_of(tsqr(labelled, features=features, **options))
-    x, r, y, residual = solve_augmented(collect_factor(factor))
+    found = reduced_tsqr(labelled, features=features, **options)
+    x, r, y, residual = solve_augmented(found.r, found.rows)
     places = pa.array(range(len(x)), pa.int32())
     return LeastSquares(
         x=spark.createDataFrame(pa.table({"j": places, "x": x}), "j int, x double"),
@@ -74,5 +74,5 @@ def least_squares(labelled: DataFrame, features=None, **options) -> LeastSquares
         residual=residual,
         solution=x,
         target=y,
-        stats=stats,
+        stats=found.stats(spark) if stats else None,
     )

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from narrowmat.functions.kernels import chunks, rank_tolerance, row_block, row_column
+from narrowmat.operators.direct import DirectQR
 from narrowmat.operators.factor import (
-    check_driver_bytes, collect_factor, factor_frame, parts_of, tsqr,
+    check_driver_bytes, collect_factor, factor_frame, parts_of, reduced_tsqr, tsqr,
 )
 from narrowmat.sources.tables import known_width
 
@@ -41,24 +42,25 @@ class SVD:
         }
 
 
-def right_factor(r: np.ndarray, rcond: float | None = None):
-    """``s``, signed ``v`` and the rank of R."""
+def right_factor(r: np.ndarray, rows: float, rcond: float | None = None):
+    """``s``, signed ``v`` and the rank of an R that ``rows`` rows were reduced to."""
     _, s, vt = np.linalg.svd(r, full_matrices=False)
     v = vt.T * np.where(vt[:, 0] < 0, -1.0, 1.0)
-    tolerance = rank_tolerance(s, r.shape) if rcond is None else rcond * s[0]
+    tolerance = rank_tolerance(s, r.shape[1], rows) if rcond is None else rcond * s[0]
     return s, v, int((s > tolerance).sum())
 
 
-def svd(m: DataFrame, rcond: float | None = None, **options) -> SVD:
+def svd(m: DataFrame, rcond: float | None = None, stats: bool = False, **options) -> SVD:
     """Singular values and right singular vectors. Runs a job.
 
     A matrix shares both with its R. Values up to ``rcond`` times the largest
-    (by default the rounding level of R) count as zero in ``rank``.
+    count as zero in ``rank``; by default that is the rounding level of R, which the
+    rows that went through the reduction determine, not how they were split.
     """
     spark = m.sparkSession
-    factor, stats = parts_of(tsqr(m, **options))
-    r = collect_factor(factor)
-    s, v, rank = right_factor(r, rcond)
+    found = reduced_tsqr(m, **options)
+    r = found.r
+    s, v, rank = right_factor(r, found.rows, rcond)
     kinds = "k int, s double"
     values = pa.table({"k": pa.array(range(len(s)), pa.int32()), "s": s})
     n, count = v.shape
@@ -76,7 +78,7 @@ def svd(m: DataFrame, rcond: float | None = None, **options) -> SVD:
         rank=rank,
         s=s,
         v=v,
-        stats=stats,
+        stats=found.stats(spark) if stats else None,
     )
 
 
@@ -141,21 +143,37 @@ def left_map(found: SVD) -> np.ndarray:
     return found.v * inverse
 
 
+# Projecting loses about as many digits of orthogonality as the condition number has.
+DIRECT_CONDITION = 1e5
+
+
 def svd_left(
     m: DataFrame,
     refine: bool = False,
     found: SVD | None = None,
     rcond: float | None = None,
+    method: str | None = None,
     **options,
 ) -> DataFrame:
     """Left singular vectors, one row per row of ``m`` with the same ``key``.
 
-    Runs a job for R (unless ``found`` brings an SVD along); the projection of
-    the rows is lazy. Components beyond the rank are zero. U loses
-    orthogonality with the condition of the matrix; ``refine=True`` factors U
-    once more and corrects it, for one more pass.
+    ``method="project"`` multiplies the rows by ``V S⁺``: a job for R (unless
+    ``found`` brings an SVD along), then lazy. U loses as many digits of
+    orthogonality as the condition number has; ``refine=True`` factors U once more
+    and corrects it, for one more pass. ``method="direct"`` keeps the orthogonal
+    factors of the blocks and multiplies these (``DirectQR``, which writes them to
+    ``spark.checkpoint.dir``): orthogonal to rounding at any condition, from one
+    factorisation. By default the condition decides, once R is known.
+    Components beyond the rank are zero.
     """
+    if method not in (None, "project", "direct"):
+        raise ValueError("method must be 'project' or 'direct'")
+    if method == "direct":
+        return _direct_left(m, rcond)
     found = found or svd(m, rcond, **options)
+    if method is None and not refine and found.rank and "features" not in options:
+        if found.s[0] > DIRECT_CONDITION * found.s[found.rank - 1]:
+            return _direct_left(m, rcond, found.rank)
     first = left_map(found)
     if not refine or not found.rank:
         return project(m, first)
@@ -174,6 +192,18 @@ def svd_left(
     return project(m, [first, second])
 
 
+def _direct_left(m: DataFrame, rcond: float | None, rank: int | None = None) -> DataFrame:
+    tree = DirectQR(m)
+    # A = Q R and R = (turn) S Vᵀ, hence U = Q (turn), signed as V is.
+    turn, s, vt = np.linalg.svd(tree.r, full_matrices=False)
+    turn = turn * np.where(vt[:, 0] < 0, -1.0, 1.0)
+    if rank is None:
+        tolerance = rank_tolerance(s, tree.r.shape[1], tree.total) if rcond is None else rcond * s[0]
+        rank = int((s > tolerance).sum())
+    turn[:, rank:] = 0.0
+    return tree.times(turn)
+
+
 def variance_share(S: DataFrame, power: int = 1) -> DataFrame:
     """Running share of the singular values (of their ``power``) in the total.
 

@@ -19,6 +19,7 @@ spark = (
     .config("spark.driver.bindAddress", "127.0.0.1")
     .config("spark.ui.enabled", "false")
     .config("spark.sql.shuffle.partitions", "8")
+    .config("spark.checkpoint.dir", "shared")
     .getOrCreate()
 )
 spark.sparkContext.setLogLevel("OFF")
@@ -62,6 +63,9 @@ for schedule in (None, "4,2,1", "s5,3,1"):
 mixed = nm.mix_rows(m, 20, 2, seed=1)
 again = nm.mix_rows(m.mapInArrow(through, m.schema), 20, 2, seed=1).mapInArrow(through, m.schema)
 assert sorted(mixed.collect()) == sorted(again.collect())
+tree = nm.DirectQR(m.mapInArrow(through, m.schema))
+q = {x.key: x.row for x in tree.times(np.eye(5)).mapInArrow(through, m.schema).collect()}
+assert np.allclose(np.array([q[k] for k in range(2000)]) @ tree.r, a)
 print("same results")
 """
 
