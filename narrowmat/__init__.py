@@ -29,7 +29,7 @@ from narrowmat.operators.svd import (
     project, svd, svd_left, top_components, variance_share,
 )
 from narrowmat.plans.reduce import block_reduce
-from narrowmat.sources.fixed import read_fixed
+from narrowmat.sources.fixed import read_fixed, write_fixed
 from narrowmat.sources.tables import (
     as_labelled, as_matrix, default_output, pack_rows, replicate, save,
     validate_matrix, with_first_keys, with_random_keys,

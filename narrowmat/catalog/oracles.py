@@ -389,6 +389,7 @@ def oracles() -> dict[str, str]:
         "saved_factor": r_lineitem,
         "fixed_records": rows_sql("embeddings", "vec_id", "embedding", 64, 9),
         "fixed_records_hadoop": rows_sql("embeddings", "vec_id", "embedding", 64, 9),
+        "fixed_records_pattern": rows_sql("embeddings", "vec_id", "embedding", 64, 9),
         "record_numbers": """
             SELECT count(*) AS nrows, count(*) AS aligned, count(*) AS numbered,
                    count(*) AS decoded, count(DISTINCT vec_id) AS keys FROM embeddings""",
@@ -405,12 +406,6 @@ def oracles() -> dict[str, str]:
         "gray": f"""
             SELECT vec_id AS record, j, round({pixel('j', 8, True)}, 9) + 0.0 AS value
             FROM embeddings, (SELECT j::integer AS j FROM range(0, 64) t(j))""",
-        "image_regression": solve_sql(
-            [pixel(p, 2, False) for p in range(4)]
-            + [" + ".join(f"{byte(str(p), False)}::double" for p in range(4))],
-            "embeddings",
-            5,
-        ),
         "image_regression_rows": list_solve_sql(
             f"SELECT [{GRAY25}, {RED25}] AS e FROM embeddings", 25, 5
         ),

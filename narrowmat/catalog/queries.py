@@ -583,21 +583,20 @@ def saved_factor(spark, folder):
 
 
 def _fixed_file(spark, folder) -> tuple[str, int]:
-    """Embeddings as files of fixed-length records: eight hexadecimal digits of
-    the number, then the packed row in hexadecimal, then a line feed."""
-    path = scratch(spark, "fixed")
+    """Embeddings as binary files of fixed-length records: eight bytes of the number,
+    then the packed row."""
+    path, length = scratch(spark, "fixed"), 8 + 8 * 64
     packed = nm.pack_rows(embeddings(spark, folder))
-    line = F.concat(F.lpad(F.hex("key"), 8, "0"), F.hex("value"))
-    packed.select(line.alias("value")).write.text(path)
-    return path, 8 + 2 * 8 * 64 + 1
+    number = F.unhex(F.lpad(F.hex("key"), 16, "0"))
+    nm.write_fixed(packed.select(F.concat(number, "value").alias("value")), path, length)
+    return path, length
 
 
 def _records(spark, path, length, **options) -> DataFrame:
-    """The ``key`` and ``value`` that were written in hexadecimal."""
+    """The ``key`` and ``value`` that were written."""
     records = nm.read_fixed(spark, path, length, key_start=0, key_end=7, **options)
-    number = F.conv(F.col("key").cast("string"), 16, 10).cast("long")
-    body = F.unhex(cells.byte_range(F.col("value"), 8, length - 2).cast("string"))
-    return records.select(number.alias("key"), body.alias("value"))
+    body = cells.byte_range(F.col("value"), 8, length - 1)
+    return records.select(cells.offset_value(F.col("key")).alias("key"), body.alias("value"))
 
 
 def _fixed_rows(path, length, spark, **options) -> DataFrame:
@@ -613,7 +612,14 @@ def fixed_records(spark, folder):
 @query
 def fixed_records_hadoop(spark, folder):
     path, length = _fixed_file(spark, folder)
-    return _fixed_rows(path, length, spark=spark, split_bytes=50 * length, engine="hadoop")
+    return _fixed_rows(path, length, spark=spark, engine="hadoop")
+
+
+@query
+def fixed_records_pattern(spark, folder):
+    """Files found by a pattern, in ranges of fifty records."""
+    path, length = _fixed_file(spark, folder)
+    return _fixed_rows(f"{path}/part-*.bin", length, spark=spark, split_bytes=50 * length)
 
 
 @query
@@ -643,10 +649,10 @@ def peek(spark, folder):
 def stored_images(spark, folder, side: int) -> DataFrame:
     """Images of at least 64 bytes, written to files of fixed-length records and
     read back."""
-    path, length = scratch(spark, "images"), 8 + 2 * 3 * side * side + 1
+    path, length = scratch(spark, "images"), 8 + 3 * side * side
     images = image_records(spark, folder, side, spread=False)
-    line = F.concat(F.lpad(F.hex("record"), 8, "0"), F.hex("value"))
-    images.select(line.alias("value")).write.text(path)
+    number = F.unhex(F.lpad(F.hex("record"), 16, "0"))
+    nm.write_fixed(images.select(F.concat(number, "value").alias("value")), path, length)
     return _records(spark, path, length).select(F.col("key").alias("record"), "value")
 
 
@@ -660,12 +666,6 @@ def gray(spark, folder):
     return long_rows(nm.to_gray(image_records(spark, folder, 8, spread=True), 8), 9, "record")
 
 
-@query
-def image_regression(spark, folder):
-    fit = nm.image_regression(image_records(spark, folder, 2, spread=False), side=2)
-    return fit.x.select("j", rounded("x", 5).alias("x"))
-
-
 @query
 def image_regression_rows(spark, folder):
     """Images of 5 x 5, so that every entry of a row counts."""

@@ -306,8 +306,8 @@ def test_refused_readers(spark, tmp_path):
         packed.write(b"0" * 20)
     with pytest.raises(ValueError, match="compressed"):
         nm.read_fixed(spark, path, 10)
-    with pytest.raises(PySparkException, match="compressed"):
-        nm.read_fixed(spark, str(tmp_path), 10).collect()
+    with pytest.raises(ValueError, match="compressed"):
+        nm.read_fixed(spark, str(tmp_path), 10)
     with pytest.raises(ValueError, match="compressed"):
         nm.read_fixed(spark, str(tmp_path), 10, engine="hadoop")
     for bad in ((0,), (-1,), (None,), (10, 3), (10, None, 3), (10, 4, 3), (10, 0, 10), (10, -1, 3)):
@@ -319,6 +319,87 @@ def test_refused_readers(spark, tmp_path):
         nm.read_fixed(spark, "x", 10, engine="other")
 
 
+@pytest.mark.parametrize("engine", ["arrow", "hadoop"])
+@pytest.mark.parametrize("pattern", ["", "/*.bin", "/{a,b}*", "/[ab].bin", "/../*/?.bin"])
+def test_patterns_and_plans(spark, tmp_path, engine, pattern):
+    rng = np.random.default_rng(8)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    one, two = records_file(folder / "a.bin", rng, 31, 10), records_file(folder / "b.bin", rng, 5, 10)
+    df = nm.read_fixed(spark, str(folder) + pattern, 10, engine=engine, split_bytes=70)
+    found = sorted((r.record, bytes(r.value)) for r in df.collect())
+    assert found == sorted((k, data[k * 10 : k * 10 + 10]) for data in (one, two) for k in range(len(data) // 10))
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in text and "BatchEvalPython" not in text
+
+
+def test_ranges_cut_large_files_and_join_small_ones():
+    from narrowmat.sources.fixed import plan_ranges
+
+    rng = np.random.default_rng(2)
+    for length, split in ((1, 7), (10, 5), (10, 100), (7, 1000)):
+        files = [(f"f{k}", int(n) * length) for k, n in enumerate(rng.integers(0, 60, 30))]
+        groups = plan_ranges(files, length, split)
+        ranges = [x for group in groups for x in group]
+        for path, size in files:
+            own = sorted((a, b) for p, a, b in ranges if p == path)
+            assert [0, *(b for _, b in own)] == [*(a for a, _ in own), size]
+        sizes = [sum(b - a for _, a, b in group) for group in groups]
+        assert all(0 < s <= max(split, length) and s % length == 0 for s in sizes)
+        assert all(x + y > max(split, length) // length * length // 2 for x, y in zip(sizes, sizes[1:]))
+
+
+def test_an_opener_of_ones_own(spark, tmp_path):
+    class Opened:
+        def __init__(self, path):
+            self.file = open(path.removeprefix("file:"), "rb")
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read_at(self, size, at):
+            self.file.seek(at)
+            return self.file.read(size)
+
+    data = records_file(tmp_path / "a.bin", np.random.default_rng(1), 40, 9)
+    rows = nm.read_fixed(spark, str(tmp_path), 9, split_bytes=50, opener=Opened).orderBy("offset").collect()
+    assert b"".join(bytes(r.value) for r in rows) == data
+
+
+def test_large_files_that_only_hadoop_opens_are_refused(spark, tmp_path, monkeypatch):
+    from narrowmat.sources import fixed
+
+    records_file(tmp_path / "a.bin", np.random.default_rng(1), 40, 9)
+    monkeypatch.setattr(fixed, "WHOLE_BYTES", 100)
+    with pytest.raises(ValueError, match="opener"):
+        nm.read_fixed(spark, str(tmp_path), 9, engine="hadoop")
+    assert nm.read_fixed(spark, str(tmp_path), 9).count() == 40
+
+
+def test_writing_records_of_any_bytes(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    values = [rng.bytes(6) for _ in range(400)] + [b"\n" * 6, b"\r\n\x00\x0a\x0d\xff"]
+    df = spark.createDataFrame([(v,) for v in values], "value binary").repartition(5)
+    path = str(tmp_path / "out")
+    nm.write_fixed(df, path, 6)
+    read = lambda: sorted(bytes(r.value) for r in nm.read_fixed(spark, path, 6).collect())
+    assert read() == sorted(values)
+    nm.write_fixed(df.limit(3), path, 6)
+    assert len(read()) == 405
+    nm.write_fixed(df, path, 6, overwrite=True)
+    assert read() == sorted(values)
+    for bad in ([(b"12345",)], [(None,)]):
+        with pytest.raises(PySparkException, match="6 bytes"):
+            nm.write_fixed(spark.createDataFrame(bad, "value binary"), path, 6)
+    assert read() == sorted(values) and not any("temporary" in f.name for f in (tmp_path / "out").iterdir())
+    nm.write_fixed(df.limit(0), str(tmp_path / "none"), 6)
+    with pytest.raises(ValueError, match="binary"):
+        nm.write_fixed(spark.createDataFrame([("x",)], "value string"), path, 6)
+
+
 def test_empty_record_file(spark, tmp_path):
     (tmp_path / "e.bin").write_bytes(b"")
     assert nm.read_fixed(spark, str(tmp_path / "e.bin"), 10).count() == 0
