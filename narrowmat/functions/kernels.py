@@ -224,3 +224,35 @@ def rounding_level(columns: int, rows: float) -> float:
 def rank_tolerance(s: np.ndarray, columns: int, rows: float) -> float:
     """Singular values up to this size count as zero."""
     return rounding_level(columns, rows) * (s.max() if len(s) else 0.0)
+
+
+def pivoted_columns(r: np.ndarray, level: float):
+    """Columns of R in order, each either taken into an orthonormal basis or, when
+    rounding could have made all that is left of it, put last.
+
+    Returns the columns taken, for the others their coefficients, and the share of
+    every column that was left. What a column may leave is measured by the lengths
+    that cancel in it, so columns of any scale can be told apart.
+    """
+    count, n = r.shape
+    lengths = np.linalg.norm(r, axis=0)
+    q = np.empty((count, min(count, n)))
+    t = np.zeros((min(count, n), min(count, n)))
+    taken, others, share = [], {}, np.zeros(n)
+    for j in range(n):
+        p = len(taken)
+        first = q[:, :p].T @ r[:, j]
+        rest = r[:, j] - q[:, :p] @ first
+        again = q[:, :p].T @ rest  # once more, so that q stays orthogonal
+        rest = rest - q[:, :p] @ again
+        left = np.linalg.norm(rest)
+        share[j] = left / lengths[j] if lengths[j] else 0.0
+        sums = np.linalg.solve(t[:p, :p], first + again) if p else np.empty(0)
+        cancelled = lengths[j] + np.abs(sums) @ lengths[taken] if p else lengths[j]
+        if p < q.shape[1] and left > level * cancelled:
+            q[:, p] = rest / left
+            t[:p, p], t[p, p] = first + again, left
+            taken.append(j)
+        else:
+            others[j] = sums
+    return taken, others, share

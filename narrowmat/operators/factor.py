@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from narrowmat.functions import cells
-from narrowmat.functions.kernels import GramSum, QRBlocks, row_block, row_column
-from narrowmat.plans.reduce import Features, block_reduce
+from narrowmat.functions.kernels import (
+    GramSum, QRBlocks, pivoted_columns, positive_diagonal, rounding_level, row_block, row_column,
+)
+from narrowmat.plans.reduce import Features, block_reduce, matrix_rows
 from narrowmat.sources.tables import known_width, marked
 
 # Up to this width all products of two columns are plain SQL sums: one
@@ -202,7 +204,81 @@ def cholesky_of(g: np.ndarray) -> np.ndarray:
     return np.triu(r)
 
 
-def cholesky_qr(m: DataFrame, schedule=None, features: Features | None = None) -> DataFrame:
-    """R by the Cholesky factorisation of the Gram matrix. Runs a job."""
+# Passes after the first that a shifted factorisation may take. Each gains seven
+# digits or so, hence even a condition of 1e16 needs no more than four.
+SHIFTED_PASSES = 6
+
+
+class _Turned:
+    """Features times small matrices, one after the other, inside the first stage."""
+
+    def __init__(self, features: Features, matrices: list[np.ndarray]):
+        self.features, self.matrices = features, matrices
+
+    def __call__(self, batch):
+        block = self.features(batch)
+        for matrix in self.matrices:
+            block = block @ matrix
+        return block
+
+
+def _shifted(g: np.ndarray, level: float) -> np.ndarray:
+    """R of a Gram matrix that rounding may have made indefinite, with the least shift
+    of its diagonal that makes up for it."""
+    shift = 11 * (len(g) + 1) * level * np.trace(g)
+    while True:
+        try:
+            return np.linalg.cholesky(g + shift * np.eye(len(g))).T
+        except np.linalg.LinAlgError:
+            if not np.isfinite(shift) or not shift:
+                raise ValueError("the Gram matrix is not positive definite") from None
+            shift *= 100
+
+
+def cholesky_qr(
+    m: DataFrame, schedule=None, features: Features | None = None, shifted: bool = True
+) -> DataFrame:
+    """R by the Cholesky factorisation of the Gram matrix. Runs a job, and more where
+    one is not enough.
+
+    The Gram matrix squares the condition number, so a pivot of a column that others
+    nearly make up loses twice its digits, and beyond 1e8 all. Then the rows are
+    multiplied by the inverse of the R found, inside the next pass, and their Gram
+    matrix is factored in turn until the rows are orthogonal; where a pivot is
+    lost, the diagonal is shifted first. R is the product of all factors, and as good
+    as that of ``tsqr``. With ``shifted=False`` the first factor is the result, and a
+    lost pivot raises. Columns that depend on others always raise.
+    """
+    spark = m.sparkSession
     g = collect_factor(gram(m, schedule, features))
-    return factor_frame(m.sparkSession, cholesky_of(g))
+    step = None
+    try:
+        step = cholesky_of(g)
+        if not shifted or (np.diagonal(step) ** 2 > np.sqrt(np.finfo(float).eps) * np.diagonal(g)).all():
+            return factor_frame(spark, step)
+    except ValueError:
+        if not shifted or not np.isfinite(g).all() or not np.diagonal(g).all():
+            raise
+    n, plain = len(g), features or matrix_rows
+    source = m if features else m.select("row")
+    inverses, r, rows = [], np.eye(n), 1
+    for _ in range(SHIFTED_PASSES + 1):
+        near = bool(inverses) and np.abs(g - np.eye(n)).max() < 0.5
+        if near:
+            step = cholesky_of(g)
+        elif step is None or inverses:
+            step = _shifted(g, rounding_level(n, rows))
+        r = np.triu(step @ r)
+        if near:
+            break
+        inverses.append(np.linalg.solve(step, np.eye(n)))
+        made = _reduced(block_reduce(source, GramSum, schedule, _Turned(plain, inverses), counters=True))
+        g, rows = made.r, made.rows
+    else:
+        raise ValueError("the columns depend on each other: shifted factors do not converge")
+    taken, others, _ = pivoted_columns(r, rounding_level(n, rows))
+    if others:
+        raise ValueError(
+            f"the Gram matrix is not positive definite: column {min(others)} depends on the columns before it"
+        )
+    return factor_frame(spark, positive_diagonal(r))

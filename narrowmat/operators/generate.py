@@ -15,9 +15,44 @@ PART_BYTES = 1 << 27
 BATCH_BYTES = 1 << 24
 
 
-def random_orthogonal(rng: np.random.Generator, size: int, count: int = 1) -> np.ndarray:
-    """``count`` random orthogonal matrices."""
-    return np.linalg.qr(rng.standard_normal((count, size, size)))[0]
+# Rows that are turned together at once; larger groups take two rounds.
+TURNED_ROWS = 64
+
+
+def turn(rng: np.random.Generator, groups: np.ndarray) -> np.ndarray:
+    """``groups`` (groups x rows x width), each multiplied by a random orthogonal
+    matrix, as a product of reflections applied to the rows themselves: the first
+    draws its direction among all rows, each later one among one row less, and signs
+    are random, which gives every orthogonal matrix the same chance. The work for a
+    row grows with the rows of its group, not with their square."""
+    count, size, width = groups.shape
+    if size <= 2 * width:  # wide rows: one factorisation costs less than many reflections
+        q = np.linalg.qr(rng.standard_normal((count, size, size)))[0]
+        return q * rng.choice([-1.0, 1.0], (count, 1, size)) @ groups
+    out = groups.copy()
+    for k in range(size - 1):
+        normal = rng.standard_normal((count, 1, size - k))
+        # The reflection that takes a random direction to the first axis.
+        length = np.linalg.norm(normal, axis=2)
+        normal[:, :, 0] += np.where(normal[:, :, 0] < 0, -length, length)
+        normal *= np.sqrt(2) / np.linalg.norm(normal, axis=2, keepdims=True)
+        out[:, k:] -= normal.transpose(0, 2, 1) @ (normal @ out[:, k:])
+    return out * rng.choice([-1.0, 1.0], (count, size, 1))
+
+
+def turned_groups(rng: np.random.Generator, groups: np.ndarray) -> np.ndarray:
+    """Every group turned as a whole: up to ``TURNED_ROWS`` rows by any orthogonal
+    matrix, more of them by two rounds of turned parts with a shuffle between, so that
+    every row still gets something of all."""
+    count, size, width = groups.shape
+    if size <= TURNED_ROWS:
+        return turn(rng, groups)
+    parts = -(-size // TURNED_ROWS)
+    edges = np.linspace(0, size, parts + 1).astype(int)
+    for _ in range(2):
+        groups = groups[:, rng.permutation(size)]
+        groups = np.concatenate([turn(rng, groups[:, a:b]) for a, b in zip(edges, edges[1:])], axis=1)
+    return groups
 
 
 def _generate(n, maprows, scale, seed, batches):
@@ -98,12 +133,12 @@ def _mix(maxlocal, seed, stage, batches):
         nonlocal keys, rows, held
         key, block = pa.concat_arrays(keys), np.concatenate(rows)
         width = block.shape[1]
-        step = max(1, BATCH_BYTES // (8 * size * max(size, width)))
+        step = max(1, BATCH_BYTES // (8 * size * width))
         for first in range(0, whole, step):
             count = min(step, whole - first)
             start, end = first * size, (first + count) * size
             groups = block[start:end].reshape(count, size, width)
-            made = (random_orthogonal(rng, size, count) @ groups).reshape(-1, width)
+            made = turned_groups(rng, groups).reshape(-1, width)
             yield pa.RecordBatch.from_arrays(
                 [key.slice(start, end - start), row_column(made)], names=["key", "row"]
             )

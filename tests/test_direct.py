@@ -9,7 +9,7 @@ import narrowmat as nm
 from helpers import factor, matrix, r_of, rows_of
 from narrowmat.catalog import queries as q
 from narrowmat.operators import direct
-from narrowmat.operators.basis import pivoted_columns
+from narrowmat.functions.kernels import pivoted_columns
 
 
 def conditioned(rows, n, condition, seed=0):
@@ -120,3 +120,34 @@ def test_no_row_is_shuffled_while_the_pieces_are_small(spark, sf):
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     assert "Exchange hashpartitioning(block" not in text
+
+
+@pytest.mark.parametrize("condition", [1e3, 1e8, 1e10, 1e12])
+def test_cholesky_qr_at_high_conditions(spark, condition):
+    a = conditioned(4000, 6, condition, seed=1)
+    m = matrix(spark, a, 6)
+    r, found = factor(nm.tsqr(m)), factor(nm.cholesky_qr(m))
+    assert abs(found - r).max() < 1e-10 and (np.diagonal(found) > 0).all()
+    # Its rows are as orthogonal as those of the orthogonal factor itself.
+    scale = np.linalg.norm(r, axis=0)
+    assert np.allclose(found / scale, r / scale, atol=1e-10)
+    if condition > 1e8:
+        with pytest.raises(ValueError, match="positive definite"):
+            nm.cholesky_qr(m, shifted=False)
+    centred = factor(nm.cholesky_qr(m, features=lambda batch: np.array(batch["row"].to_pylist())))
+    assert abs(centred - r).max() < 1e-10
+
+
+def test_cholesky_qr_of_dependent_columns_raises(spark, sf):
+    rng = np.random.default_rng(3)
+    a = rng.standard_normal((3000, 5))
+    a[:, 3] = a[:, 1] - 0.5 * a[:, 0]
+    with pytest.raises(ValueError, match="column 3"):
+        nm.cholesky_qr(matrix(spark, a, 5))
+    a[:, 3] = 0
+    with pytest.raises(ValueError, match="positive definite"):
+        nm.cholesky_qr(matrix(spark, a, 5))
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    cols = ["l_quantity", "l_tax", F.col("l_quantity") * 3 + F.col("l_tax")]
+    with pytest.raises(ValueError, match="column 2"):
+        nm.cholesky_qr(nm.as_matrix(rows, cols=cols))

@@ -4,7 +4,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import narrowmat as nm
-from helpers import TINY, factor, matrix, rows_of
+from helpers import r_of, TINY, factor, matrix, rows_of
 
 
 @pytest.mark.parametrize(
@@ -62,6 +62,27 @@ def test_mixing_with_one_hot_key_and_copies(spark):
     assert mixed.filter("key = 0").count() == 2000
 
 
+def test_turning_is_orthogonal_and_reaches_every_row():
+    from narrowmat.operators.generate import turned_groups
+
+    for size in (1, 2, 5, 63, 64, 65, 200):
+        q = turned_groups(np.random.default_rng(size), np.broadcast_to(np.eye(size), (3, size, size)))
+        assert np.allclose(q @ q.transpose(0, 2, 1), np.eye(size), atol=1e-12)
+        assert (abs(q) > 1e-9).mean() > 0.99
+    # Every orthogonal matrix has the same chance: any entry has a mean square of 1/size.
+    for width in (2, 6):
+        some = np.broadcast_to(np.eye(6)[:, :width], (4000, 6, width))
+        q = turned_groups(np.random.default_rng(0), some)
+        assert np.allclose((q**2).mean(axis=0), 1 / 6, atol=0.02) and abs(q.mean(axis=0)).max() < 0.04
+
+
+@pytest.mark.parametrize("maxlocal", [1, 64, 65, 150])
+def test_mixing_in_groups_of_any_size_keeps_r(spark, maxlocal):
+    a = np.random.default_rng(7).standard_normal((700, 5))
+    mixed = nm.mix_rows(matrix(spark, a, 3), maxlocal, 2, seed=4)
+    assert np.allclose(factor(nm.tsqr(mixed)), r_of(a), atol=1e-11)
+
+
 def test_mixing_needs_keys(spark):
     with pytest.raises(ValueError, match="key"):
         nm.mix_rows(matrix(spark, TINY).select("row"))
