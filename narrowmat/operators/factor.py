@@ -14,6 +14,7 @@ from narrowmat.functions import cells
 from narrowmat.functions.kernels import (
     GramSum, QRBlocks, pivoted_columns, positive_diagonal, rounding_level, row_block, row_column,
 )
+from narrowmat.operators.tiles import tiled_gram
 from narrowmat.plans.reduce import Features, block_reduce, matrix_rows
 from narrowmat.sources.tables import known_width, marked
 
@@ -21,6 +22,9 @@ from narrowmat.sources.tables import known_width, marked
 # generated aggregate without Python. Wider, numpy blocks are faster.
 SQL_GRAM_COLUMNS = 8
 
+# From this width on no task holds a whole Gram matrix (64 MiB).
+TILED_GRAM_COLUMNS = 2897
+
 
 class Counted(NamedTuple):
     """A factor with the counters of the job that made it."""
@@ -173,7 +177,7 @@ def gram(
 
     Narrow matrices are summed by SQL aggregates; wider ones, those whose width
     the schema does not tell, and any with a ``schedule``, ``features`` or
-    ``stats``, in numpy blocks combined over the schedule.
+    ``stats``, in numpy blocks combined over the schedule; very wide ones in tiles.
     """
     if stats:
         return _reduced(block_reduce(m, GramSum, schedule, features, counters=True)).frames(m.sparkSession)
@@ -181,6 +185,8 @@ def gram(
         n = known_width(m)
         if n and n <= SQL_GRAM_COLUMNS:
             return _sql_gram(m, n)
+        if n and n >= TILED_GRAM_COLUMNS:
+            return _with_width_of(m, None, tiled_gram(m, n))
     return _with_width_of(m, features, block_reduce(m, GramSum, schedule, features))
 
 

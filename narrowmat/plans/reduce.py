@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.functions.kernels import Kernel, chunks, row_block, row_column
 from narrowmat.plans.schedule import AdaptiveMerge, Merge, Spread, parse_schedule
+from narrowmat.sources.tables import known_width
+from narrowmat.sources.text import split_bytes_for
 
 PARTIAL = "src int, i int, row array<double>"
 
@@ -95,6 +97,18 @@ def _merge(make: Callable[[], Kernel], stage: int, counters: bool):
     return run
 
 
+def merged_splits(m: DataFrame, n: int | None) -> DataFrame:
+    """``m`` in fewer and larger partitions, if it has so many columns that what tasks
+    hand on would be a fair share of what they read. Splits are merged without a shuffle,
+    down to one for each core at least; narrow matrices stay as they are."""
+    spark = m.sparkSession
+    if not n or split_bytes_for(n) <= split_bytes_for(1):
+        return m
+    size = int(str(m._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    parts = max(-(-size // split_bytes_for(n)), spark.sparkContext.defaultParallelism)
+    return m.coalesce(parts) if parts < 1 << 31 else m
+
+
 def _exchange(partial: DataFrame, stage: Spread | Merge | AdaptiveMerge) -> DataFrame:
     src = F.col("src")
     if isinstance(stage, AdaptiveMerge):
@@ -125,6 +139,7 @@ def block_reduce(
     plan = parse_schedule(schedule, partitions)
     if features is None:
         m, features = m.select("row"), matrix_rows
+        m = m if plan.spread else merged_splits(m, known_width(m))
     for spread in plan.spread:
         m = m.repartition(spread.parts)
     out = m.mapInArrow(_partial(kernel, features, counters), PARTIAL)
