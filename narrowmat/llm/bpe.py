@@ -9,12 +9,13 @@ that are not in it are merged exactly, by the ranks of the tokenizer.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,6 +25,7 @@ from narrowmat.llm.pretokens import Cutter, byte_letters, classes, kept, lowered
 LEXICON_WORDS = 1 << 16
 CACHE_WORDS = 1 << 17
 END = "</w>"
+SHORT_WORD = 48  # symbols; longer words go by a heap
 BATCH_CHARS = 1 << 21
 
 
@@ -47,17 +49,44 @@ class Merger:
     def ids(self, word: str) -> list[int]:
         symbols = [self.letters[b] for b in word.encode()]
         symbols[-1] += END
-        ranks = self.ranks
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                rank = ranks.get((symbols[k], symbols[k + 1]))
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, k
-            if best is None:
-                break
+        merged = self._short(symbols) if len(symbols) <= SHORT_WORD else self._long(symbols)
+        return [self.vocab[s] for s in merged]
+
+    def _short(self, symbols: list[str]) -> list[str]:
+        """The pair of lowest rank, leftmost first, by looking through all ranks."""
+        never, rank = len(self.ranks), self.ranks.get
+        found = [rank(pair, never) for pair in zip(symbols, symbols[1:])]
+        while found and (best := min(found)) < never:
+            at = found.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return [self.vocab[s] for s in symbols]
+            del found[at]
+            if at:
+                found[at - 1] = rank((symbols[at - 1], symbols[at]), never)
+            if at < len(found):
+                found[at] = rank((symbols[at], symbols[at + 1]), never)
+        return symbols
+
+    def _long(self, symbols: list[str]) -> list[str]:
+        """The same by a heap of pairs over linked symbols: a word of n symbols takes
+        n log n steps. Pairs that a merge has changed since are passed over."""
+        rank, n = self.ranks.get, len(symbols)
+        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
+        heap = [(r, k, symbols[k], symbols[k + 1]) for k in range(n - 1) if (r := rank((symbols[k], symbols[k + 1]))) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, k, left, right = heapq.heappop(heap)
+            other = after[k]
+            if symbols[k] != left or other < 0 or symbols[other] != right:
+                continue
+            symbols[k], symbols[other] = left + right, ""
+            after[k] = after[other]
+            if after[k] >= 0:
+                before[after[k]] = k
+            for one in (before[k], k):
+                two = after[one] if one >= 0 else -1
+                if two >= 0 and (r := rank((symbols[one], symbols[two]))) is not None:
+                    heapq.heappush(heap, (r, one, symbols[one], symbols[two]))
+        return [s for s in symbols if s]
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> np.ndarray:
@@ -158,8 +187,8 @@ def _batches_of_texts(batch: pa.RecordBatch):
 
 
 def _words(cutter: Cutter, specials: re.Pattern, texts: list[str]):
-    """Words of the texts, special tokens as tuples of one, and how
-    many words precede each text."""
+    """Words of the texts as numbers, the distinct words, how many words precede
+    each text, and how many of the distinct ones, at the end, are special tokens."""
     pieces, flags, owner = [], [], []
     for k, text in enumerate(texts):
         split = special_split(text, specials) if "<|" in text else [(text, False)]
@@ -168,16 +197,23 @@ def _words(cutter: Cutter, specials: re.Pattern, texts: list[str]):
                 pieces.append("" if special else part)
                 flags.append(piece if special else None)
                 owner.append(k)
-    words, before = cutter.cut(pieces)
-    if any(flags):
-        out = []
-        for k, flag in enumerate(flags):
-            out.append([(flag,)] if flag else words[before[k] : before[k + 1]])
-        count = np.array([len(x) for x in out])
-        words = [w for x in out for w in x]
-        before = np.concatenate([[0], np.cumsum(count)])
+    words, distinct, before = cutter.encoded(pieces)
+    found = sorted({flag for flag in flags if flag})
+    if found:
+        # A special token is one word where its empty piece stands.
+        at = [k for k, flag in enumerate(flags) if flag]
+        words = np.insert(words, before[at], [len(distinct) + found.index(flags[k]) for k in at])
+        before = before + np.searchsorted(at, np.arange(len(before)))
+        distinct = pa.concat_arrays([distinct, pa.array(found, distinct.type)])
     at = np.searchsorted(np.array(owner), np.arange(len(texts) + 1))
-    return words, before[at]
+    return words, distinct, before[at], len(found)
+
+
+def _joined(of_word: list[str], number: np.ndarray, before: np.ndarray) -> pa.Array:
+    """What each text's words stand for, with blanks between."""
+    pieces = pa.array(of_word, pa.large_string()).take(pa.array(number))
+    lists = pa.ListArray.from_arrays(pa.array(before, pa.int32()), pieces)
+    return pc.binary_join(lists, pa.scalar(" ", pieces.type))
 
 
 def frequent_words(docs: DataFrame, kinds, specials: str, limit: int = LEXICON_WORDS) -> list[str]:
@@ -187,8 +223,10 @@ def frequent_words(docs: DataFrame, kinds, specials: str, limit: int = LEXICON_W
         cutter, pattern = Cutter(kinds.value, False), re.compile(specials)
         for batch in batches:
             for _, texts in _batches_of_texts(batch):
-                found = Counter(w for w in _words(cutter, pattern, texts)[0] if isinstance(w, str))
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+                words, distinct, _, special = _words(cutter, pattern, texts)
+                n = np.bincount(words, minlength=len(distinct))[: len(distinct) - special]
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([distinct.take(pa.array(seen)).cast(pa.string()), pa.array(n[seen].astype(np.int64))], names=["word", "n"])
 
     counted = only(docs, "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return [r.word for r in most_frequent(written(counted, "words"), "n", limit).select("word").collect()]
@@ -228,33 +266,30 @@ def encode(docs: DataFrame, path: str, words: int = LEXICON_WORDS, texts: bool =
         )
 
         def learn(fresh):
-            plain = [w for w in fresh if isinstance(w, str)]
-            for w, ids in zip(plain, lexicon.find([w.encode() for w in plain])):
+            for w, ids in zip(fresh, lexicon.find([w.encode() for w in fresh])):
                 ids = merger.ids(w) if ids is None else ids
-                cache[w] = (len(ids), " ".join(map(str, ids)), " ".join(merger.token[i] for i in ids))
-            for w in fresh:
-                if not isinstance(w, str):
-                    cache[w] = (1, str(merger.specials[w[0]]), w[0])
+                cache[w] = (len(ids), " ".join(map(str, ids)), " ".join([merger.token[i] for i in ids]))
 
         for batch in batches:
             ids_column = batch.column("doc_id")
             for first, held in _batches_of_texts(batch):
-                found, before = _words(cutter, pattern, held)
+                found, distinct, before, special = _words(cutter, pattern, held)
+                used = np.zeros(len(distinct), dtype=bool)
+                used[found] = True
+                place = np.cumsum(used) - 1  # among the distinct words in use
+                known = distinct.filter(pa.array(used)).to_pylist()
+                plain = known[: len(known) - int(used[len(distinct) - special :].sum())]
                 if len(cache) > CACHE_WORDS:
                     cache.clear()
-                learn({w for w in found if w not in cache})
-                got = list(map(cache.__getitem__, found))
-                n, hashed, back, plain = [], [], [], ([], [])
-                for a, b in zip(before[:-1].tolist(), before[1:].tolist()):
-                    own = got[a:b]
-                    one, two = " ".join([x[1] for x in own]), " ".join([x[2] for x in own])
-                    n.append(sum([x[0] for x in own]))
-                    hashed.append(hashlib.sha256(one.encode()).hexdigest())
-                    back.append(hashlib.sha256(two.encode()).hexdigest())
-                    if texts:
-                        plain[0].append(one)
-                        plain[1].append(two)
-                columns = [ids_column.slice(first, len(held)), pa.array(n, pa.int64()), pa.array(hashed), pa.array(back), *[pa.array(x, pa.string()) for x in plain * texts]]
+                learn([w for w in plain if w not in cache])
+                got = [cache[w] for w in plain] + [(1, str(merger.specials[w]), w) for w in known[len(plain) :]]
+                number = place[found]
+                size = np.array([x[0] for x in got], dtype=np.int64)
+                total = np.concatenate([[0], np.cumsum(size[number])])
+                columns = [ids_column.slice(first, len(held)), pa.array(np.diff(total[before]))]
+                lines = [_joined([x[k] for x in got], number, before) for k in (1, 2)]
+                columns += [pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in line], pa.string()) for line in lines]
+                columns += [line.cast(pa.string()) for line in lines * texts]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * texts

@@ -12,6 +12,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 
 SPACE, LETTER, NUMBER, OTHER, EDGE = range(5)
 PART_CHARS = 1 << 20
@@ -63,6 +64,31 @@ class Cutter:
 
     def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """All pieces of all texts in order, and how many precede each text."""
+        big, _, first, last, keep, ends = self._edges(texts)
+        first, last = first[keep], last[keep]
+        before = np.searchsorted(first, np.concatenate([[0], ends + 1]))
+        return [big[a:b] for a, b in zip(first.tolist(), last.tolist())], before
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The same as numbers of distinct pieces: the number of each piece, the distinct
+        pieces (some of them perhaps unused), and how many pieces precede each text. The
+        pieces are views of the texts' bytes until Arrow has told them apart."""
+        big, points, first, last, keep, ends = self._edges(texts)
+        data = big.encode()
+        if len(data) == len(points):
+            place = first
+        else:
+            width = 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+            place = (np.cumsum(width) - width)[first]
+        offsets = np.append(place, len(data)).astype(np.int64)
+        pieces = pa.LargeStringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data))
+        coded = pieces.dictionary_encode()
+        before = np.searchsorted(first[keep], np.concatenate([[0], ends + 1]))
+        return coded.indices.to_numpy()[keep], coded.dictionary, before
+
+    def _edges(self, texts: list[str]):
+        """The texts as one, its code points, where pieces begin and end, which of
+        them count, and where each text ends."""
         big = "\n".join(texts) + "\n"
         points = np.frombuffer(big.encode("utf-32-le"), dtype=np.uint32)
         kind = self.kinds[points]
@@ -96,9 +122,7 @@ class Cutter:
         keep = kind[first] != EDGE
         if not self.blank_first:
             keep &= kind[first] != SPACE
-        first, last = first[keep], last[keep]
-        before = np.searchsorted(first, np.concatenate([[0], ends + 1]))
-        return [big[a:b] for a, b in zip(first.tolist(), last.tolist())], before
+        return big, points, first, last, keep, ends
 
 
 def special_split(text: str, specials: re.Pattern) -> list[tuple[str, bool]]:

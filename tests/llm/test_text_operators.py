@@ -1,6 +1,7 @@
 """The text operators against brute force, on a small table with every odd case."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -134,6 +135,26 @@ def test_bpe(docs, nothing):
     assert bpe.encode(nothing, path).count() == 0
 
 
+def test_long_words_merge_as_short_ones_do(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    merger, library = bpe.Merger(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        letters = ["ab", "the", "aàéß", "abcdefghijklmnopqrstuvwxyz", "日本語"][k % 5]
+        symbols = [merger.letters[b] for b in "".join(rng.choice(list(letters), int(rng.integers(1, 90)))).encode()]
+        symbols[-1] += bpe.END
+        assert merger._short(list(symbols)) == merger._long(list(symbols))
+    rows = [(k, "".join(rng.choice(list("etaoinshrdluETAOéø"), n))) for k, n in enumerate((47, 48, 49, 5000, 60_000))]
+    rows += [(9, "x " + "ab" * 20_000 + " <|endoftext|>" * 3 + "!" * 3000)]
+    found = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), path, texts=True).collect()
+    for r in found:
+        ids = library.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == " ".join(map(str, ids)) and r.decoded == library.decode(ids, skip_special_tokens=False)
+    began = time.process_time()
+    merger.ids("".join(rng.choice(list("etaoinshrdlu"), 1_000_000)))
+    assert time.process_time() - began < 60
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.binary(min_size=1, max_size=5), st.lists(st.integers(0, 99), min_size=1, max_size=3), max_size=30), st.lists(st.binary(min_size=1, max_size=6), max_size=20))
 def test_lexicon(entries, others):
