@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.llm.common import crc_mod, guarded, mix, only, restored, written
@@ -24,8 +25,9 @@ MIN_RATE = 1e-5
 RATIO = 3.0
 UNKNOWN = "und"
 LEAST_SCORE = 0.1
-PART_CHARS = 1 << 20
-CHUNK_CHARS = 1 << 22
+PART_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 19
+RUN_BYTES = 1 << 22
 WORD_BITS = 62  # languages per mask; a longer list takes several masks
 
 
@@ -35,6 +37,16 @@ def letters() -> np.ndarray:
     return table
 
 
+def _runs(column: pa.Array):
+    """A text column in runs of limited size: first row, and texts as strings."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, taken = 0, 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(size, taken + RUN_BYTES, "right")))
+        yield at, column.slice(at, to - at).to_pylist()
+        at, taken = to, int(size[to - 1])
+
+
 def _pieces(texts):
     """Lower-cased texts, long ones in overlapping pieces: piece, text number."""
     for k, text in enumerate(texts):
@@ -57,15 +69,18 @@ def _chunks(texts):
 
 
 def _grams(is_letter: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all n-grams with a letter in the middle, and the piece of each.
-    What is no letter counts as a blank, and so do the ends of a text."""
+    """Codes of all n-grams with a letter in the middle, and where those of each piece
+    begin. What is no letter counts as a blank, and so do the ends of a text."""
     points = np.frombuffer((" " + "  ".join(pieces) + " ").encode("utf-32-le"), dtype=np.uint32)
     good = is_letter[points]
-    codes = np.where(good, points, 32).astype(np.uint64)
+    codes = np.where(good, points, np.uint32(32))
     middle = np.flatnonzero(good[1:-1]) + 1
-    packed = (codes[middle - 1] << np.uint64(42)) | (codes[middle] << np.uint64(21)) | codes[middle + 1]
+    packed = codes[middle - 1].astype(np.uint64) << np.uint64(21)
+    packed |= codes[middle]
+    packed <<= np.uint64(21)
+    packed |= codes[middle + 1]
     ends = np.cumsum([len(p) + 2 for p in pieces])
-    return packed, np.searchsorted(ends, middle, "right")
+    return packed, np.searchsorted(middle, np.concatenate([[0], ends]))
 
 
 def _cells(codes: np.ndarray) -> np.ndarray:
@@ -99,15 +114,16 @@ def train(docs: DataFrame) -> Model:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
-            for held, owner in _chunks(batch.column("text").to_pylist()):
-                codes, piece = _grams(table.value, held)
-                which = np.array([names.index(langs[k]) for k in owner])
-                for j, name in enumerate(names):
-                    own = codes[which[piece] == j] if len(names) > 1 else codes
-                    if len(own):
-                        labels, distinct = pd.factorize(own)
-                        n = np.bincount(labels)
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(distinct)), pa.array(distinct.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+            for first, texts in _runs(batch.column("text")):
+                for held, owner in _chunks(texts):
+                    codes, bounds = _grams(table.value, held)
+                    which = np.repeat([names.index(langs[first + k]) for k in owner], np.diff(bounds))
+                    for j, name in enumerate(names):
+                        own = codes[which == j] if len(names) > 1 else codes
+                        if len(own):
+                            labels, distinct = pd.factorize(own)
+                            n = np.bincount(labels)
+                            yield pa.RecordBatch.from_arrays([pa.array([name] * len(distinct)), pa.array(distinct.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     rows = only(docs, "text", "lang").filter("text is not null and lang is not null")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -139,36 +155,46 @@ def train(docs: DataFrame) -> Model:
     return Model(languages, masks, fill**HASHES)
 
 
-def _predictor(is_letter: np.ndarray, model: Model):
-    """Texts to their languages and scores."""
-    n_lang = len(model.languages)
+def _shared(model: Model) -> tuple:
+    """The model as plain values, which executors can read without this package."""
+    return model.languages, model.masks, model.chance
+
 
-    def run(texts: list) -> tuple[np.ndarray, np.ndarray]:
-        hits, total = np.zeros((len(texts), n_lang)), np.zeros(len(texts))
+def _predictor(is_letter: np.ndarray, languages: list[str], masks: np.ndarray, chance: np.ndarray):
+    """A text column to languages and scores."""
+    n_lang = len(languages)
+
+    def count(texts: list, hits: np.ndarray, total: np.ndarray) -> None:
         for held, owner in _chunks(texts):
-            codes, piece = _grams(is_letter, held)
+            codes, bounds = _grams(is_letter, held)
             if not len(codes):
                 continue
+            some = np.flatnonzero(np.diff(bounds))
+            starts, who = bounds[some], np.array(owner)[some]
+            np.add.at(total, who, np.diff(bounds)[some])
             labels, distinct = pd.factorize(codes)
             cells = _cells(distinct)
-            starts = np.flatnonzero(np.diff(piece, prepend=-1))
-            who = np.array(owner)[piece[starts]]
-            np.add.at(total, who, np.diff(starts, append=len(piece)))
-            for word in range(len(model.masks)):
-                mask = model.masks[word][cells[0]]
+            for word in range(len(masks)):
+                mask = masks[word][cells[0]]
                 for k in range(1, HASHES):
-                    mask = mask & model.masks[word][cells[k]]
+                    mask = mask & masks[word][cells[k]]
                 for j in range(word * WORD_BITS, min(n_lang, (word + 1) * WORD_BITS)):
                     bit = ((mask >> np.uint64(j % WORD_BITS)) & np.uint64(1)).astype(np.uint32)
                     np.add.at(hits[:, j], who, np.add.reduceat(bit[labels], starts))
-        names, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
-        if n_lang and len(texts):
+
+    def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        rows = len(column)
+        hits, total = np.zeros((rows, n_lang)), np.zeros(rows)
+        for first, texts in _runs(column):
+            count(texts, hits[first : first + len(texts)], total[first : first + len(texts)])
+        names, score = np.full(rows, UNKNOWN, dtype=object), np.zeros(rows)
+        if n_lang and rows:
             some = total > 0
             share = hits / np.maximum(total, 1)[:, None]
-            share = np.clip((share - model.chance) / np.maximum(1 - model.chance, 1e-9), 0, 1)
+            share = np.clip((share - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
             best = share.argmax(axis=1)
-            names[some] = np.array(model.languages, dtype=object)[best[some]]
-            score[some] = share[np.arange(len(texts)), best][some]
+            names[some] = np.array(languages, dtype=object)[best[some]]
+            score[some] = share[np.arange(rows), best][some]
         return names, score
 
     return run
@@ -182,12 +208,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     if nothing was learned. Ties go to the language with more training text.
     """
     context = docs.sparkSession.sparkContext
-    table, shared = context.broadcast(letters()), context.broadcast(model)
+    table, shared = context.broadcast(letters()), context.broadcast(_shared(model))
 
     def run(batches):
-        decide = _predictor(table.value, shared.value)
+        decide = _predictor(table.value, *shared.value)
         for batch in batches:
-            names, score = decide(batch.column("text").to_pylist())
+            names, score = decide(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -196,7 +222,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Learn from the rows whose crc32(doc_id) mod ``folds`` is not ``held`` (rows
-    without doc_id are not learned from), then predict all of them."""
+    without doc_id are not learned from), then predict all of them: ``doc_id,
+    held_out, lang_pred, score``. Rows without text or ``lang`` are not learned from
+    either; without text or a letter they are ``und``. Rows that repeat count and are
+    predicted each, texts of any length are read whole, and an empty table gives an
+    empty result."""
     fold = crc_mod("doc_id", folds)
     model = train(only(docs, "doc_id", "text", "lang").filter(fold != held))
     found = predict(docs, model)
@@ -209,13 +239,13 @@ def accepted(docs: DataFrame, folds: int = 4, held: int = 2, least: float = LEAS
     Decided where the row lies, so no text crosses the network."""
     model = train(only(docs, "doc_id", "text", "lang").filter(crc_mod("doc_id", folds) != held))
     context = docs.sparkSession.sparkContext
-    table, shared = context.broadcast(letters()), context.broadcast(model)
+    table, shared = context.broadcast(letters()), context.broadcast(_shared(model))
     rows = guarded(docs, ("doc_id", "text"))
 
     def run(batches):
-        decide = _predictor(table.value, shared.value)
+        decide = _predictor(table.value, *shared.value)
         for batch in batches:
-            names, score = decide(batch.column("text").to_pylist())
+            names, score = decide(batch.column("text"))
             yield batch.filter(pa.array((names != UNKNOWN) & (score >= least), pa.bool_()))
 
     return restored(rows.mapInArrow(run, rows.schema), docs, ("doc_id", "text"))
