@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.llm.common import WordHasher, crc_mod, most_frequent, numbers, only, text_buffers, written
@@ -271,13 +271,14 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
     tables = np.concatenate([odds(cells[a : a + c * SYMBOLS], code) for a, c in zip(_BASE, CONTEXTS)])
     del cells
     known = most_frequent(counts, "c", frequent).select("key", "c").toPandas().sort_values("key")
-    top = spark.sparkContext.broadcast((known["key"].to_numpy(np.int64), known["c"].to_numpy(np.int64), tables, code))
+    top = spark.sparkContext.broadcast((known["key"].to_numpy(np.int64), known["c"].to_numpy(np.int64), tables, cloudpickle.dumps(code)))
     under = math.log10(n_all + SMOOTH * (vocabulary + 1)) if n_all + vocabulary else math.log10(SMOOTH)
     end_base = math.log10(n_train + SMOOTH) - under
 
     def run(batches):
         hasher = WordHasher()
         keys, c, tables, code = top.value
+        code = cloudpickle.loads(code)  # with its class: executors need no copy of this package
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 21):

@@ -16,7 +16,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from narrowmat.llm.common import discard, only, written
@@ -282,10 +282,10 @@ BLOCKS = "part int, start long, doc_ids array<long>, doc_starts array<long>, doc
 def encode(rows: DataFrame, table: Table) -> DataFrame:
     """Blocks of ids in order. A row's ids stay together unless they fill blocks of
     their own: then the block holds a piece (``ns`` smaller than ``doc_ns``)."""
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(table))
 
     def run(batches):
-        table = shared.value
+        table = cloudpickle.loads(shared.value)  # with its class: executors need no copy of this package
         held, size = [], 0
 
         def block():
@@ -312,10 +312,10 @@ def encode(rows: DataFrame, table: Table) -> DataFrame:
 
 def read_back(blocks: DataFrame, table: Table) -> DataFrame:
     """``doc_id, part, start, n_tokens, ids_crc32`` of every row, decoded."""
-    shared = blocks.sparkSession.sparkContext.broadcast(table)
+    shared = blocks.sparkSession.sparkContext.broadcast(cloudpickle.dumps(table))
 
     def run(batches):
-        table = shared.value
+        table = cloudpickle.loads(shared.value)  # with its class: executors need no copy of this package
         for batch in batches:
             for row in batch.to_pylist():
                 ids = decode_block(row["payload"], table)
