@@ -86,8 +86,10 @@ def widths(spark, cells: int, sizes, cpus: int) -> dict:
         path, rows = generated(spark, cells, n)
         read = reader(spark, path, n)
         took = seconds(lambda: drain(nm.tsqr(read())))
+        stages = {r.stage: r.rows for r in nm.tsqr(read(), stats=True).stats.collect()}
         found[f"{rows}x{n}"] = {
             "tsqr": took,
+            "shuffled_of_read": round(stages.get(1, 0) / stages[0], 4),
             "col_sums": seconds(lambda: drain(nm.col_sums(read()))),
             "tsqr_cells_per_core_second": round(rows * n / took / cpus),
         }
@@ -141,9 +143,11 @@ def main() -> None:
     if not options.names:
         # As many numbers as sixteen columns of lineitem.
         result["widths"] = widths(spark, 16 * rows, (50, 500), int(cpus))
+        result["widths"] |= widths(spark, 32 * rows, (1000,), int(cpus))
         result["published_cells_per_slot_second"] = PUBLISHED_CELLS_PER_SLOT
     if options.sweep:
-        result.setdefault("widths", {}).update(widths(spark, 16 * rows, (100, 1000), int(cpus)))
+        result.setdefault("widths", {}).update(widths(spark, 16 * rows, (100,), int(cpus)))
+        result["widths"].update(widths(spark, 64 * rows, (2000,), int(cpus)))
         result["sweep"] = sweep(spark, 16 * rows)
     spark.stop()
     print(json.dumps(result), flush=True)
