@@ -56,15 +56,6 @@ def is_full(row: Column, width: int | Column) -> Column:
     return F.coalesce((F.size(row) == width) & full, F.lit(False))
 
 
-def full_row(row: Column, n: int) -> Column:
-    """``row`` as it is; one of another width or with a null cell raises."""
-    size = F.coalesce(F.size(row), F.lit(-1))
-    other = F.when(size == n, F.lit("null cell in a matrix row")).otherwise(
-        F.concat(F.lit(f"matrix row must have {n} entries, found "), size.cast("string"))
-    )
-    return F.when(is_full(row, F.lit(n)), row).otherwise(fail(other, "array<double>"))
-
-
 def centred(row: Column) -> Column:
     """Every entry less the mean of its own row.
 

@@ -11,24 +11,18 @@ from narrowmat.functions.kernels import ColumnSum
 from narrowmat.plans.reduce import block_reduce
 from narrowmat.sources.tables import known_width
 
-# Up to this width column sums are plain SQL sums, one for each column.
+# Up to this width column sums are plain SQL sums; wider, numpy blocks.
 SQL_SUM_COLUMNS = 32
 
-# Wider rows are summed in pieces of this many columns, which keeps the compiled
-# code short whatever the width.
-PIECE_COLUMNS = 10
-
 
 def col_sums(m: DataFrame, schedule=None) -> DataFrame:
     """Sum of every column as ``j, value``.
 
-    Compiled SQL sums wherever the schema tells the width and no ``schedule`` is
-    given; otherwise numpy blocks combined over the schedule.
+    Compiled SQL sums of narrow matrices whose width the schema tells; otherwise, and
+    with a ``schedule``, numpy blocks combined over the schedule.
     """
     n = known_width(m)
-    if n and n > SQL_SUM_COLUMNS and schedule is None:
-        return _sums_by_piece(m, n)
-    if n and schedule is None:
+    if n and n <= SQL_SUM_COLUMNS and schedule is None:
         at = cells.row_cells(F.col("row"), n)
         total = m.agg(*[F.sum(c).alias(f"s{j}") for j, c in enumerate(at)])
         sums = total.filter(F.col("s0").isNotNull()).select(
@@ -39,16 +33,6 @@ def col_sums(m: DataFrame, schedule=None) -> DataFrame:
     return sums.select(F.posexplode("row").alias("j", "value"))
 
 
-def _sums_by_piece(m: DataFrame, n: int) -> DataFrame:
-    starts = F.explode(F.array(*[F.lit(j) for j in range(0, n, PIECE_COLUMNS)]))
-    rows = m.select(cells.full_row(F.col("row"), n).alias("row"), starts.alias("first"))
-    at = [F.coalesce(F.get("row", F.col("first") + k), F.lit(0.0)) for k in range(PIECE_COLUMNS)]
-    pieces = rows.groupBy("first").agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(at)])
-    sums = F.posexplode(F.array(*[f"s{k}" for k in range(PIECE_COLUMNS)])).alias("k", "value")
-    entries = pieces.select("first", sums).select((F.col("first") + F.col("k")).alias("j"), "value")
-    return entries.filter(F.col("j") < n)
-
-
 def word_count(df: DataFrame, col: str, sep: str = " ") -> DataFrame:
     """How often every piece of text between separators occurs."""
     words = df.select(F.explode(cells.tokens(F.col(col), sep)).alias("word"))

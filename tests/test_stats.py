@@ -104,22 +104,6 @@ def test_profile_is_whole(spark):
     assert nm.profile_values(df.limit(0), "j").count() == 0
 
 
-@pytest.mark.parametrize("n", [33, 40, 41, 127])
-def test_sums_by_piece(spark, n):
-    a = np.random.default_rng(n).standard_normal((300, n))
-    m = nm.validate_matrix(matrix(spark, a), n)
-    found = nm.col_sums(m)
-    text = found._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in text and "Arrow" not in text
-    assert np.allclose([r.value for r in found.orderBy("j").collect()], a.sum(axis=0))
-    assert nm.col_sums(m.limit(0)).count() == 0
-    for bad in ([1.0] * (n - 1), [1.0] * (n + 1), [1.0] * (n - 1) + [None], None):
-        rows = spark.createDataFrame([(bad,)], "row array<double>")
-        odd = nm.col_sums(rows.select(F.col("row").alias("row", metadata={"ncols": n})))
-        with pytest.raises(PySparkException, match="entries|null cell"):
-            odd.collect()
-
-
 def test_wide_sums_counters_and_peek_of_each_task(spark):
     wide = spark.range(3).select(F.array_repeat(F.lit(1.0), 9000).alias("row"))
     assert nm.col_sums(wide).agg(F.sum("value")).first()[0] == 27000
