@@ -10,6 +10,7 @@ _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
 
 from narrowmat.functions.kernels import ColumnSum, GramSum, Kernel, QRBlocks
 from narrowmat.operators.basis import column_basis
+from narrowmat.operators.blocked import blocked_product
 from narrowmat.operators.check import (
     check_triu_ones, compare_factors, normalize_signs, relative_difference,
 )

@@ -279,6 +279,13 @@ def oracles() -> dict[str, str]:
             3,
             6,
         ),
+        "project_blocked": rows_sql(
+            "events",
+            "event_id",
+            "[value + 0.25::double * user_id, 0.5::double * value + 2.0::double * user_id, -value]",
+            3,
+            6,
+        ),
         "least_squares": """
             WITH f AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS a,
                               regr_slope(l_extendedprice, l_quantity) AS b,

@@ -344,6 +344,13 @@ def project(spark, folder):
     return long_rows(nm.project(events(spark, folder), matrix), 6, "event_id")
 
 
+@query
+def project_blocked(spark, folder):
+    """The same with the matrix as a table, in tiles."""
+    matrix = nm.factor_frame(spark, np.array([[1.0, 0.5, -1.0], [0.25, 2.0, 0.0]]))
+    return long_rows(nm.blocked_product(events(spark, folder), matrix, tile=2), 6, "event_id")
+
+
 # Least squares
 
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from narrowmat.functions.kernels import chunks, rank_tolerance, row_block, row_column
+from narrowmat.operators.blocked import blocked_product
 from narrowmat.operators.direct import DirectQR
 from narrowmat.operators.factor import (
     check_driver_bytes, collect_factor, factor_frame, parts_of, reduced_tsqr, tsqr,
@@ -112,8 +113,12 @@ def project(m: DataFrame, matrix) -> DataFrame:
     """Every row times a small matrix (or several, one after the other).
 
     Keys stay with their rows and nothing is shuffled. The matrices are
-    broadcast; together they may not exceed ``spark.driver.maxResultSize``.
+    broadcast; together they may not exceed ``spark.driver.maxResultSize``. A matrix
+    given as a factor (a frame of ``i, row``) may be of any size: it is never
+    collected, see ``blocked_product``.
     """
+    if isinstance(matrix, DataFrame):
+        return blocked_product(m, matrix)
     several = isinstance(matrix, (list, tuple)) and np.ndim(matrix[0]) == 2
     matrices = matrix if several else [matrix]
     matrices = [np.ascontiguousarray(x, dtype=float) for x in matrices]

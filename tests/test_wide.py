@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import narrowmat as nm
-from helpers import factor, matrix, r_of
+from helpers import factor, matrix, r_of, rows_of
 from narrowmat.operators import factor as factor_module, tiles
 from narrowmat.plans import reduce
 
@@ -56,3 +56,35 @@ def test_splits_are_merged_for_wide_matrices_only(spark, tmp_path):
     assert reduce.merged_splits(read(n), n).rdd.getNumPartitions() == 8
     stats = nm.tsqr(read(n).select(F.transform("row", lambda x: x + F.rand(1)).alias("row", metadata={"ncols": n})), stats=True).stats
     assert stats.filter("stage = 0").first().tasks == 8
+
+
+@pytest.mark.parametrize("n, p, tile", [(5, 7, 2), (6, 4, 3), (3, 3, 8), (1, 1, 1)])
+def test_blocked_product(spark, monkeypatch, n, p, tile):
+    from narrowmat.operators import blocked
+
+    monkeypatch.setattr(blocked, "PACK_ROWS", 7)
+    rng = np.random.default_rng(n)
+    a, b = rng.standard_normal((60, n)), rng.standard_normal((n, p))
+    found = blocked.blocked_product(matrix(spark, a, 4), nm.factor_frame(spark, b).repartition(3), tile)
+    assert np.allclose(rows_of(found), a @ b, atol=1e-13)
+    text = matrix(spark, a[:5]).select(F.lit("same").alias("key"), "row")
+    same = nm.blocked_product(text, nm.factor_frame(spark, b), tile).collect()
+    assert len(same) == 5 and {r.key for r in same} == {"same"}
+    assert np.allclose(sorted(r.row for r in same), sorted((a[:5] @ b).tolist()))
+    assert nm.blocked_product(matrix(spark, a).limit(0), nm.factor_frame(spark, b), tile).count() == 0
+    with pytest.raises(ValueError, match="width"):
+        nm.blocked_product(matrix(spark, a), nm.factor_frame(spark, np.ones((n + 1, 2))), tile)
+
+
+def test_project_by_a_factor_collects_nothing(spark, monkeypatch):
+    from narrowmat.operators import svd
+
+    def refuse(*_):
+        raise AssertionError("asked the driver to take a matrix")
+
+    monkeypatch.setattr(svd, "check_driver_bytes", refuse)
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((40, 6)), rng.standard_normal((6, 3))
+    found = nm.project(matrix(spark, a).select("row"), nm.factor_frame(spark, b))
+    assert found.columns == ["row"]
+    assert np.allclose(sorted(r.row for r in found.collect()), sorted((a @ b).tolist()))
