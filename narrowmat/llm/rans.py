@@ -1,6 +1,7 @@
 """Token ids in files: static range asymmetric numeral systems (rANS).
 
-One frequency table over the whole corpus serves all blocks. A block holds up to
+One frequency table over the whole corpus serves all blocks and is written with
+them, so that an archive can be read from its files alone. A block holds up to
 ``BLOCK`` ids, dealt over interleaved lanes that are coded side by side. Its
 payload opens with a header, carries the coder's states every ``CHECKPOINT`` rows
 of lanes, so that decoding can start in the middle, and is guarded by a CRC.
@@ -16,10 +17,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from narrowmat.llm.common import discard, only, written
+from narrowmat.llm.common import binary_column, discard, only, scratch, written
 from narrowmat.llm.pretokens import Cutter, byte_letters, classes, kept, parts, special_split
 
 SCALE = 20
@@ -35,7 +37,7 @@ HEAD, HEAD_BYTES = "<4sIIIII", 24  # magic, ids, lanes, checkpoints, words, crc
 
 
 class Table:
-    """Frequencies scaled to 2^SCALE; every id that occurs gets 1 at least."""
+    """Frequencies that sum to 2^SCALE; every id that occurs gets 1 at least."""
 
     def __init__(self, counts: np.ndarray):
         counts = counts.astype(np.float64)
@@ -45,6 +47,16 @@ class Table:
         if len(used):
             freq[used] = np.maximum(1, np.floor(counts[used] / counts.sum() * (room - len(used)))).astype(np.int64)
             freq[used[counts[used].argmax()]] += room - freq.sum()
+        self._place(freq)
+
+    @classmethod
+    def of(cls, freq: np.ndarray) -> Table:
+        """A table from scaled frequencies, as files keep them."""
+        table = cls.__new__(cls)
+        table._place(freq)
+        return table
+
+    def _place(self, freq: np.ndarray) -> None:
         self.freq = freq.astype(np.uint64)
         self.first = (np.cumsum(freq) - freq).astype(np.uint64)
         self.filler = int(freq.argmax())
@@ -138,7 +150,8 @@ def joined_crc(first: int, second: int, second_bytes: int) -> int:
 
 
 class Tokenizer:
-    """The library's byte-level BPE, asked once per distinct piece of text."""
+    """The library's byte-level BPE, asked once per distinct piece of text; pieces are
+    told apart and looked up in Arrow."""
 
     def __init__(self, path: str, kinds: np.ndarray):
         from tokenizers import Tokenizer as Library
@@ -146,61 +159,75 @@ class Tokenizer:
         self.library = Library.from_file(path)
         self.model = self.library.model
         specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.specials = re.compile("|".join(map(re.escape, sorted(specials, key=len, reverse=True))) or "(?!)")
+        self.special_names = sorted(specials, key=len, reverse=True)
+        self.specials = re.compile("|".join(map(re.escape, self.special_names)) or "(?!)")
         self.cutter = Cutter(kinds, True)
         self.letters = byte_letters()
         self._reset()
 
     def _reset(self):
-        self.place, self.sizes, self.flat = {}, array("q"), array("I")
-
-    def _learn(self, words):
-        letters, blank, tokenize = self.letters, self.letters[32], self.model.tokenize
-        for w in words:
-            if isinstance(w, str):
-                # Printable ASCII stands for itself, but for the blank.
-                plain = w.isascii() and w.isprintable()
-                spelled = w.replace(" ", blank) if plain else "".join([letters[b] for b in w.encode()])
-                ids = [t.id for t in tokenize(spelled)]
-            else:
-                ids = [self.library.token_to_id(w[0])]
-            self.place[w] = len(self.sizes)
-            self.sizes.append(len(ids))
-            self.flat.extend(ids)
+        # Ids of place k: flat[first[k] : first[k] + sizes[k]]. Place 0 is the end of
+        # a text; special tokens follow, then the known pieces.
+        self.first, self.sizes, self.flat = array("q", [0]), array("q", [1]), array("I", [END_ID])
+        for name in self.special_names:
+            self._add([self.library.token_to_id(name)])
+        self.known = pa.array([], pa.large_string())
+
+    def _add(self, ids: list[int]) -> None:
+        self.first.append(len(self.flat))
+        self.sizes.append(len(ids))
+        self.flat.extend(ids)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces, new ones learned."""
+        at = pc.index_in(pieces, value_set=self.known)
+        fresh = pieces.filter(at.is_null())
+        letters, tokenize = self.letters, self.model.tokenize
+        for piece in fresh.to_pylist():
+            # Printable ASCII stands for itself, but for the blank.
+            plain = piece.isascii() and piece.isprintable()
+            spelled = piece.replace(" ", letters[32]) if plain else "".join([letters[b] for b in piece.encode()])
+            self._add([t.id for t in tokenize(spelled)])
+        out = at.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        out[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        self.known = pa.concat_arrays([self.known, fresh])
+        return out + 1 + len(self.special_names)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by END_ID, and how many each text has."""
-        pieces, flags, owner = [], [], []
+        pieces, flags, owner = [], {}, []
         for k, text in enumerate(texts):
             split = special_split(text, self.specials) if "<|" in text else [(text, False)]
             for piece, special in split:
+                if special:
+                    flags[len(pieces)] = piece
                 for part in [""] if special else parts(piece):
                     pieces.append(part)
-                    flags.append(piece if special else None)
                     owner.append(k)
-        words, before = self.cutter.cut(pieces)
-        if any(flags):
-            out = [[(f,)] if f else words[before[k] : before[k + 1]] for k, f in enumerate(flags)]
-            words = [w for x in out for w in x]
-            before = np.concatenate([[0], np.cumsum([len(x) for x in out])])
-        before = before[np.searchsorted(np.array(owner), np.arange(len(texts) + 1))]
-        if len(self.place) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self._reset()
-        self._learn({w for w in words if w not in self.place})
-        at = np.fromiter(map(self.place.__getitem__, words), dtype=np.int64, count=len(words))
-        sizes, flat = np.array(self.sizes, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
-        first = np.cumsum(sizes) - sizes
-        n = sizes[at]
+        number, distinct, before = self.cutter.encoded(pieces)
+        used = np.zeros(len(distinct), dtype=bool)
+        used[number] = True
+        places = np.zeros(len(distinct), dtype=np.int64)
+        places[used] = self._places(distinct.filter(pa.array(used)))
+        if flags:
+            # A special token is one word where its empty piece stands.
+            where = np.array(list(flags))
+            number = np.insert(number, before[where], len(places) + np.arange(len(where)))
+            places = np.append(places, [1 + self.special_names.index(x) for x in flags.values()])
+            before = before + np.searchsorted(where, np.arange(len(before)))
+        before = before[np.searchsorted(np.array(owner), np.arange(len(texts) + 1))]
+        # The end of a text is one more word, of one id.
+        first, n = np.zeros(len(places) + 1, np.int64), np.ones(len(places) + 1, np.int64)
+        first[:-1], n[:-1] = np.array(self.first, dtype=np.int64)[places], np.array(self.sizes, dtype=np.int64)[places]
+        number = np.insert(number, before[1:], len(places))
+        before = before + np.arange(len(before))
+        per_text = np.diff(np.append(0, np.cumsum(n[number]))[before])
         ends = np.cumsum(n)
-        run = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[at] - (ends - n), n)
-        per_text = np.diff(np.concatenate([[0], ends])[before])
-        stops = np.cumsum(per_text + 1) - 1
-        out = np.empty(len(run) + len(texts), dtype=np.uint32)
-        body = np.ones(len(out), dtype=bool)
-        body[stops] = False
-        out[body] = flat[run]
-        out[stops] = END_ID
-        return out, per_text + 1
+        run = np.arange(ends[-1]) + np.repeat(first - (ends - n), n)
+        spelled = binary_column(np.frombuffer(self.flat, dtype=np.uint32)[run], n).cast(pa.large_binary())
+        return np.frombuffer(spelled.take(pa.array(number)).buffers()[2], dtype=np.uint32), per_text
 
 
 def _texts(batch: pa.RecordBatch):
@@ -276,12 +303,13 @@ def frequencies(rows: DataFrame, merge: int = 16) -> np.ndarray:
     return total
 
 
-BLOCKS = "part int, start long, doc_ids array<long>, doc_starts array<long>, doc_ns array<long>, ns array<long>, payload binary"
+BLOCKS = "part int, start long, doc_ids array<long>, doc_starts array<long>, ns array<long>, whole array<boolean>, payload binary"
 
 
 def encode(rows: DataFrame, table: Table) -> DataFrame:
-    """Blocks of ids in order. A row's ids stay together unless they fill blocks of
-    their own: then the block holds a piece (``ns`` smaller than ``doc_ns``)."""
+    """Blocks of ids in order, with an index of their rows: ids, where each begins
+    in its part, and how many of its ids are here. A row's ids stay together unless
+    they fill blocks of their own; then it is not ``whole`` in any of them."""
     shared = rows.sparkSession.sparkContext.broadcast(cloudpickle.dumps(table))
 
     def run(batches):
@@ -289,9 +317,10 @@ def encode(rows: DataFrame, table: Table) -> DataFrame:
         held, size = [], 0
 
         def block():
+            part, first = held[0][0], held[0][2] + held[0][5]
             ids = np.concatenate([x[4] for x in held])
-            columns = [[held[0][0]], [held[0][2] + held[0][5]], [[x[1] for x in held]], [[x[2] for x in held]], [[x[3] for x in held]], [[len(x[4]) for x in held]], [encode_block(ids, table)]]
-            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
+            columns = [[part], [first], [[x[1] for x in held]], [[x[2] for x in held]], [[len(x[4]) for x in held]], [[len(x[4]) == x[3] for x in held]], [encode_block(ids, table)]]
+            kinds = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.bool_()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
         for batch in batches:
@@ -310,33 +339,72 @@ def encode(rows: DataFrame, table: Table) -> DataFrame:
     return rows.mapInArrow(run, BLOCKS)
 
 
-def read_back(blocks: DataFrame, table: Table) -> DataFrame:
-    """``doc_id, part, start, n_tokens, ids_crc32`` of every row, decoded."""
-    shared = blocks.sparkSession.sparkContext.broadcast(cloudpickle.dumps(table))
+def write_archive(docs: DataFrame, path: str, folder: str) -> None:
+    """Tokenize ``docs`` and write ``folder/table`` (id, freq) and ``folder/blocks``."""
+    spark = docs.sparkSession
+    rows = written(tokens(docs, path), "tokens")
+    table = Table(frequencies(rows))
+    used = np.flatnonzero(table.freq)
+    ids = pa.table({"id": pa.array(used.astype(np.int32)), "freq": pa.array(table.freq[used].astype(np.int64))})
+    spark.createDataFrame(ids).coalesce(1).write.parquet(f"{folder}/table")
+    encode(rows, table).write.parquet(f"{folder}/blocks")
+    discard(rows)
+
+
+def read_table(spark: SparkSession, folder: str) -> Table:
+    """The frequency table of an archive: one entry for each id of the vocabulary."""
+    found = spark.read.schema("id int, freq long").parquet(f"{folder}/table").toArrow()
+    ids, freq = found.column("id").to_numpy(), found.column("freq").to_numpy()
+    return Table.of(np.bincount(ids, freq, minlength=1).astype(np.int64))
+
+
+def read_pieces(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
+    """What the blocks of an archive hold, decoded: ``doc_id, part, doc_start, first,
+    n, whole, crc`` for each piece of a row, and with ``ids`` the ids themselves.
+    ``first`` and ``doc_start`` count from the beginning of the part."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(read_table(spark, folder)))
+    names = ["doc_id", "part", "doc_start", "first", "n", "whole", "crc"] + ["ids"] * ids
 
     def run(batches):
         table = cloudpickle.loads(shared.value)  # with its class: executors need no copy of this package
         for batch in batches:
             for row in batch.to_pylist():
-                ids = decode_block(row["payload"], table)
-                cuts = np.cumsum(row["ns"])
-                crcs = [zlib.crc32(x.tobytes()) for x in np.split(ids, cuts[:-1])]
-                first = [row["start"] if a != b else s for a, b, s in zip(row["ns"], row["doc_ns"], row["doc_starts"])]
-                columns = [row["doc_ids"], [row["part"]] * len(crcs), row["doc_starts"], row["doc_ns"], row["ns"], first, crcs]
-                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "part", "start", "n_tokens", "n", "first", "crc"])
+                found = decode_block(row["payload"], table)
+                ends = np.cumsum(row["ns"])
+                if ends[-1] != len(found):
+                    raise ValueError("a block and its index differ in length")
+                rows = np.split(found, ends[:-1])
+                columns = [row["doc_ids"], [row["part"]] * len(rows), row["doc_starts"], row["start"] + ends - row["ns"], [len(x) for x in rows], row["whole"], [zlib.crc32(x.tobytes()) for x in rows]]
+                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.int64()]
+                made = [pa.array(c, k) for c, k in zip(columns, kinds)]
+                if ids:
+                    made.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(found.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(made, names=names)
+
+    schema = "doc_id long, part int, doc_start long, first long, n long, whole boolean, crc long" + ", ids array<int>" * ids
+    return spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").mapInArrow(run, schema)
+
+
+def read_archive(spark: SparkSession, folder: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every row, from the files alone:
+    positions of parts are sums of what was decoded from the parts before."""
 
     def join(group):
         group = group.sort_values("first")
         crc = 0
         for c, n in zip(group["crc"], group["n"]):
             crc = joined_crc(crc, int(c), 4 * int(n))
-        return group.head(1).assign(ids_crc32=crc)[["doc_id", "part", "start", "n_tokens", "ids_crc32"]]
+        return group.head(1).assign(n_tokens=group["n"].sum(), ids_crc32=crc)[["doc_id", "part", "doc_start", "n_tokens", "ids_crc32"]]
 
-    found = written(blocks.mapInArrow(run, "doc_id long, part int, start long, n_tokens long, n long, first long, crc long"), "crcs")
-    whole = found.filter("n = n_tokens").select("doc_id", "part", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
-    split = found.filter("n < n_tokens").groupBy("part", "start").applyInPandas(join, "doc_id long, part int, start long, n_tokens long, ids_crc32 long")
-    return whole.unionAll(split)
+    found = written(read_pieces(spark, folder), "crcs")
+    schema = "doc_id long, part int, doc_start long, n_tokens long, ids_crc32 long"
+    whole = found.filter("whole").select("doc_id", "part", "doc_start", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    split = found.filter("not whole").groupBy("part", "doc_start").applyInPandas(join, schema)
+    sums = found.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
+    offsets = np.cumsum([0] + [r.n for r in sums]).tolist()
+    given = spark.createDataFrame([(r.part, at) for r, at in zip(sums, offsets)], "part int, before long")
+    rows = whole.unionAll(split).join(F.broadcast(given), "part")
+    return rows.select("doc_id", (F.col("doc_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, path: str) -> DataFrame:
@@ -345,19 +413,9 @@ def write_and_read(docs: DataFrame, path: str) -> DataFrame:
 
     A null text counts as empty: it has the closing id alone. Rows are ordered by
     doc_id, nulls first; rows that share a doc_id follow one another by text.
-    An empty table gives no file and an empty result. A row longer than a block
-    is split over blocks, and its CRC joined from theirs.
+    An empty table gives an archive without blocks and an empty result. A row
+    longer than a block is split over blocks, and its CRC joined from theirs.
     """
-    spark = docs.sparkSession
-    rows = written(tokens(docs, path), "tokens")
-    table = Table(frequencies(rows))
-    blocks = written(encode(rows, table), "rans")
-    sums = {r.part: r.n for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect()}
-    discard(rows)
-    offsets, total = [], 0
-    for part in sorted(sums):
-        offsets.append((part, total))
-        total += sums[part]
-    given = spark.createDataFrame(offsets, "part int, offset long")
-    found = read_back(blocks, table).join(F.broadcast(given), "part")
-    return found.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    folder = scratch(docs.sparkSession, "rans")
+    write_archive(docs, path, folder)
+    return read_archive(docs.sparkSession, folder)
