@@ -121,7 +121,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
     """``docs`` with ``size, source_size, target, copies, taken`` for every row.
 
     Size: words of the text, 0 for null or empty (such rows get no copies). A
-    null source is a source of its own, the last. Rows with equal ids, texts
+    null source is a source of its own, the last. Rows of one size are dealt copies
+    in the order of doc_id, then of their texts. Rows with equal ids, texts
     and sources may get different numbers of copies, but always the same
     numbers together: reruns agree. An empty table gives an empty result.
     The driver sees one row per source and nothing else; columns of ``docs``
@@ -130,8 +131,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
     plain = guarded(docs, NEEDED)
     names = {g: c for g, c in zip(plain.columns, docs.columns) if c.lower() not in FRESH}
     docs = plain.select(*names)
+    print_of = F.xxhash64("text")
+    salt = F.pmod(F.xxhash64("doc_id", "text"), F.lit(salts)).cast("int")
     docs = docs.withColumn("size", n_words())
-    small = docs.select("doc_id", "source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("__salt"))
+    small = docs.select("source", "size", salt.alias("__salt"))
     spread = written(small.groupBy("source", "size", "__salt").agg(F.count("*").alias("n")), "sizes")
     cells = written(spread.groupBy("source", "size").agg(F.sum("n").alias("n")), "cells")
     sizes = {r.source: int(r.words) for r in cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("words")).collect()}
@@ -153,8 +156,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, salts: int = SALTS)
     offsets = offsets.alias("o").join(whole.alias("r"), same).select(
         F.col("o.source").alias("c_source"), F.col("o.size").alias("c_size"), F.col("o.__salt").alias("c_salt"), "rank0", "n", "k"
     )
-    place = F.row_number().over(Window.partitionBy("source", "size", "__salt").orderBy("doc_id"))
-    ranked = docs.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).withColumn("__place", place)
+    place = F.row_number().over(Window.partitionBy("source", "size", "__salt").orderBy("doc_id", "__print", "text"))
+    ranked = docs.withColumn("__salt", salt).withColumn("__print", print_of).withColumn("__place", place)
     joined = ranked.join(
         offsets,
         F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")) & (F.col("__salt") == F.col("c_salt")),
