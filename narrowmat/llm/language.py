@@ -1,9 +1,9 @@
 """Language identification by language-bitmask n-gram filters.
 
-A Bloom filter whose cells hold one bit per language answers for an n-gram with
-the set of all languages that contain it. A text's n-grams are looked up and
-counted per language; counts are corrected for the filter's false positives,
-and the largest share decides.
+A Bloom filter whose cells hold bits per language answers for an n-gram with the set
+of all languages that contain it, and with the set of those it is typical of. A text's
+n-grams are looked up and counted per language in both sets; counts are corrected for
+the filter's false positives, and the largest share decides.
 """
 
 from __future__ import annotations
@@ -19,16 +19,16 @@ from pyspark.sql import DataFrame, functions as F
 from narrowmat.llm.common import crc_mod, guarded, mix, only, restored, written
 
 GRAM = 3
-CELLS = 1 << 20
+# Cells of the filter: a power of two, ROOM for each n-gram of the language with most.
+ROOM, LEAST_CELLS, MOST_CELLS = 16, 1 << 12, 1 << 24
 HASHES = 3
-MIN_RATE = 1e-5
-RATIO = 3.0
+RATIO = 3.0  # typical of a language: at least 1/RATIO as frequent as in any other
 UNKNOWN = "und"
 LEAST_SCORE = 0.1
 PART_CHARS = 1 << 18
 CHUNK_CHARS = 1 << 19
 RUN_BYTES = 1 << 22
-WORD_BITS = 62  # languages per mask; a longer list takes several masks
+WORD_BITS = 62  # bits per mask, two for each language; a longer list takes several masks
 
 
 def letters() -> np.ndarray:
@@ -83,16 +83,17 @@ def _grams(is_letter: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.nda
     return packed, np.searchsorted(middle, np.concatenate([[0], ends]))
 
 
-def _cells(codes: np.ndarray) -> np.ndarray:
+def _cells(codes: np.ndarray, size: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         first = mix(codes)
         step = mix(codes + np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-        return np.stack([(first + np.uint64(k) * step) % np.uint64(CELLS) for k in range(HASHES)]).astype(np.int64)
+        return np.stack([(first + np.uint64(k) * step) & np.uint64(size - 1) for k in range(HASHES)]).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """``masks``: (words, CELLS) bits; ``chance``: false positives per language."""
+    """``masks``: (words, cells) bits, those of language k at 2k (contains) and 2k + 1
+    (typical); ``chance``: false positives per bit."""
 
     languages: list[str]
     masks: np.ndarray
@@ -102,10 +103,11 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Learn from all rows with text and language.
 
-    An n-gram belongs to a language if it makes up at least ``MIN_RATE`` of its
-    n-grams and at least 1/``RATIO`` of what it makes up of any other. Counting
-    and setting bits run in Spark; the driver gets at most ``CELLS`` masks for
-    every 62 languages.
+    A language contains every n-gram that occurs in its rows; nothing is left out. Counting and setting bits
+    run in Spark. The filter has room for ``ROOM`` times the n-grams of the language with
+    most of them; beyond ``MOST_CELLS`` (128 MiB for every 31 languages) it fills up
+    instead and the correction for false positives takes over. The driver gets the
+    cells that are not empty.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(letters())
@@ -128,30 +130,34 @@ def train(docs: DataFrame) -> Model:
     rows = only(docs, "text", "lang").filter("text is not null and lang is not null")
     counts = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = written(counts, "grams")
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(totals, key=lambda s: (-totals[s], s))
-    words = max(1, -(-len(languages) // WORD_BITS))
-    masks = np.zeros((words, CELLS), dtype=np.uint64)
+    totals = {r.lang: r for r in counts.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("grams")).collect()}
+    languages = sorted(totals, key=lambda s: (-totals[s].n, s))
+    words = max(1, -(-2 * len(languages) // WORD_BITS))
+    wanted = ROOM * max((r.grams for r in totals.values()), default=1)
+    size = min(MOST_CELLS, max(LEAST_CELLS, 1 << (wanted - 1).bit_length()))
+    masks = np.zeros((words, size), dtype=np.uint64)
     if languages:
-        given = spark.createDataFrame([(s, k, float(totals[s])) for k, s in enumerate(languages)], "lang string, bit int, total double")
+        given = spark.createDataFrame([(s, 2 * k, float(totals[s].n)) for k, s in enumerate(languages)], "lang string, bit int, total double")
         rated = counts.join(F.broadcast(given), "lang").withColumn("rate", F.col("n") / F.col("total"))
-        top = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "bit")).alias("all"))
-        kept = top.select("gram", F.explode(F.filter("all", lambda x: (x.rate >= MIN_RATE) & (x.rate * RATIO >= F.col("top")))).alias("x"))
+        found = rated.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "bit")).alias("all"))
+        typical = F.transform(F.filter("all", lambda x: x.rate * RATIO >= F.col("top")), lambda x: x.bit + 1)
+        marked = found.select("gram", F.explode(F.concat(F.transform("all", lambda x: x.bit), typical)).alias("bit"))
 
         def place(batches):
             for batch in batches:
                 codes = batch.column("gram").to_numpy(zero_copy_only=False).view(np.uint64)
                 bit = batch.column("bit").to_numpy(zero_copy_only=False)
-                cells = _cells(codes)
+                cells = _cells(codes, size)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells.reshape(-1)), pa.array(np.tile(bit // WORD_BITS, HASHES).astype(np.int32)), pa.array(np.tile(1 << (bit % WORD_BITS).astype(np.int64), HASHES))],
+                    [pa.array(cells.reshape(-1).astype(np.int32)), pa.array(np.tile(bit // WORD_BITS, HASHES).astype(np.int32)), pa.array(np.tile(1 << (bit % WORD_BITS).astype(np.int64), HASHES))],
                     names=["cell", "word", "mask"],
                 )
 
-        bits = kept.select("gram", F.col("x.bit").alias("bit")).mapInArrow(place, "cell long, word int, mask long")
-        found = bits.groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toPandas()
-        masks[found["word"].to_numpy(), found["cell"].to_numpy()] = found["mask"].to_numpy().astype(np.uint64)
-    fill = np.array([((masks[k // WORD_BITS] >> np.uint64(k % WORD_BITS)) & np.uint64(1)).mean() for k in range(len(languages))])
+        bits = marked.mapInArrow(place, "cell int, word int, mask long")
+        found = bits.groupBy("cell", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
+        word, cell, mask = (found.column(c).to_numpy() for c in ("word", "cell", "mask"))
+        masks[word, cell] = mask.view(np.uint64)
+    fill = np.array([((masks[k // WORD_BITS] >> np.uint64(k % WORD_BITS)) & np.uint64(1)).mean() for k in range(2 * len(languages))])
     return Model(languages, masks, fill**HASHES)
 
 
@@ -162,7 +168,7 @@ def _shared(model: Model) -> tuple:
 
 def _predictor(is_letter: np.ndarray, languages: list[str], masks: np.ndarray, chance: np.ndarray):
     """A text column to languages and scores."""
-    n_lang = len(languages)
+    n_bits = 2 * len(languages)
 
     def count(texts: list, hits: np.ndarray, total: np.ndarray) -> None:
         for held, owner in _chunks(texts):
@@ -173,25 +179,26 @@ def _predictor(is_letter: np.ndarray, languages: list[str], masks: np.ndarray, c
             starts, who = bounds[some], np.array(owner)[some]
             np.add.at(total, who, np.diff(bounds)[some])
             labels, distinct = pd.factorize(codes)
-            cells = _cells(distinct)
+            cells = _cells(distinct, masks.shape[1])
             for word in range(len(masks)):
                 mask = masks[word][cells[0]]
                 for k in range(1, HASHES):
                     mask = mask & masks[word][cells[k]]
-                for j in range(word * WORD_BITS, min(n_lang, (word + 1) * WORD_BITS)):
+                for j in range(word * WORD_BITS, min(n_bits, (word + 1) * WORD_BITS)):
                     bit = ((mask >> np.uint64(j % WORD_BITS)) & np.uint64(1)).astype(np.uint32)
                     np.add.at(hits[:, j], who, np.add.reduceat(bit[labels], starts))
 
     def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         rows = len(column)
-        hits, total = np.zeros((rows, n_lang)), np.zeros(rows)
+        hits, total = np.zeros((rows, n_bits)), np.zeros(rows)
         for first, texts in _runs(column):
             count(texts, hits[first : first + len(texts)], total[first : first + len(texts)])
         names, score = np.full(rows, UNKNOWN, dtype=object), np.zeros(rows)
-        if n_lang and rows:
+        if n_bits and rows:
             some = total > 0
             share = hits / np.maximum(total, 1)[:, None]
             share = np.clip((share - chance) / np.maximum(1 - chance, 1e-9), 0, 1)
+            share = (share[:, ::2] + share[:, 1::2]) / 2
             best = share.argmax(axis=1)
             names[some] = np.array(languages, dtype=object)[best[some]]
             score[some] = share[np.arange(rows), best][some]
@@ -203,7 +210,8 @@ def _predictor(is_letter: np.ndarray, languages: list[str], masks: np.ndarray, c
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row of ``docs`` (``doc_id, text``).
 
-    ``score``: corrected share of the text's n-grams that the language contains.
+    ``score``: corrected share of the text's n-grams that the language contains, and
+    of those that are typical of it, halved.
     Null texts and texts without a letter get ``und`` and 0; so does everything
     if nothing was learned. Ties go to the language with more training text.
     """
