@@ -40,6 +40,7 @@ PERCENT = 85
 MISS = 2e-6
 SHORT = 32
 BLOCK = 1000
+RUN_BYTES = 1 << 20  # of text at a time; several arrays have 8 bytes for each of them
 
 SIGNED = "doc_id long, own string, n_shingles long, set_a long, set_b long, sig binary"
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,7 +112,7 @@ def _sign(batches):
     hasher = WordHasher()
     for batch in batches:
         ids, own = batch.column("doc_id"), batch.column("own")
-        for lo, hi, data, offsets in text_buffers(batch.column("text")):
+        for lo, hi, data, offsets in text_buffers(batch.column("text"), RUN_BYTES):
             keys, at = _shingles(hasher, data, offsets)
             size = np.diff(at)
             a, b = _prints(keys, at)
@@ -130,7 +131,7 @@ def _sets(batches):
     hasher = WordHasher()
     for batch in batches:
         cls, want_a, want_b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cls", "set_a", "set_b"))
-        for lo, hi, data, offsets in text_buffers(batch.column("text")):
+        for lo, hi, data, offsets in text_buffers(batch.column("text"), RUN_BYTES):
             keys, at = _shingles(hasher, data, offsets)
             a, b = _prints(keys, at)
             good = np.flatnonzero((a == want_a[lo:hi]) & (b == want_b[lo:hi]) & (np.diff(at) > 0))
@@ -141,7 +142,7 @@ def _sets(batches):
 def _nameless_sets(batches):
     hasher = WordHasher()
     for batch in batches:
-        for lo, hi, data, offsets in text_buffers(batch.column("text")):
+        for lo, hi, data, offsets in text_buffers(batch.column("text"), RUN_BYTES):
             keys, at = _shingles(hasher, data, offsets)
             a, b = _prints(keys, at)
             full = np.flatnonzero(np.diff(at))
