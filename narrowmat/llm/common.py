@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -142,6 +143,15 @@ class WordHasher:
         return hashes, first, last, np.searchsorted(first, offsets)
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold without use to the system: workers
+    live on from stage to stage, and an executor is charged for all of them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffers(column: pa.Array, part_bytes: int = 1 << 23) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """An Arrow string column as numpy arrays, in runs of about ``part_bytes``
     (one text at least): first row, row after the last, bytes, offsets. Nulls
@@ -160,6 +170,8 @@ def text_buffers(column: pa.Array, part_bytes: int = 1 << 23) -> Iterator[tuple[
         own = offsets[at : to + 1]
         yield at, to, data[own[0] : own[-1]], own - own[0]
         at = to
+    del column, where, what, offsets, data, own
+    give_back()
 
 
 def binary_column(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
