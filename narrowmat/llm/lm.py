@@ -5,8 +5,8 @@ binary code; at each node three predictors give the chance of a one, from counts
 of the training texts under a hashed context: the last two bytes, the last
 four, and the word so far. Their log odds are mixed with weights gated by the
 depth in the code, and the weights follow the prediction error after each byte,
-from the first byte of a text to its last. Many texts are scored side by side;
-the few longest of a run, once alone, one by one.
+from the first byte of a text to its last. All texts of some 16 MB are scored
+side by side; the few longest, once alone, one by one.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from narrowmat.llm.common import WordHasher, crc_mod, most_frequent, numbers, only, text_buffers, written
+from narrowmat.llm.common import WordHasher, binary_column, crc_mod, most_frequent, numbers, only, text_buffers, written
 
 FREQUENT = 1 << 18
 SMOOTH = 0.1
 CONTEXTS = (1 << 13, 1 << 14, 1 << 14)
 SYMBOLS = 256
 END = 65  # "A" cannot occur once upper case is folded
-SCORED = 1 << 18
+SCORED = 1 << 17
+RUN_BYTES = 1 << 20  # of text at a time for words and contexts
+SIDE_BY_SIDE = 1 << 24  # bytes of text whose texts are scored together
 FEW = 8
 GATES = 32
 RATE = 0.02
@@ -99,7 +101,7 @@ class Code:
                 (self.one if bit else self.zero)[list(side), number] = 1
         self.length = np.array([len(p) for p in path])
         self.first = np.cumsum(self.length) - self.length
-        self.node = np.array([x for p in path for x, _ in p], dtype=np.int32)
+        self.node = np.array([x for p in path for x, _ in p], dtype=np.intp)
         self.bit = np.array([b for p in path for _, b in p], dtype=np.float32)
 
 
@@ -112,95 +114,98 @@ def odds(counts: np.ndarray, code: Code) -> np.ndarray:
 
 def log_probability(sym, starts, tables: np.ndarray, code: Code, hasher: WordHasher) -> np.ndarray:
     """Natural logarithm of the probability of each text."""
-    contexts = _contexts(sym, starts, hasher)
+    contexts = [x.astype(np.uint16) for x in _contexts(sym, starts, hasher)]
+    return mixed(sym, starts, contexts, tables, code)
+
+
+def mixed(sym, starts, contexts, tables: np.ndarray, code: Code) -> np.ndarray:
+    """The same from the contexts of every symbol. Texts go side by side, longest
+    first; symbols are picked from them in pieces of about ``SCORED``."""
     sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.arange(len(order))
-    steps = int(sizes[order[0]])
+    steps, n = int(sizes[order[0]]), len(order)
     active = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # texts longer than t
     base = np.concatenate([[0], np.cumsum(active)])
-    place = np.arange(len(sym)) - np.repeat(starts[:-1], sizes)
-    pos = base[place] + np.repeat(rank, sizes)
-
-    def laid(x):
-        out = np.empty_like(x)
-        out[pos] = x
-        return out
-
-    s, rows = laid(sym), [laid(x) for x in contexts]
-    del place, pos, contexts
-    weights = [np.full(len(order) * GATES, START) for _ in range(3)]
-    cost = np.zeros(len(order))
+    begin = starts[:-1][order]
+    weights = np.full(3 * n * GATES, START / math.sqrt(RATE), dtype=np.float32)
+    cost = np.zeros(n)
     few = int(np.searchsorted(-active, -FEW, "left"))  # from here on, FEW texts or less
     t = 0
     while t < steps:
         to = max(t + 1, int(np.searchsorted(base, base[t] + SCORED, "right")) - 1)
         to = min(to, few if t < few else steps)
-        lo, hi = base[t], base[to]
-        lane = np.arange(lo, hi) - np.repeat(base[t:to], active[t:to])
+        lane = np.arange(base[t], base[to]) - np.repeat(base[t:to], active[t:to])
+        at = begin[lane] + np.repeat(np.arange(t, to), active[t:to])
+        first, ends, gate, bit, inputs = _bits(sym[at], [x[at] for x in contexts], lane, tables, code)
         run = _side_by_side if t < few else _one_by_one
-        cost += run(s[lo:hi], [x[lo:hi] for x in rows], lane, base[t : to + 1] - lo, weights, tables, code, len(order))
+        ones = run(ends[base[t : to + 1] - base[t]], gate, bit, inputs, weights, n)
+        np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
+        np.log(np.abs(ones - 1 + bit), out=ones)
+        cost += np.bincount(lane, np.add.reduceat(ones, first, dtype=np.float64), minlength=n)
         t = to
-    return cost[rank]
+    out = np.empty(n)
+    out[order] = cost
+    return out
 
 
 def _bits(s, rows, lane, tables, code):
-    """Bits of the symbols: how many each has, where they begin, gate of each in
-    its lane, value, and log odds under each predictor."""
-    n_bits = code.length[s]
+    """Bits of the symbols: where those of each begin (once more with the end),
+    gate of each in its lane, value, and under each predictor the log odds of a
+    zero, times the root of RATE."""
+    n_bits = code.length.take(s)
     ends = np.concatenate([[0], np.cumsum(n_bits)])
-    depth = np.arange(ends[-1], dtype=np.int32) - np.repeat(ends[:-1].astype(np.int32), n_bits)
-    path = np.repeat(code.first[s].astype(np.int32), n_bits) + depth
-    node, bit = code.node[path], code.bit[path]
-    gate = np.repeat(lane.astype(np.int32) * np.int32(GATES), n_bits) + np.minimum(depth, GATES - 1)
-    inputs = []
+    owner, place = np.repeat(np.arange(len(s)), n_bits), np.arange(ends[-1])
+    path = (code.first.take(s) - ends[:-1]).take(owner) + place
+    node, bit = code.node.take(path), code.bit.take(path)
+    if code.length.max() > GATES:
+        gate = (lane * GATES).take(owner) + np.minimum(place - ends.take(owner), GATES - 1)
+    else:
+        gate = (lane * GATES - ends[:-1]).take(owner) + place
+    inputs = np.empty((3, len(bit)), dtype=np.float32)
+    scale = np.float32(-math.sqrt(RATE) / 16)
     for k in range(3):
-        row = rows[k] * np.int32(SYMBOLS) + np.int32(_BASE[k])
-        inputs.append(tables[np.repeat(row, n_bits) + node].astype(np.float32) * np.float32(1 / 16))
-    return n_bits, ends, gate, bit, inputs
-
+        cell = (rows[k].astype(np.intp) * SYMBOLS + _BASE[k]).take(owner)
+        cell += node
+        np.multiply(tables.take(cell), scale, out=inputs[k], dtype=np.float32)
+    return ends[:-1], ends, gate, bit, inputs
 
-def _cost(ones, bit, gate, n):
-    np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
-    return np.bincount(gate // GATES, np.log(np.abs(ones - 1 + bit)), minlength=n)
 
-
-def _side_by_side(s, rows, lane, base, weights, tables, code, n):
-    """Symbols laid out by place in their text, so every step, one symbol of each
-    text, works on consecutive bits. Weights follow after each step."""
-    _, ends, gate, bit, inputs = _bits(s, rows, lane, tables, code)
+def _side_by_side(cuts, gate, bit, inputs, weights, n):
+    """Chance of a one for bits laid out by place in their text, so every step, one
+    symbol of each text, works on consecutive bits. Weights follow after each
+    step; they and the inputs are scaled so that RATE needs no step of its own."""
     ones = np.empty(len(bit), dtype=np.float32)
-    cuts = ends[base].tolist()
+    shift = np.arange(3)[:, None] * (n * GATES)
+    exp, total = np.exp, np.add.reduce
+    cuts = cuts.tolist()
     for a, b in zip(cuts[:-1], cuts[1:]):
-        at = gate[a:b]
-        x = [v[a:b] for v in inputs]
-        w = [v[at] for v in weights]
-        p = 1 / (1 + np.exp(-(w[0] * x[0] + w[1] * x[1] + w[2] * x[2])))
-        ones[a:b] = p
-        gap = (bit[a:b] - p) * RATE
-        for v, own, z in zip(weights, w, x):
-            v[at] = own + gap * z
-    return _cost(ones, bit, gate, n)
-
-
-def _one_by_one(s, rows, lane, base, weights, tables, code, n):
+        at, x, p = gate[a:b] + shift, inputs[:, a:b], ones[a:b]
+        own = weights.take(at)
+        odds_of_zero = total(own * x, 0)
+        exp(odds_of_zero, odds_of_zero)
+        odds_of_zero += 1
+        np.reciprocal(odds_of_zero, p)
+        own += (p - bit[a:b]) * x
+        weights[at] = own
+    return ones
+
+
+def _one_by_one(cuts, gate, bit, inputs, weights, n):
     """The same for so few texts that a step of arrays costs more than its bits."""
-    _, _, gate, bit, inputs = _bits(s, rows, lane, tables, code)
     size = FEW * GATES
-    held = [v[:size].tolist() for v in weights]
-    a, b, c = held
+    at_weights = np.arange(3)[:, None] * (n * GATES) + np.arange(min(size, n * GATES))
+    a, b, c = held = weights[at_weights].tolist()
     ones, exp = [], math.exp
-    for at, one, x, y, z in zip(gate.tolist(), bit.tolist(), *(v.tolist() for v in inputs)):
-        p = 1 / (1 + exp(-(a[at] * x + b[at] * y + c[at] * z)))
+    for at, one, x, y, z in zip(gate.tolist(), bit.tolist(), *inputs.tolist()):
+        u, v, w = a[at], b[at], c[at]
+        p = 1 / (1 + exp(u * x + v * y + w * z))
         ones.append(p)
-        gap = (one - p) * RATE
-        a[at] += gap * x
-        b[at] += gap * y
-        c[at] += gap * z
-    for v, own in zip(weights, held):
-        v[:size] = own
-    return _cost(np.array(ones, dtype=np.float32), bit, gate, n)
+        gap = p - one
+        a[at] = u + gap * x
+        b[at] = v + gap * y
+        c[at] = w + gap * z
+    weights[at_weights] = held
+    return np.array(ones, dtype=np.float32)
 
 
 def _gather(batches):
@@ -209,7 +214,7 @@ def _gather(batches):
     cells, any_rows = np.zeros(CELLS, dtype=np.uint32), False
     n_docs = 0
     for batch in batches:
-        for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 21):
+        for lo, hi, data, offsets in text_buffers(batch.column("text"), 2 * RUN_BYTES):
             words = hasher.words(data, offsets)[0]
             found, n = np.unique(words, return_counts=True)
             yield _rows(np.zeros(len(found), np.int32), found.view(np.int64), n, None)
@@ -280,8 +285,27 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
         keys, c, tables, code = top.value
         code = cloudpickle.loads(code)  # with its class: executors need no copy of this package
         row = TaskContext.get().partitionId() << 33
+
+        def together(parts):
+            """Mix the texts of all parts side by side; one batch for each part."""
+            shift = np.cumsum([0] + [p[1][-1] for p in parts])
+            sym = np.concatenate([p[0] for p in parts])
+            starts = np.concatenate([p[1][:-1] + k for p, k in zip(parts, shift)] + [shift[-1:]])
+            contexts = [np.concatenate(x) for x in zip(*(p[2] for p in parts))]
+            logs = mixed(sym, starts, contexts, tables, code) / math.log(10)
+            bits = -logs * math.log2(10) / np.diff(starts)
+            at = 0
+            for *_, columns in parts:
+                to = at + len(columns[0])
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(logs[at:to]), pa.array(bits[at:to])],
+                    names=["row", "doc_id", "n_tokens", "known", "base", "rare", "score", "bits_per_byte"],
+                )
+                at = to
+
         for batch in batches:
-            for lo, hi, data, offsets in text_buffers(batch.column("text"), 1 << 21):
+            parts, size = [], 0
+            for lo, hi, data, offsets in text_buffers(batch.column("text"), RUN_BYTES):
                 words, _, _, at = hasher.words(data, offsets)
                 sizes = np.diff(at)
                 owner = np.repeat(np.arange(hi - lo), sizes)
@@ -294,20 +318,21 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, frequent: int = FREQU
                 base = np.bincount(owner, each, minlength=hi - lo) + end_base
                 seen = np.bincount(owner[hit], minlength=hi - lo) + (n_train > 0)
                 rest = np.flatnonzero(~hit)
-                n_rest = np.bincount(owner[rest], minlength=hi - lo)
-                cuts = np.cumsum(n_rest)[:-1]
-                rare = pa.array([x.tobytes() for x in np.split(mine[rest], cuts)], pa.binary())
+                rare = binary_column(mine[rest], np.bincount(owner[rest], minlength=hi - lo))
                 sym, starts = _symbols(data, offsets)
-                logs = log_probability(sym, starts, tables, code, hasher) / math.log(10)
-                bits = -logs * math.log2(10) / np.diff(starts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(hi - lo)), batch.column("doc_id").slice(lo, hi - lo), pa.array(sizes + 1), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(logs), pa.array(bits), rare],
-                    names=["row", "doc_id", "n_tokens", "known", "base", "score", "bits_per_byte", "rare"],
-                )
-                row += hi - lo
+                contexts = [x.astype(np.uint16) for x in _contexts(sym, starts, hasher)]
+                ids = batch.column("doc_id").slice(lo, hi - lo)
+                columns = [pa.array(row + np.arange(hi - lo)), ids, pa.array(sizes + 1), pa.array(seen.astype(np.int64)), pa.array(base), rare]
+                parts.append((sym, starts, contexts, columns))
+                row, size = row + hi - lo, size + len(data)
+                if size >= SIDE_BY_SIDE:
+                    yield from together(parts)
+                    parts, size = [], 0
+            if parts:
+                yield from together(parts)
 
     kind = dict(docs.dtypes)["doc_id"]
-    scored = written(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, score double, bits_per_byte double, rare binary"), "scored")
+    scored = written(texts.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, rare binary, score double, bits_per_byte double"), "scored")
 
     def spread(batches):
         for batch in batches:
