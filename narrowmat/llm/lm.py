@@ -5,8 +5,10 @@ binary code; at each node three predictors give the chance of a one, from counts
 of the training texts under a hashed context: the last two bytes, the last
 four, and the word so far. Their log odds are mixed with weights gated by the
 depth in the code, and the weights follow the prediction error after each byte,
-from the first byte of a text to its last. All texts of some 16 MB are scored
-side by side; the few longest, once alone, one by one.
+from the first byte of a text to its last. As weights are gated by depth, the
+bits of one depth of one text are a stream that no other stream sees: some
+thousand texts of similar length are scored side by side, all their streams a bit
+at a time; the few longest, once alone, stream by stream.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ SMOOTH = 0.1
 CONTEXTS = (1 << 13, 1 << 14, 1 << 14)
 SYMBOLS = 256
 END = 65  # "A" cannot occur once upper case is folded
-SCORED = 1 << 17
-RUN_BYTES = 1 << 20  # of text at a time for words and contexts
-SIDE_BY_SIDE = 1 << 24  # bytes of text whose texts are scored together
+SCORED = 1 << 16
+LANES = 1024  # texts side by side
+TOP = 4  # depths whose log odds are kept together for a context
+RUN_BYTES = 1 << 20  # of text at a time for words
+CONTEXT_RUN = 1 << 18  # symbols at a time for contexts
+SIDE_BY_SIDE = 1 << 24  # bytes of text whose texts are sorted by length together
 FEW = 8
 GATES = 32
 RATE = 0.02
@@ -53,6 +58,17 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _contexts(sym: np.ndarray, starts: np.ndarray, hasher: WordHasher) -> list[np.ndarray]:
     """For every symbol its context under each predictor; texts do not see one another."""
+    found, at = [np.empty(len(sym), dtype=np.int32) for _ in CONTEXTS], 0
+    while at < len(starts) - 1:
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + CONTEXT_RUN, "right")) - 1)
+        own = slice(starts[at], starts[to])
+        for all_of_them, part in zip(found, _contexts_of_run(sym[own], starts[at : to + 1] - starts[at], hasher)):
+            all_of_them[own] = part
+        at = to
+    return found
+
+
+def _contexts_of_run(sym, starts, hasher):
     n = len(sym)
     past, found = np.zeros(n, dtype=np.uint32), []
     with np.errstate(over="ignore"):
@@ -102,7 +118,14 @@ class Code:
         self.length = np.array([len(p) for p in path])
         self.first = np.cumsum(self.length) - self.length
         self.node = np.array([x for p in path for x, _ in p], dtype=np.intp)
-        self.bit = np.array([b for p in path for _, b in p], dtype=np.float32)
+        self.bit = np.array([b for p in path for _, b in p], dtype=np.int8)
+        self.left = np.array([len(p) - k for p in path for k in range(len(p))], dtype=np.intp)  # bits from here on
+        # Symbols that share their first nodes share what a context says of them.
+        tops = [tuple(x for x, _ in p[:TOP]) for p in path]
+        shared = {nodes: k for k, nodes in enumerate(sorted(set(tops)))}
+        self.top = np.array([shared[nodes] for nodes in tops], dtype=np.intp)
+        self.top_node = np.array([nodes + (0,) * (TOP - len(nodes)) for nodes in shared], dtype=np.intp)
+        self.top_bit = np.array([[b for _, b in p[:TOP]] + [0] * (TOP - len(p)) for p in path], dtype=np.int8)
 
 
 def odds(counts: np.ndarray, code: Code) -> np.ndarray:
@@ -119,93 +142,165 @@ def log_probability(sym, starts, tables: np.ndarray, code: Code, hasher: WordHas
 
 
 def mixed(sym, starts, contexts, tables: np.ndarray, code: Code) -> np.ndarray:
-    """The same from the contexts of every symbol. Texts go side by side, longest
-    first; symbols are picked from them in pieces of about ``SCORED``."""
+    """The same from the contexts of every symbol, for ``LANES`` texts of similar
+    length at a time."""
     sizes = np.diff(starts)
     order = np.argsort(-sizes, kind="stable")
-    steps, n = int(sizes[order[0]]), len(order)
-    active = np.searchsorted(-sizes[order], -np.arange(steps), "left")  # texts longer than t
+    top = tables.reshape(-1, SYMBOLS).take(code.top_node, axis=1).view(np.uint32).reshape(-1)
+    out = np.empty(len(order))
+    for k in range(0, len(order), LANES):
+        own = order[k : k + LANES]
+        out[own] = _together(sym, starts[own], sizes[own], contexts, tables, top, code)
+    return out
+
+
+def _together(sym, begin, sizes, contexts, tables, top, code):
+    """``mixed`` for texts given longest first; symbols are picked from them in
+    pieces of about ``SCORED``."""
+    steps, n = int(sizes[0]), len(sizes)
+    active = np.searchsorted(-sizes, -np.arange(steps), "left")  # texts longer than t
     base = np.concatenate([[0], np.cumsum(active)])
-    begin = starts[:-1][order]
-    weights = np.full(3 * n * GATES, START / math.sqrt(RATE), dtype=np.float32)
+    weights = np.full((3, min(int(code.length.max()), GATES), n), START / math.sqrt(RATE), dtype=np.float32)
     cost = np.zeros(n)
     few = int(np.searchsorted(-active, -FEW, "left"))  # from here on, FEW texts or less
     t = 0
     while t < steps:
         to = max(t + 1, int(np.searchsorted(base, base[t] + SCORED, "right")) - 1)
         to = min(to, few if t < few else steps)
-        lane = np.arange(base[t], base[to]) - np.repeat(base[t:to], active[t:to])
-        at = begin[lane] + np.repeat(np.arange(t, to), active[t:to])
-        first, ends, gate, bit, inputs = _bits(sym[at], [x[at] for x in contexts], lane, tables, code)
+        m = int(active[t])
+        own = np.minimum(sizes[:m], to) - t
+        at = np.repeat(begin[:m] + t + own - np.cumsum(own), own)
+        at += np.arange(len(at))
+        lengths, bits = _bits(sym[at], [x[at] for x in contexts], own, tables, top, code)
         run = _side_by_side if t < few else _one_by_one
-        ones = run(ends[base[t : to + 1] - base[t]], gate, bit, inputs, weights, n)
-        np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
-        np.log(np.abs(ones - 1 + bit), out=ones)
-        cost += np.bincount(lane, np.add.reduceat(ones, first, dtype=np.float64), minlength=n)
+        held = weights[:, :, :m].reshape(3, -1)
+        logs = run(lengths, bits, held)
+        weights[:, :, :m] = held.reshape(3, -1, m)
+        cost[:m] += logs.reshape(-1, m).sum(axis=0)
         t = to
-    out = np.empty(n)
-    out[order] = cost
-    return out
-
-
-def _bits(s, rows, lane, tables, code):
-    """Bits of the symbols: where those of each begin (once more with the end),
-    gate of each in its lane, value, and under each predictor the log odds of a
-    zero, times the root of RATE."""
-    n_bits = code.length.take(s)
-    ends = np.concatenate([[0], np.cumsum(n_bits)])
-    owner, place = np.repeat(np.arange(len(s)), n_bits), np.arange(ends[-1])
-    path = (code.first.take(s) - ends[:-1]).take(owner) + place
-    node, bit = code.node.take(path), code.bit.take(path)
-    if code.length.max() > GATES:
-        gate = (lane * GATES).take(owner) + np.minimum(place - ends.take(owner), GATES - 1)
-    else:
-        gate = (lane * GATES - ends[:-1]).take(owner) + place
-    inputs = np.empty((3, len(bit)), dtype=np.float32)
-    scale = np.float32(-math.sqrt(RATE) / 16)
+    return cost
+
+
+def _bits(s, rows, own, tables, top, code):
+    """Bits of the symbols, ``own`` of each text, stream by stream: all of the first
+    depth, text after text, then all of the next. Returns how many each stream has
+    and, four bytes a bit, its log odds under each predictor and its value."""
+    n_bits, deepest = code.length.take(s), int(code.length.max())
+    kinds = np.repeat(np.arange(len(own)) * (deepest + 1), own)
+    kinds += n_bits
+    kinds = np.bincount(kinds, minlength=len(own) * (deepest + 1)).reshape(len(own), -1)
+    deeper = kinds[:, :0:-1].cumsum(axis=1)[:, ::-1].T  # symbols with a bit of that depth
+    lengths = deeper[:GATES].copy()
+    lengths[-1] += deeper[GATES:].sum(axis=0)
+    per_gate = lengths.sum(axis=1).tolist()
+    bits, done = np.empty((sum(per_gate), 4), dtype=np.int8), 0
+    cells = code.top.take(s)
+    found = [top.take(cells + (x.astype(np.intp) + k // SYMBOLS) * len(code.top_node)) for x, k in zip(rows, _BASE)]
+    found = [x.view(np.int8).reshape(-1, TOP) for x in found] + [code.top_bit.view(np.uint32).reshape(-1).take(s).view(np.int8).reshape(-1, TOP)]
+    for gate in range(min(TOP, len(lengths))):
+        part = bits[done : done + per_gate[gate]]
+        here = slice(None) if len(part) == len(s) else np.flatnonzero(n_bits > gate)
+        for k in range(4):
+            part[:, k] = found[k][here, gate]
+        done += len(part)
+    deep = np.flatnonzero(n_bits > TOP)
+    path = code.first.take(s[deep]) + TOP
+    cells = [x[deep].astype(np.intp) * SYMBOLS + k for x, k in zip(rows, _BASE)]
+    for gate in range(TOP, len(lengths)):
+        left = code.left.take(path)
+        if gate == GATES - 1:  # all bits from here on
+            cells = [np.repeat(x, left) for x in cells]
+            path = np.repeat(path + left - np.cumsum(left), left) + np.arange(per_gate[gate])
+        part, node = bits[done : done + len(path)], code.node.take(path)
+        for k in range(3):
+            part[:, k] = tables.take(cells[k] + node)
+        part[:, 3] = code.bit.take(path)
+        done += len(part)
+        on = np.flatnonzero(left > 1) if gate < GATES - 1 else []
+        path, cells = path[on] + 1, [x[on] for x in cells]
+    return lengths.reshape(-1), bits.view(np.uint32).reshape(-1)
+
+
+def _inputs(bits):
+    """Under each predictor the log odds of a zero, times the root of RATE; values."""
+    parts, scale = bits.view(np.int8).reshape(-1, 4), np.float32(-math.sqrt(RATE) / 16)
+    inputs = np.empty((3, len(bits)), dtype=np.float32)
     for k in range(3):
-        cell = (rows[k].astype(np.intp) * SYMBOLS + _BASE[k]).take(owner)
-        cell += node
-        np.multiply(tables.take(cell), scale, out=inputs[k], dtype=np.float32)
-    return ends[:-1], ends, gate, bit, inputs
-
-
-def _side_by_side(cuts, gate, bit, inputs, weights, n):
-    """Chance of a one for bits laid out by place in their text, so every step, one
-    symbol of each text, works on consecutive bits. Weights follow after each
-    step; they and the inputs are scaled so that RATE needs no step of its own."""
-    ones = np.empty(len(bit), dtype=np.float32)
-    shift = np.arange(3)[:, None] * (n * GATES)
-    exp, total = np.exp, np.add.reduce
+        np.multiply(parts[:, k], scale, out=inputs[k], dtype=np.float32)
+    return inputs, parts[:, 3].astype(np.float32)
+
+
+def _logs(ones, bit):
+    """Logarithm of the chance given to each bit from that of a one, in place."""
+    np.clip(ones, 1e-4, 1 - 1e-4, out=ones)
+    ones -= 1
+    ones += bit
+    np.abs(ones, out=ones)
+    return np.log(ones, out=ones)
+
+
+def _side_by_side(lengths, bits, weights):
+    """Logarithm of the probability of each stream. Streams go longest first and
+    bits by their place in the stream, so every step, one bit of each stream, works
+    on consecutive weights and bits. Weights follow after each step; they and the
+    inputs are scaled so that RATE needs no step of its own."""
+    steps = int(lengths.max())
+    order = np.argsort((steps - lengths).astype(np.uint16 if steps < 1 << 16 else np.int64), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    cuts = np.concatenate([[0], np.cumsum(len(lengths) - np.cumsum(np.bincount(lengths))[:-1])])
+    place = np.repeat(lengths - np.cumsum(lengths), lengths)
+    place += np.arange(len(bits))
+    place = cuts.take(place)
+    place += np.repeat(rank, lengths)
+    laid = np.empty_like(bits)
+    laid[place] = bits
+    del place
+    inputs, bit = _inputs(laid)
+    order = order[: cuts[1]]
+    held = weights[:, order]
+    ones, gap, room = np.empty(len(bits), dtype=np.float32), np.empty(len(order), dtype=np.float32), np.empty_like(held)
+    add, exp, multiply, reciprocal, subtract, one = np.add, np.exp, np.multiply, np.reciprocal, np.subtract, np.float32(1)
     cuts = cuts.tolist()
     for a, b in zip(cuts[:-1], cuts[1:]):
-        at, x, p = gate[a:b] + shift, inputs[:, a:b], ones[a:b]
-        own = weights.take(at)
-        odds_of_zero = total(own * x, 0)
-        exp(odds_of_zero, odds_of_zero)
-        odds_of_zero += 1
-        np.reciprocal(odds_of_zero, p)
-        own += (p - bit[a:b]) * x
-        weights[at] = own
-    return ones
-
-
-def _one_by_one(cuts, gate, bit, inputs, weights, n):
+        own, x, p, g, step = held[:, : b - a], inputs[:, a:b], ones[a:b], gap[: b - a], room[:, : b - a]
+        multiply(own, x, step)
+        add(step[0], step[1], p)
+        add(p, step[2], p)
+        exp(p, p)
+        add(p, one, p)
+        reciprocal(p, p)
+        subtract(p, bit[a:b], g)
+        multiply(x, g, step)
+        add(own, step, own)
+    weights[:, order] = held
+    _logs(ones, bit)
+    sums, out = np.zeros(len(order)), np.zeros(len(lengths))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        sums[: b - a] += ones[a:b]
+    out[order] = sums
+    return out
+
+
+def _one_by_one(lengths, bits, weights):
     """The same for so few texts that a step of arrays costs more than its bits."""
-    size = FEW * GATES
-    at_weights = np.arange(3)[:, None] * (n * GATES) + np.arange(min(size, n * GATES))
-    a, b, c = held = weights[at_weights].tolist()
-    ones, exp = [], math.exp
-    for at, one, x, y, z in zip(gate.tolist(), bit.tolist(), *inputs.tolist()):
-        u, v, w = a[at], b[at], c[at]
-        p = 1 / (1 + exp(u * x + v * y + w * z))
-        ones.append(p)
-        gap = p - one
-        a[at] = u + gap * x
-        b[at] = v + gap * y
-        c[at] = w + gap * z
-    weights[at_weights] = held
-    return np.array(ones, dtype=np.float32)
+    inputs, bit = _inputs(bits)
+    ones, exp, ends = [], math.exp, np.cumsum(lengths)
+    for k in np.flatnonzero(lengths):
+        a, b, c = weights[:, k].tolist()
+        own = slice(ends[k] - lengths[k], ends[k])
+        for one, x, y, z in zip(bit[own].tolist(), *inputs[:, own].tolist()):
+            p = 1 / (1 + exp(a * x + b * y + c * z))
+            ones.append(p)
+            gap = p - one
+            a += gap * x
+            b += gap * y
+            c += gap * z
+        weights[:, k] = a, b, c
+    logs = _logs(np.array(ones, dtype=np.float32), bit)
+    out = np.zeros(len(lengths))
+    out[lengths > 0] = np.add.reduceat(logs, (ends - lengths)[lengths > 0], dtype=np.float64)
+    return out
 
 
 def _gather(batches):
@@ -220,8 +315,7 @@ def _gather(batches):
             yield _rows(np.zeros(len(found), np.int32), found.view(np.int64), n, None)
             sym, starts = _symbols(data, offsets)
             for k, context in enumerate(_contexts(sym, starts, hasher)):
-                size = CONTEXTS[k] * SYMBOLS
-                cells[_BASE[k] : _BASE[k] + size] += np.bincount(context * np.int32(SYMBOLS) + sym, minlength=size).astype(np.uint32)
+                np.add.at(cells, context * np.intp(SYMBOLS) + sym + _BASE[k], np.uint32(1))
             any_rows, n_docs = True, n_docs + hi - lo
     if any_rows:
         yield _rows(np.array([2], np.int32), np.array([0]), np.array([n_docs]), None)

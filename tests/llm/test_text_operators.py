@@ -328,6 +328,39 @@ def test_lm_weights_last():
     np.testing.assert_allclose(found, wanted, rtol=1e-5)
 
 
+def test_lm_streams(monkeypatch):
+    """Codes deeper than there are gates, texts in several blocks and pieces: each
+    bit against one after another, all bits beyond the last gate sharing its weights."""
+    monkeypatch.setattr(lm, "LANES", 12, raising=False)
+    monkeypatch.setattr(lm, "SCORED", 100)
+    monkeypatch.setattr(lm, "CONTEXT_RUN", 64, raising=False)
+    rng = np.random.default_rng(8)
+    counts = np.zeros(256)
+    counts[97:157] = 300 * 2.0 ** np.arange(60)  # a code of some 60 bits for the rarest
+    texts = [rng.choice(np.r_[97:107, 120:130, 150:157], n).astype(np.uint8) for n in [40] * 9 + [90, 0, 1, 300, 33, 20] * 3]
+    code, sizes = lm.Code(counts), [len(x) for x in texts]
+    assert code.length.max() > lm.GATES + 8
+    sym, starts = lm._symbols(np.concatenate(texts), np.cumsum([0] + sizes))
+    contexts = lm._contexts(sym, starts, lm.WordHasher())
+    for text, a, b in zip(texts, starts[:-1], starts[1:]):  # no text sees another
+        alone = lm._contexts(*lm._symbols(text, np.array([0, len(text)])), lm.WordHasher())
+        assert all((x[a:b] == y).all() for x, y in zip(contexts, alone))
+    tables = rng.integers(-60, 60, lm.CELLS).astype(np.int8)
+    wanted = []
+    for a, b in zip(starts[:-1], starts[1:]):
+        weights, total = np.full((lm.GATES, 3), lm.START), 0.0
+        for k in range(a, b):
+            for depth in range(code.length[sym[k]]):
+                node, bit = code.node[code.first[sym[k]] + depth], code.bit[code.first[sym[k]] + depth]
+                x = np.array([tables[lm._BASE[j] + int(contexts[j][k]) * 256 + node] / 16 for j in range(3)])
+                p = 1 / (1 + np.exp(-weights[min(depth, lm.GATES - 1)] @ x))
+                total += np.log(np.clip(p if bit else 1 - p, 1e-4, 1 - 1e-4))
+                weights[min(depth, lm.GATES - 1)] += lm.RATE * (bit - p) * x
+        wanted.append(total)
+    found = lm.log_probability(sym, starts, tables, code, lm.WordHasher())
+    np.testing.assert_allclose(found, wanted, rtol=1e-5)
+
+
 def test_near_at_eighty(spark):
     """Pairs similar by 0.80 to 0.84, also of sets of 4 and 5 shingles."""
     texts = {}
